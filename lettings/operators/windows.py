@@ -27,13 +27,16 @@ def top_k_per(df: DataFrame, keys: Sequence[str | Column], k: int, order: Sequen
 
 
 def load_order(df: DataFrame, *extra: Column) -> list[Column]:
-    """Newest load first, then ``extra``, then file and row so that ties are decided."""
+    """Newest load first, then ``extra``, then file and row so that ties are decided.
+
+    Without any of these the values themselves give the order.
+    """
     order = [F.col("_load_ts").desc_nulls_last()] if "_load_ts" in df.columns else []
     order += list(extra)
     for name in ("_filename", "_file_row_number"):
         if name in df.columns:
             order.append(F.col(name).asc_nulls_last())
-    return order
+    return order or [F.col(c).asc_nulls_last() for c, kind in df.dtypes if "<" not in kind]
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
