@@ -24,8 +24,7 @@ table("m03_clean_reviews", "reviews", ["review_id", "listing_id", "reviewer_id",
 table("m04_clean_areas", "areas", ["neighbourhood", "neighbourhood_group"], "q_areas")
 table("m06_clean_sales", "sales", [
     "transaction_uid", "price", "date_of_transfer", "postcode", "county", "property_type_code", "property_type",
-    "property_class", "build_status", "tenure", "ppd_category", "record_status", "quality_flag"], "q_sales",
-    rename={"price": "price"})
+    "property_class", "build_status", "tenure", "ppd_category", "record_status", "quality_flag"], "q_sales")
 table("m07_clean_pois", "pois", ["poi_id", "name", "category", "amenity_group", "confidence", "latitude", "longitude",
                                  "neighbourhood", "neighbourhood_group"], "q_pois")
 table("m08_clean_postcodes", "postcodes", ["postcode_key", "postcode", "latitude", "longitude", "positional_quality_indicator"], "q_postcodes")

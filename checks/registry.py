@@ -45,7 +45,11 @@ def table(name: str, source: str, cols: Sequence[str], oracle_table: str, digits
 
     def build(w: Lazy) -> DataFrame:
         df = fn(w) if fn else w[source]
-        return df.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in cols])
+        return df.select(*[
+            F.round(c, digits[c]).alias(c) if c in digits
+            else F.col(c).cast("double").alias(c) if c in MONEY else F.col(c)
+            for c in cols
+        ])
 
     def text(c: str) -> str:
         inner = rename.get(c, c)

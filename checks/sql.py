@@ -126,7 +126,7 @@ select cast(id as bigint) as review_id, cast(listing_id as bigint) as listing_id
  cast(date as date) as review_date, nullif(trim(reviewer_name), '') as reviewer_name, nullif(trim(comments), '') as comments
 from q_raw_reviews qualify row_number() over (partition by id order by _file_row_number) = 1"""
 CTE["q_sales"] = f"""
-select trim(translate(transaction_uid, '{{}}', '')) as transaction_uid, cast(price as bigint) as price,
+select trim(translate(transaction_uid, '{{}}', '')) as transaction_uid, cast(price as double) as price,
  cast(left(date_of_transfer, 10) as date) as date_of_transfer, postcode, trim(county) as county,
  upper(property_type) as property_type_code, {case_map('upper(property_type)', rules.SALE_PROPERTY_TYPE)} as property_type,
  {case_map('upper(property_type)', rules.SALE_PROPERTY_CLASS)} as property_class,

@@ -7,10 +7,14 @@ them as doubles.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lettings.functions import spatial as geo
 from lettings.plans.build import Lazy
+from lettings.session import shared_folder
+from lettings.sources import files, tables
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -191,13 +195,30 @@ def rent_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "nation").crossJoin(F.broadcast(months)).selectExpr(*RENTS)
 
 
+def rent_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sheet = rent_sheet(spark, sf_dir).select(*RENT_CELLS, "_file_row_number")
+    return files.land_cells(sheet, RENT_CELLS, "_file_row_number", 2)
+
+
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table of an earlier layer: written once per session, then read."""
+    app = spark.sparkContext.applicationId
+    key = (app, sf_dir, name)
+    if key not in _STORED:
+        path = f"{shared_folder(spark)}/{app}/{sf_dir.strip('/').replace('/', '-')}/{name}"
+        tables.write_replace(make(), path)
+        _STORED[key] = spark.read.parquet(path)
+    return _STORED[key]
+
+
 def world(spark: SparkSession, sf_dir: str) -> Lazy:
     """All raw views; cleaned tables and marts derive from them on demand."""
-    from lettings.sources import files
-
-    raw = {name: view(spark, sf_dir, name) for name in VIEWS}
-    raw["area_shapes"] = area_shapes(spark, sf_dir)
-    raw["raw_neighbourhoods"] = raw["raw_areas"].select("neighbourhood", "neighbourhood_group")
-    sheet = rent_sheet(spark, sf_dir).select(*RENT_CELLS, "_file_row_number")
-    raw["raw_rent_cells"] = files.land_cells(sheet, RENT_CELLS, "_file_row_number", 2)
-    return Lazy(raw, spark)
+    keep = partial(stored, spark, sf_dir)
+    makers = {name: partial(view, spark, sf_dir, name) for name in VIEWS}
+    makers["area_shapes"] = lambda: keep("area_shapes", lambda: area_shapes(spark, sf_dir))
+    makers["raw_neighbourhoods"] = lambda: view(spark, sf_dir, "raw_areas").select("neighbourhood", "neighbourhood_group")
+    makers["raw_rent_cells"] = lambda: keep("raw_rent_cells", lambda: rent_cells(spark, sf_dir))
+    return Lazy({}, spark, makers, keep)

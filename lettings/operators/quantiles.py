@@ -36,47 +36,67 @@ def value_counts(df: DataFrame, keys: Sequence[str], measures: Mapping[str, Colu
     )
 
 
-def quantiles_from_counts(counts: DataFrame, keys: Sequence[str], points: Sequence[float]) -> DataFrame:
-    """Interpolated quantiles per key and measure, one row per point."""
+def ranked_values(counts: DataFrame, keys: Sequence[str], points: Sequence[float]) -> DataFrame:
+    """The values on either side of each wanted rank.
+
+    One row per key, measure and distinct value of the buckets that matter, with
+    the list ``__at`` of (point, share above the lower rank, is lower, is upper).
+    """
     group = [*keys, "__name"]
     counts = counts.withColumn("__bucket", _bucket(F.col("__value")))
     totals = counts.groupBy(*group, "__bucket").agg(F.sum("__n").alias("__in_bucket"))
-    ordered = Window.partitionBy(*group).orderBy("__bucket")
+    over_all = Window.partitionBy(*group)
     totals = totals.select(
-        *group, "__bucket", "__in_bucket",
-        F.sum("__in_bucket").over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("__upto"),
-        F.sum("__in_bucket").over(Window.partitionBy(*group)).alias("__all"),
+        *group, "__bucket",
+        F.sum("__in_bucket").over(over_all.orderBy("__bucket")).alias("__upto"),
+        F.sum("__in_bucket").over(over_all).alias("__all"), "__in_bucket",
     )
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in points])).alias("__p")
-    totals = totals.select("*", wanted).withColumn("__h", F.col("__p") * (F.col("__all") - 1))
-    low = F.floor("__h")
-    high = F.ceil("__h")
     start = F.col("__upto") - F.col("__in_bucket")
 
+    def touches(h: Column) -> Column:
+        return (F.ceil(h) >= start) & (F.floor(h) < F.col("__upto"))
+
+    wanted = F.array(*[
+        F.struct(F.lit(float(p)).alias("p"), (F.lit(float(p)) * (F.col("__all") - 1)).alias("h")) for p in points
+    ])
+    hits = totals.select(
+        *group, "__bucket", start.alias("__start"),
+        F.filter(wanted, lambda w: touches(w["h"])).alias("__wanted"),
+    ).where(F.size("__wanted") > 0)
+    found = join_null_safe(counts, hits, [*group, "__bucket"])
+    inside = Window.partitionBy(*group, "__bucket").orderBy("__value")
+    found = found.withColumn("__upto", F.col("__start") + F.sum("__n").over(inside))
+    first = F.col("__upto") - F.col("__n")
+
     def holds(index: Column) -> Column:
-        return (index >= start) & (index < F.col("__upto"))
+        return (index >= first) & (index < F.col("__upto"))
 
-    hit = totals.where(holds(low) | holds(high)).select(
-        *group, "__bucket", "__p", "__h", start.alias("__start")
-    )
-    found = join_null_safe(
-        counts, hit.select(*group, "__bucket", "__start").distinct(), [*group, "__bucket"]
-    )
-    inside = Window.partitionBy(*group, "__bucket").orderBy("__value").rowsBetween(Window.unboundedPreceding, 0)
-    found = found.select(
-        *group, "__bucket", "__value", "__n",
-        (F.col("__start") + F.sum("__n").over(inside)).alias("__upto"),
-    )
-    pairs = join_null_safe(found, hit.drop("__start"), [*group, "__bucket"])
-    from_ = F.col("__upto") - F.col("__n")
+    at = F.transform("__wanted", lambda w: F.struct(
+        w["p"].alias("p"), (w["h"] - F.floor(w["h"])).alias("share"),
+        holds(F.floor(w["h"])).alias("low"), holds(F.ceil(w["h"])).alias("high"),
+    ))
+    near = F.filter(at, lambda w: w["low"] | w["high"])
+    return found.select(*group, "__value", near.alias("__at")).where(F.size("__at") > 0)
+
+
+def interpolated(name: str | None, point: float) -> Column:
+    """Aggregate over :func:`ranked_values`: the quantile of a measure at a point."""
+    def part(side: str, field: str | None = None) -> Column:
+        mine = F.filter("__at", lambda w: (w["p"] == F.lit(float(point))) & w[side])
+        test = F.size(mine) > 0
+        if name is not None:
+            test = test & (F.col("__name") == name)
+        value = F.col("__value") if field is None else F.get(mine, 0)[field]
+        return F.max(F.when(test, value))
 
-    def at(index: Column) -> Column:
-        return F.max(F.when((index >= from_) & (index < F.col("__upto")), F.col("__value")))
+    low = part("low")
+    return low + (part("high") - low) * part("low", "share")
 
-    picked = pairs.groupBy(*group, "__p", "__h").agg(at(low).alias("__lo"), at(high).alias("__hi"))
-    share = F.col("__h") - F.floor("__h")
-    value = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * share
-    return picked.select(*group, "__p", value.alias("__q"))
+
+def quantiles_from_counts(counts: DataFrame, keys: Sequence[str], points: Mapping[str, float]) -> DataFrame:
+    """Interpolated quantiles per key and measure: output name -> point."""
+    near = ranked_values(counts, keys, sorted(set(points.values())))
+    return near.groupBy(*keys, "__name").agg(*[interpolated(None, p).alias(n) for n, p in points.items()])
 
 
 def quantiles(
@@ -84,13 +104,8 @@ def quantiles(
 ) -> DataFrame:
     """Exact interpolated quantiles: output name -> (measure, point)."""
     counts = value_counts(df, keys, {name: c for name, (c, _) in wanted.items()})
-    points = sorted({p for _, p in wanted.values()})
-    long = quantiles_from_counts(counts, keys, points)
-    picks = [
-        F.max(F.when((F.col("__name") == name) & (F.col("__p") == p), F.col("__q"))).alias(name)
-        for name, (_, p) in wanted.items()
-    ]
-    return long.groupBy(*keys).agg(*picks)
+    near = ranked_values(counts, keys, sorted({p for _, p in wanted.values()}))
+    return near.groupBy(*keys).agg(*[interpolated(n, p).alias(n) for n, (_, p) in wanted.items()])
 
 
 def medians(df: DataFrame, keys: Sequence[str], measures: Mapping[str, Column]) -> DataFrame:
@@ -100,7 +115,13 @@ def medians(df: DataFrame, keys: Sequence[str], measures: Mapping[str, Column])
 def agg_with_medians(
     df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], measures: Mapping[str, Column]
 ) -> DataFrame:
-    """Plain aggregates and exact medians of the same groups."""
-    return join_null_safe(
-        df.groupBy(*keys).agg(*aggregates), medians(df, keys, measures), list(keys), "left"
-    )
+    """Plain aggregates and exact medians of the same groups.
+
+    The two results are stacked and folded by key: at most two rows per group
+    move, and NULL keys need no special join.
+    """
+    plain = df.groupBy(*keys).agg(*aggregates)
+    middle = medians(df, keys, measures)
+    stacked = plain.unionByName(middle, allowMissingColumns=True)
+    columns = [c for c in stacked.columns if c not in keys]
+    return stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in columns])

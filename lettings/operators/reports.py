@@ -105,12 +105,9 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 6) -
         F.sum(n).alias("__rows"), (F.sum(x * n) / F.sum(n)).alias("mean"),
         F.min(x).alias("min"), F.max(x).alias("max"),
     )
-    points = quantiles_from_counts(counts.withColumnRenamed("column_name", "__name"), [], [0.25, 0.5, 0.75])
-    quart = points.groupBy(F.col("__name").alias("column_name")).agg(
-        F.max(F.when(F.col("__p") == 0.25, F.col("__q"))).alias("__q1"),
-        F.max(F.when(F.col("__p") == 0.5, F.col("__q"))).alias("median"),
-        F.max(F.when(F.col("__p") == 0.75, F.col("__q"))).alias("__q3"),
-    )
+    quart = quantiles_from_counts(
+        counts.withColumnRenamed("column_name", "__name"), [], {"__q1": 0.25, "median": 0.5, "__q3": 0.75}
+    ).withColumnRenamed("__name", "column_name")
     marks = F.broadcast(join_keys(centre, quart, ["column_name"]))  # one row per column
     both = counts.join(marks, "column_name")
     d, fence = x - F.col("mean"), (F.col("__q3") - F.col("__q1")) * 1.5

@@ -63,25 +63,43 @@ STEPS: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame]]] = {
 
 
 class Lazy(dict):
-    """Tables by name; one that is missing is derived from its inputs, unevaluated."""
+    """Tables by name; one that is missing is derived from its inputs.
 
-    def __init__(self, raw: Tables, spark: SparkSession):
+    Inputs are taken from ``store`` where one is given: it writes a table once
+    and reads it back, as the layers of a build do.  ``makers`` open raw tables
+    on first use.
+    """
+
+    def __init__(
+        self, raw: Tables, spark: SparkSession, makers: Mapping[str, Callable[[], DataFrame]] | None = None,
+        store: Callable[[str, Callable[[], DataFrame]], DataFrame] | None = None,
+    ):
         super().__init__(raw)
         self.spark = spark
+        self.makers = dict(makers or {})
+        self.store = store
 
     def __missing__(self, name: str) -> DataFrame:
         if name == "dim_city_assumptions":
             self[name] = star.dim_city_assumptions(self.spark)
+        elif name in self.makers:
+            self[name] = self.makers[name]()
         else:
             inputs, build = STEPS[name]
-            self[name] = build(*[self[i] for i in inputs])
+            self[name] = build(*[self.at(i) for i in inputs])
         return self[name]
 
+    def at(self, name: str) -> DataFrame:
+        """The table as a later layer reads it."""
+        if self.store is None or name not in STEPS or name in self.makers:
+            return self[name]
+        return self.store(name, lambda: self[name])
+
 
 def build_all(spark: SparkSession, raw: Tables, folder: str, only: tuple[str, ...] | None = None) -> DataFrame:
     """Writes every table under ``folder`` and returns the row counts."""
     done = Lazy(raw, spark)
-    names = [n for n, (inputs, _) in STEPS.items() if only is None or n in only]
+    names = [n for n in STEPS if only is None or n in only]
     for name in names:
         path = f"{folder}/{name}"
         tables.write_replace(done[name], path)

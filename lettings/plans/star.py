@@ -165,14 +165,13 @@ def fct_area_sales(sales: DataFrame, postcode_map: DataFrame) -> DataFrame:
     counts = rolled.groupBy(
         *area, F.lit("median_sale_price").alias("__name"), F.col("price").cast("double").alias("__value")
     ).agg(F.sum("__n").alias("__n"))
-    middle = quantiles.quantiles_from_counts(counts, area, [0.5])
+    middle = quantiles.quantiles_from_counts(counts, area, {"median_sale_price": 0.5}).drop("__name")
     plain = counts.groupBy(*area).agg(
         F.sum(F.col("__value").cast("decimal(18,0)") * F.col("__n")).cast("double").alias("__sum"),
         F.sum("__n").alias("sale_txn_count"),
     )
-    both = joins.join_null_safe(
-        plain, middle.select(*area, F.col("__q").alias("median_sale_price")), area
-    )
+    stacked = plain.unionByName(middle, allowMissingColumns=True)
+    both = stacked.groupBy(*area).agg(*[F.max(c).alias(c) for c in stacked.columns if c not in area])
     return both.select(
         *area, "median_sale_price",
         measures.ratio("__sum", "sale_txn_count", 0).alias("avg_sale_price"), "sale_txn_count",
