@@ -1,0 +1,389 @@
+"""Single operators: sources, cleaning rules, joins, aggregates, windows, reshapes, space."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from checks import plan_queries, sql, views
+from checks.registry import query
+from checks.sql import div, in_values, mean, med, rd, whole
+from lettings import rules
+from lettings.functions import classify, clean, measures, spatial as geo
+from lettings.operators import joins, quantiles, reports, reshape, spatial, windows
+from lettings.plans import marts, scores, silver, star
+from lettings.session import shared_folder
+from lettings.sources import files, tables
+
+
+def scratch(w) -> str:
+    """A new folder for one run of a query that writes."""
+    return f"{shared_folder(w.spark)}/runs/{uuid.uuid4().hex}"
+
+
+MARKED = "case when trim({0}) not in ('', 'NULL', 'null', 'N/A') then trim({0}) end"
+CSV_COLS = ["id", "name", "price", "property_type", "bedrooms", "host_response_rate", "amenities"]
+
+
+# --- sources and sinks -------------------------------------------------------
+@query("s01_read_csv_text", "select " + ", ".join(f"{MARKED.format(c)} as {c}" for c in CSV_COLS) + " from q_raw_listings")
+def _(w):
+    path = scratch(w)
+    w["raw_listings"].select(*CSV_COLS).write.csv(path, header=True, escape='"', compression="gzip")
+    return files.read_csv_text(w.spark, path)
+
+
+@query("s02_append_by_name", """
+select cast(s_suppkey as varchar) as key, s_name as name, cast(null as varchar) as segment from supplier where false union all
+select cast(c_custkey as varchar), c_name, c_mktsegment from customer union all select cast(s_suppkey as varchar), s_name, null from supplier""")
+def _(w):
+    folder = w.sf_dir
+    first = views.read(w.spark, folder, "customer").selectExpr("cast(c_custkey as string) as key", "c_name as name", "c_mktsegment as segment")
+    later = views.read(w.spark, folder, "supplier").selectExpr("s_name as NAME", "cast(s_suppkey as string) as KEY", "s_acctbal as extra")
+    return files.append_by_name([first, later])
+
+
+SALE_COLS = ["transaction_uid", "price", "date_of_transfer", "postcode", "property_type", "old_new", "duration", "ppd_category_type", "record_status", "county"]
+
+
+@query("s03_read_csv_positional", "select " + ", ".join(f"{MARKED.format(c)} as {c}" for c in SALE_COLS) + " from q_raw_price_paid")
+def _(w):
+    path = scratch(w)
+    w["raw_price_paid"].select(*SALE_COLS).write.csv(path, header=False, escape='"')
+    return files.read_csv_positional(w.spark, path, SALE_COLS)
+
+
+PATHS = "concat('land/', case when o_orderkey % 2 = 0 then 'pp-' else 'px-' end, cast(1990 + o_orderkey % 30 as string), '.csv')"
+
+
+@query("s04_match_files", f"select {PATHS} as path, count(*) as n from orders where regexp_full_match({PATHS}, '.*pp-[0-9]{{4}}\\.csv') group by all")
+def _(w):
+    listed = views.read(w.spark, w.sf_dir, "orders").selectExpr(f"{PATHS} as path")
+    return files.match_files(listed, "path").groupBy("path").agg(F.count("*").alias("n"))
+
+
+SNAPS = ("concat('raw/', cast(c_nationkey as string), '/', case when c_custkey % 7 = 0 then 'snapshot_date=2025-1-1' "
+         "else concat('snapshot_date=2025-0', cast(1 + c_custkey % 9 as string), '-15') end, '/f.csv')")
+
+
+@query("s05_latest_partition", f"""
+select city, path, n from (select city, path, count(*) as n, max(d) as d, max(max(d)) over (partition by city) as top from (
+ select c_nationkey::bigint as city, {SNAPS} as path, regexp_extract({SNAPS}, 'snapshot_date=([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})/', 1) as d from customer) p group by all) g
+where d = top""")
+def _(w):
+    listed = views.read(w.spark, w.sf_dir, "customer").selectExpr("cast(c_nationkey as bigint) as city", f"{SNAPS} as path")
+    return files.latest_partition(listed, "city", "path").groupBy("city", "path").agg(F.count("*").alias("n"))
+
+
+@query("s06_read_geojson", "select city, count(*) as n_features, cast(1 as bigint) as n_documents from q_areas group by city")
+def _(w):
+    path = scratch(w)
+    plan_queries.geojson_documents(w).repartition("_filename").write.option("maxRecordsPerFile", 1).partitionBy("_filename").text(path)
+    docs = files.read_geojson(w.spark, path)
+    features = reshape.explode_features(docs)
+    names = features.join(w["area_shapes"].select("neighbourhood", F.col("_filename").alias("origin")), "neighbourhood")
+    return names.groupBy(clean.path_city("origin").alias("city")).agg(
+        F.count("*").alias("n_features"), F.countDistinct("_filename").alias("n_documents"))
+
+
+@query("s07_with_lineage", "select count(*) as n, count(*) as max_row, count(*) as distinct_rows, true as has_file from lineitem")
+def _(w):
+    numbered = files.with_lineage(views.read(w.spark, w.sf_dir, "lineitem").select("l_orderkey", "_metadata"), "given").drop("_metadata")
+    return numbered.agg(F.count("*").alias("n"), F.max("_file_row_number").alias("max_row"),
+                        F.countDistinct("_file_row_number").alias("distinct_rows"), F.bool_and(F.col("_filename").endswith("lineitem.parquet")).alias("has_file"))
+
+
+@query("s08_newest_file", "select concat('f', cast(event_id as string), '.xlsx') as path from events order by ts desc, path desc limit 1")
+def _(w):
+    listed = views.read(w.spark, w.sf_dir, "events").selectExpr("concat('f', cast(event_id as string), '.xlsx') as path", "ts")
+    return files.newest_file(listed, "path", "ts")
+
+
+@query("s09_land_cells", "select l_orderkey * 10 + l_linenumber as row_no, concat_ws('|', nullif(l_returnflag, 'N'), nullif(l_linestatus, 'O')) as cells from lineitem "
+       "where l_orderkey * 10 + l_linenumber > 20 and (l_returnflag <> 'N' or l_linestatus <> 'O')")
+def _(w):
+    sheet = views.read(w.spark, w.sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber as row_no", "nullif(l_returnflag, 'N') as a", "nullif(l_linestatus, 'O') as b")
+    return files.land_cells(sheet, ["a", "b"], "row_no", 20).select("row_no", F.array_join("cells", "|").alias("cells"))
+
+
+@query("s10_snapshot", "select postcode, latitude, longitude, 'shared.postcodes' as _source from q_raw_code_point")
+def _(w):
+    return files.snapshot(w["raw_code_point"], ["postcode", "latitude", "longitude"], "shared.postcodes").drop("_load_ts")
+
+
+sql.CTE["q_raw_poi_area"] = sql.inside("q_raw_poi", "id")
+
+
+@query("s11_scoped_snapshot", "select p.id, p.category, p.longitude, p.latitude, min(a.neighbourhood) as neighbourhood from q_raw_poi p join q_raw_poi_area a using (id) group by all")
+def _(w):
+    near = spatial.in_extent(w["raw_poi"], w["area_shapes"])
+    placed = spatial.point_in_area(near, w["area_shapes"], ["neighbourhood"])
+    return windows.dedup_latest(placed, ["id"], [F.col("neighbourhood").asc()]).select("id", "category", "longitude", "latitude", "neighbourhood")
+
+
+@query("s12_write_replace", "select c_mktsegment, count(*) as n from customer group by all")
+def _(w):
+    path = scratch(w)
+    df = views.read(w.spark, w.sf_dir, "customer")
+    tables.write_replace(df.select("c_mktsegment"), path)
+    tables.write_replace(df.select("c_mktsegment"), path)
+    return w.spark.read.parquet(path).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+
+
+@query("s13_write_append", "select c_mktsegment, 2 * count(*) as n from customer group by all")
+def _(w):
+    path = scratch(w)
+    df = views.read(w.spark, w.sf_dir, "customer").select("c_mktsegment")
+    tables.write_append(df, path)
+    tables.write_append(df, path)
+    return w.spark.read.parquet(path).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+
+
+@query("s14_replace_keys", "select c_mktsegment, case when c_mktsegment = 'BUILDING' then 2e0 else 1e0 end * count(*) as total from customer group by all")
+def _(w):
+    path = scratch(w)
+    df = views.read(w.spark, w.sf_dir, "customer").select("c_custkey", "c_mktsegment", F.lit(1.0).alias("v"))
+    tables.replace_keys(df, path, ["c_mktsegment"])
+    tables.replace_keys(df.where("c_mktsegment = 'BUILDING'").withColumn("v", F.lit(2.0)), path, ["c_mktsegment"])
+    return w.spark.read.parquet(path).groupBy("c_mktsegment").agg(F.sum("v").alias("total"))
+
+
+BAD = "case when o_orderkey % 11 = 0 then concat('bad line ', cast(o_orderkey as string)) end"
+
+
+@query("s15_load_audit", f"""
+select 'RAW_PRICE_PAID' as table_name, o_orderpriority as file_name, case when count(e) = 0 then 'LOADED' when count(e) = count(*) then 'LOAD_FAILED' else 'PARTIALLY_LOADED' end as status,
+ count(*) as rows_parsed, count(*) - count(e) as rows_loaded, count(e) as errors_seen, arg_min(e, o_orderkey) filter (where e is not null) as first_error,
+ min(o_orderkey) filter (where e is not null) as first_error_line from (select *, {BAD} as e from orders) o group by o_orderpriority""")
+def _(w):
+    rows = views.read(w.spark, w.sf_dir, "orders").selectExpr("o_orderpriority as f", "o_orderkey as line", f"{BAD} as e")
+    return reports.load_audit(rows, "RAW_PRICE_PAID", "f", "line", "e")
+
+
+@query("s16_clean_audit", "select 'SILVER.CALENDAR' as table_name, 'BRONZE.CALENDAR' as source_table, a.n as rows_in, b.n as rows_out, a.n - b.n as rows_dropped "
+       "from (select count(*) as n from q_raw_calendar) a, (select count(*) as n from q_calendar) b")
+def _(w):
+    return reports.clean_audit("SILVER.CALENDAR", "BRONZE.CALENDAR", w["raw_calendar"], w.at("calendar"))
+
+
+@query("s17_verify_counts", "select 'listings' as table_name, count(*) as row_count from q_listings union all select 'sales', count(*) from q_sales union all select 'none', 0")
+def _(w):
+    return reports.verify_counts({"listings": w.at("listings"), "sales": w.at("sales"), "none": None})
+
+
+@query("s18_check_columns", "select count(*) as n from q_raw_calendar")
+def _(w):
+    checked = reports.check_columns(w["raw_calendar"], ["listing_id", "date", "is_booked", "minimum_nights", "maximum_nights"])
+    return checked.agg(F.count("*").alias("n"))
+
+
+@query("s19_list_columns", "select 'l_orderkey' as column_name, 'bigint' as data_type, count(l_orderkey) as non_null from lineitem union all "
+       "select 'l_linenumber', 'int', count(l_linenumber) from lineitem union all select 'l_quantity', 'double', count(l_quantity) from lineitem")
+def _(w):
+    df = views.read(w.spark, w.sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    full = df.agg(*[F.count(c).alias(c) for c in df.columns]).unpivot([], df.columns, "column_name", "non_null")
+    return tables.list_columns(df).drop("ordinal_position").join(full, "column_name")
+
+
+@query("s20_values_frame", f"select city, count(*) as areas, max(assumed_lt_gross_yield_pct) as y from q_areas join q_assumptions using (city) group by all")
+def _(w):
+    constants = joins.values_frame(w.spark, rules.CITY_ASSUMPTIONS, rules.CITY_ASSUMPTION_COLUMNS)
+    return w["dim_area"].join(constants, "city").groupBy("city").agg(F.count("*").alias("areas"), F.max("assumed_lt_gross_yield_pct").alias("y"))
+
+
+@query("s21_date_spine", "select cast(unnest(generate_series(a - interval 30 day, b + interval 30 day, interval 1 day)) as date) as date_key from (select min(cast(o_orderdate as date)) as a, max(cast(o_orderdate as date)) as b from orders) s")
+def _(w):
+    days = views.read(w.spark, w.sf_dir, "orders").selectExpr("cast(o_orderdate as date) as d")
+    return star.date_spine(days, "d", cap=None)
+
+
+# --- cleaning rules ----------------------------------------------------------
+def column_query(name: str, source: str, sql_exprs: dict[str, str], spark_exprs, oracle_source: str | None = None) -> None:
+    """Per-row rules over a whole raw view, counted by distinct result."""
+    inner = ", ".join(f"{e} as {n}" for n, e in sql_exprs.items())
+    oracle = f"select {', '.join(sql_exprs)}, count(*) as n from (select {inner} from {oracle_source or 'q_' + source}) r group by all"
+
+    @query(name, oracle)
+    def _(w):
+        cols = spark_exprs()
+        rows = w[source] if source.startswith("raw_") else w.at(source)
+        return rows.select(*[c.alias(n) for n, c in cols.items()]).groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+
+
+MONEY, PERCENT, FLAG = sql.MONEY, sql.PERCENT, sql.FLAG
+column_query("c01_safe_cast", "raw_listings", {
+    "beds": whole("bedrooms"), "rating": "try_cast(review_scores_rating as double)", "scraped": "try_cast(last_scraped as date)", "odd": whole("price")},
+    lambda: {"beds": clean.whole("bedrooms"), "rating": clean.number("review_scores_rating"), "scraped": clean.day("last_scraped"), "odd": clean.whole("price")})
+column_query("c02_blank_to_null", "raw_listings", {"name": "nullif(trim(name), '')", "bedrooms": "nullif(trim(bedrooms), '')"},
+             lambda: {"name": clean.blank_to_null("name"), "bedrooms": clean.blank_to_null("bedrooms")})
+column_query("c03_marker_to_null", "raw_listings", {"rate": "case when trim(host_response_rate) not in ('N/A', '') then trim(host_response_rate) end"},
+             lambda: {"rate": clean.marker_to_null("host_response_rate", ("N/A", ""))})
+column_query("c04_parse_money", "raw_listings", {"price": f"cast({MONEY.format('price')} as double)", "revenue": f"cast({MONEY.format('estimated_revenue_l365d')} as double)"},
+             lambda: {"price": clean.parse_money("price"), "revenue": clean.parse_money("estimated_revenue_l365d")})
+column_query("c05_parse_percent", "raw_listings", {"pct": PERCENT.format("host_response_rate")}, lambda: {"pct": clean.parse_percent("host_response_rate")})
+column_query("c06_parse_flag", "raw_listings", {"flag": FLAG.format("host_is_superhost")}, lambda: {"flag": clean.parse_flag("host_is_superhost")})
+column_query("c06_parse_flag_wide", "raw_calendar", {
+    "flag": f"case when lower(is_booked) in {in_values(rules.TRUE_WORDS)} then true when lower(is_booked) in {in_values(rules.FALSE_WORDS)} then false end"},
+    lambda: {"flag": clean.parse_flag_wide("is_booked")})
+column_query("c07_strip_prefix", "raw_listings", {"kind": f"trim(regexp_replace(lower(property_type), '{sql.PREFIX}', ''))"}, lambda: {"kind": clean.strip_room_prefix("property_type")})
+column_query("c08_decode", "raw_price_paid", {
+    "kind": sql.case_map("upper(property_type)", rules.SALE_PROPERTY_TYPE), "tenure": sql.case_map("duration", rules.SALE_TENURE),
+    "status": sql.case_map("record_status", rules.SALE_RECORD_STATUS)},
+    lambda: {"kind": clean.decode("property_type", rules.SALE_PROPERTY_TYPE), "tenure": clean.decode("duration", rules.SALE_TENURE),
+             "status": clean.decode("record_status", rules.SALE_RECORD_STATUS)})
+column_query("c09_property_class", "raw_price_paid", {"class": sql.case_map("upper(property_type)", rules.SALE_PROPERTY_CLASS)}, lambda: {"class": clean.sale_class("property_type")})
+column_query("c10_quality_flag", "raw_price_paid", {
+    "flag": "case when ppd_category_type = 'B' then 'non_standard' when cast(price as bigint) not between 10000 and 20000000 then 'price_suspect' else 'ok' end"},
+    lambda: {"flag": clean.sale_quality("ppd_category_type", clean.whole("price", 12))})
+column_query("c11_strip_chars", "raw_price_paid", {"uid": "translate(transaction_uid, '{}', '')"}, lambda: {"uid": clean.strip_chars("transaction_uid", "{}")})
+column_query("c12_join_key", "raw_price_paid", {"key": "upper(replace(postcode, ' ', ''))", "name": "lower(trim(county))"},
+             lambda: {"key": clean.postcode_key("postcode"), "name": clean.name_key("county")})
+column_query("c13_path_city", "raw_listings", {"city": sql.city_of("_filename"), "under": sql.city_of("_filename")},
+             lambda: {"city": clean.path_city("_filename"), "under": clean.path_city_under("_filename", "raw/feed")})
+
+
+@query("c14_require", "select count(*) as n from q_raw_listings where id is not null and estimated_revenue_l365d is not null and latitude between -90 and 90 and longitude between -180 and 180")
+def _(w):
+    rows = w["raw_listings"].dropna(subset=["id", "estimated_revenue_l365d"]).where(clean.in_world("latitude", "longitude"))
+    return rows.agg(F.count("*").alias("n"))
+
+
+@query("c15_in_list", f"select upper(trim(county)) as county, count(*) as n from q_raw_price_paid where upper(trim(county)) in {in_values(rules.SALE_COUNTIES)} group by all")
+def _(w):
+    kept = w["raw_price_paid"].where(clean.in_list("county", rules.SALE_COUNTIES))
+    return kept.groupBy(clean.code("county").alias("county")).agg(F.count("*").alias("n"))
+
+
+@query("c16_code_scope", "select c1 as code, count(*) as n from q_rent_scope group by all")
+def _(w):
+    code = clean.element("cells", 1)
+    return w["raw_rent_cells"].where(clean.rent_scope(code)).groupBy(code.alias("code")).agg(F.count("*").alias("n"))
+
+
+@query("c17_geo_level", "select case when c1 like 'E12%' then 'region' else 'district' end as level, count(*) as n from q_rent_sheet group by all")
+def _(w):
+    return w["raw_rent_cells"].groupBy(clean.geo_level(clean.element("cells", 1)).alias("level")).agg(F.count("*").alias("n"))
+
+
+@query("c18_plausible_calendar", f"select count(*) as n, count(distinct listing_id) as listings from (select * from q_booked_raw where listing_id > 0 and date between date '{plan_queries.FIRST}' and date '{plan_queries.LAST}' and minimum_nights <= maximum_nights and minimum_nights between 1 and 365 and maximum_nights > 0) t")
+def _(w):
+    typed = reports.typed_calendar(w["raw_calendar"])
+    kept = reports.plausible_calendar(typed, plan_queries.FIRST, plan_queries.LAST)
+    return kept.agg(F.count("*").alias("n"), F.countDistinct("listing_id").alias("listings"))
+
+
+sql.CTE["q_booked_raw"] = sql.CTE["q_booked"].rsplit(" qualify ", 1)[0]
+from checks.registry import ORACLES  # noqa: E402
+
+ORACLES["c18_plausible_calendar"] = sql.build(
+    f"select count(*) as n, count(distinct listing_id) as listings from q_booked_raw where listing_id > 0 and date between date '{plan_queries.FIRST}' "
+    f"and date '{plan_queries.LAST}' and minimum_nights <= maximum_nights and minimum_nights between 1 and 365 and maximum_nights > 0")
+
+
+@query("c19_plausible_reviews", "select listing_id, count(*) as n from q_reviews_ok group by all")
+def _(w):
+    kept = reports.plausible_reviews(reports.typed_reviews(w["raw_reviews"]), last="2021-06-30")
+    return kept.groupBy("listing_id").agg(F.count("*").alias("n"))
+
+
+column_query("c20_classify_first_match", "raw_listings", {"label": "case when name like '%ring%' then 'ring' when name in (' red widget ') or name like '%widget%' then 'widget' else 'rest' end"},
+             lambda: {"label": classify.first_match(F.col("name"), [rules.Rule("ring", like=("%ring%",)), rules.Rule("widget", exact=(" red widget ",), like=("%widget%",))], F.lit("rest"))})
+column_query("c21_poi_group", "raw_poi", {"grp": sql.case_rules("lower(category)", rules.POI_RULES, "null")}, lambda: {"grp": classify.poi_group("category")})
+column_query("c22_amenity_group", "listing_amenities", {"raw_amenity": "raw_amenity", "grp": sql.case_rules("lower(raw_amenity)", rules.AMENITY_RULES, "'Other'")},
+             lambda: {"raw_amenity": F.col("raw_amenity"), "grp": classify.amenity_group("raw_amenity")}, "q_amenities")
+column_query("c23_amenity_simplify", "listing_amenities", {"label": sql.case_rules("lower(raw_amenity)", rules.AMENITY_LABELS, "raw_amenity")},
+             lambda: {"label": classify.amenity_label("raw_amenity")}, "q_amenities")
+column_query("c24_property_group", "listings", {
+    "grp": sql.case_members("property_type", rules.PROPERTY_GROUPS, "'Other / Unknown'"), "class": sql.case_members("property_type", rules.PROPERTY_CLASSES)},
+    lambda: {"grp": classify.property_group("property_type"), "class": classify.property_class("property_type")})
+
+
+@query("c25_group_dim", "select property_group, count(*) as types from q_property_map group by all")
+def _(w):
+    groups = star.dim_property_group(w.at("property_map")).select("property_group")
+    return groups.join(w.at("property_map"), "property_group").groupBy("property_group").agg(F.count("*").alias("types"))
+
+
+@query("c26_poi_flags", "select amenity_group, is_transport, is_dining, count(*) as n from q_dim_poi group by all")
+def _(w):
+    return w["dim_poi"].groupBy("amenity_group", "is_transport", "is_dining").agg(F.count("*").alias("n"))
+
+
+column_query("c27_bedroom_bucket", "listings", {"bucket": sql.BUCKET, "strict": sql.STRICT_BUCKET, "sort": "case when bedrooms is not null then least(bedrooms, 4) end"},
+             lambda: {"bucket": measures.bedroom_bucket("bedrooms"), "strict": measures.bedroom_bucket_strict("bedrooms"), "sort": measures.bedroom_sort("bedrooms")})
+column_query("c28_rates", "listings", {
+    "active": "estimated_occupancy_l365d >= 30", "rate": rd("estimated_occupancy_l365d / 365e0", 4), "revpar": rd("cast(estimated_revenue_l365d as double) / 365e0", 2),
+    "has_revenue": "estimated_revenue_l365d is not null"},
+    lambda: {"active": measures.is_active("estimated_occupancy_l365d"), "rate": measures.occupancy_rate("estimated_occupancy_l365d"),
+             "revpar": measures.revpar("estimated_revenue_l365d"), "has_revenue": F.col("estimated_revenue_l365d").isNotNull()})
+
+
+@query("c29_like_for_like", "select structure_class, count(*) as n, count(*) filter (where bedrooms >= 1) as with_beds from q_dim_listing where structure_class in ('Flat', 'House') and room_type = 'Entire home/apt' and is_active group by all")
+def _(w):
+    rows = w.at("mart_listing").where(measures.like_for_like())
+    return rows.groupBy("structure_class").agg(F.count("*").alias("n"), F.count_if(F.col("bedrooms") >= 1).alias("with_beds"))
+
+
+@query("c30_first_available", f"select case when review_scores_rating is not null then 'rating' when estimated_revenue_l365d is not null then 'revenue' else 'price' end as source, "
+       f"{rd('sum(cast(coalesce(review_scores_rating, estimated_revenue_l365d, price) as decimal(18,4)))', 2)} as total from q_listings group by all")
+def _(w):
+    value, source = clean.first_available(
+        [("review_scores_rating", "rating"), (F.col("estimated_revenue_l365d").cast("double"), "revenue")], (F.col("price").cast("double"), "price"))
+    return w.at("listings").select(value.alias("v"), source.alias("source")).groupBy("source").agg(F.round(measures.exact_sum("v"), 2).alias("total"))
+
+
+@query("c31_any_measure", "select count(*) as n from q_listings where review_scores_rating is not null or estimated_revenue_l365d is not null")
+def _(w):
+    return w.at("listings").where(clean.any_measure([F.col("review_scores_rating"), F.col("estimated_revenue_l365d").cast("double")])).agg(F.count("*").alias("n"))
+
+
+@query("c32_sample_flags", "select host_id, count(*) as n, count(*) >= 5 as enough, count(*) >= 10 as robust, count(*) >= 5 and count(*) >= 15 as gap, "
+       "case when count(*) < 3 then ' WARNING: only 1-2 listings — treat with caution' when count(*) < 10 then ' (limited sample — interpret carefully)' else '' end as note from q_listings group by host_id")
+def _(w):
+    n = w.at("listings").groupBy("host_id").agg(F.count("*").alias("n"))
+    return n.select("host_id", "n", measures.sufficient("n").alias("enough"), measures.robust("n").alias("robust"), measures.gap_sample("n", "n").alias("gap"), measures.sample_note("n").alias("note"))
+
+
+column_query("c33_occupancy_quality", "listings", {
+    "q": "case when estimated_occupancy_l365d = 0 then 'ZERO_BOOKINGS' when estimated_occupancy_l365d = 365 then 'FULLY_BOOKED_CHECK' else 'OK' end",
+    "c": "case when coalesce(number_of_reviews, 0) = 0 then 'NO_COMMENTS' else 'OK' end"},
+    lambda: {"q": measures.occupancy_quality(measures.ratio("estimated_occupancy_l365d", F.lit(365))), "c": measures.comment_coverage("number_of_reviews")})
+column_query("c34_date_range_label", "calendar", {"label": "strftime(calendar_date, '%d/%m/%Y') || ' - ' || strftime(calendar_date + interval 5 day, '%d/%m/%Y')"},
+             lambda: {"label": measures.date_range_label("calendar_date", F.date_add("calendar_date", 5))})
+
+
+@query("c35_host_clean", "select distinct host_id, host_name, case when host_response_rate = 'N/A' then 'UNKNOWN' else coalesce(replace(host_response_rate, '%', ''), 'UNKNOWN') end as host_response_rate from q_raw_listings")
+def _(w):
+    return reports.hosts_clean(w["raw_listings"].select("host_id", "host_name", "host_response_rate"))
+
+
+@query("c36_drop_any_null", "select count(*) as n, cast(3 as bigint) as n_columns from q_raw_listings where estimated_revenue_l365d is not null and review_scores_rating is not null")
+def _(w):
+    rows = w["raw_listings"].select("id", "estimated_revenue_l365d", "review_scores_rating", "name").drop("name").dropna("any")
+    return rows.agg(F.count("*").alias("n"), F.lit(len(rows.columns)).alias("n_columns"))
+
+
+@query("c37_tuple_in", "select listing_id from q_dim_listing where (structure_class, room_type) in (('Flat', 'Private room'), ('House', 'Hotel room'))")
+def _(w):
+    return joins.tuple_in(w.at("dim_listing"), ["structure_class", "room_type"], [("Flat", "Private room"), ("House", "Hotel room")]).select("listing_id")
+
+
+@query("c38_select_cases", "select listing_id from q_dim_listing where lower(neighbourhood) = 'nation_3' and lower(structure_class) = 'flat'")
+def _(w):
+    return joins.select_cases(w.at("dim_listing"), {"neighbourhood": " nation_3", "structure_class": "FLAT"}).select("listing_id")
+
+
+column_query("c39_display_text", "raw_poi", {"label": "list_aggregate(list_transform(string_split(replace(category, '_', ' '), ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', ' ')"},
+             lambda: {"label": measures.display_text("category")})
+column_query("c40_money_text", "listings", {"money": "coalesce('£' || format('{:,}', cast(estimated_revenue_l365d as bigint)), 'N/A')", "pct": "coalesce(format('{:.1f}', cast(host_response_rate_pct as double)) || '%', 'N/A')"},
+             lambda: {"money": measures.money_text("estimated_revenue_l365d"), "pct": measures.percent_text("host_response_rate_pct")})
+column_query("c41_mentions", "raw_reviews", {"hit": "contains(lower(comments), 'tion') or contains(lower(comments), 'les')"}, lambda: {"hit": classify.mentions("comments", ("tion", "les"))})
+column_query("c42_clip_upper", "listings", {"v": "cast(case when price is not null then least(price, 1000) end as double)"}, lambda: {"v": measures.clip_upper("price", F.lit(1000))})
+column_query("c43_weighted_score", "listings", {"s": sql.re_("(review_scores_rating * 6e-1 + host_response_rate_pct * 4e-1) * 100e0", 2)},
+             lambda: {"s": F.bround((F.col("review_scores_rating") * 0.6 + F.col("host_response_rate_pct") * 0.4) * 100.0, 2)})
+column_query("c44_month_season", "calendar", {
+    "m": "strftime(calendar_date, '%b')", "s": "case when month(calendar_date) in (12, 1, 2) then 'Winter' when month(calendar_date) < 6 then 'Spring' when month(calendar_date) < 9 then 'Summer' else 'Autumn' end"},
+    lambda: {"m": measures.month_label(F.month("calendar_date")), "s": measures.season(F.month("calendar_date"))})
+column_query("c45_first_argmax", "listings", {"top": "case when bedrooms >= accommodates and bedrooms >= host_id then 'bedrooms' when accommodates >= host_id then 'accommodates' else 'host' end"},
+             lambda: {"top": classify.first_argmax([(F.coalesce("bedrooms", F.lit(-1)), "bedrooms"), ("accommodates", "accommodates"), ("host_id", "host")])})

@@ -84,7 +84,7 @@ DIM = ["listing_id", "host_id", "property_type", "structure_class", "property_gr
 table("m16_dim_listing", "dim_listing", DIM, "q_dim_listing")
 
 
-@query("m17_dim_property_group", "select property_group, " + sql.case_map("property_group", {k: "@" + str(v) for k, v in rules.PROPERTY_GROUP_ORDER.items()}).replace("'@", "").replace("' when", " when").replace("' else null", " else 99") + " as display_order, "
+@query("m17_dim_property_group", "select property_group, " + sql.case_map("property_group", {k: "@" + str(v) for k, v in rules.PROPERTY_GROUP_ORDER.items()}).replace("'@", "").replace("' when", " when").replace("' else null", " else 99") + "::bigint as display_order, "
        + sql.case_map("property_group", rules.PROPERTY_GROUP_TEXT) + " as description from (select distinct property_group from q_property_map) g")
 def _(w):
     return w["dim_property_group"]

@@ -30,7 +30,7 @@ def build(select: str) -> str:
 
 def rd(x: str, digits: int) -> str:
     """Half away from zero on the decimal text of a double."""
-    return f"cast(round(cast({x} as decimal(28,8)), {digits}) as double)"
+    return f"cast(round(cast({x} as decimal({'28,8' if digits <= 4 else '38,14'})), {digits}) as double)"
 
 
 def re_(x: str, digits: int) -> str:
@@ -334,7 +334,7 @@ select {city_of('_filename')} as city, neighbourhood as neighbourhood_cleansed,
  count(*) filter (where room_type = 'Entire home/apt') as count_entire_home_apt, count(*) filter (where room_type = 'Private room') as count_private_room,
  count(*) filter (where room_type = 'Shared room') as count_shared_room, count(*) filter (where room_type = 'Hotel room') as count_hotel_room,
  {r4('host_response_rate_pct')} as avg_host_response_rate, {r4('host_acceptance_rate_pct')} as avg_host_acceptance_rate,
- {re_('cast(count(*) filter (where host_is_superhost) as double) / count(host_is_superhost) * 100e0', 4)} as pct_superhost
+ {re_('cast(count(*) filter (where host_is_superhost) as double) / nullif(count(host_is_superhost), 0) * 100e0', 4)} as pct_superhost
 from q_listings group by 1, 2"""
 CTE["q_poi_columns"] = """
 select neighbourhood, count(*) filter (where amenity_group = 'Transport') as poi_transport,

@@ -221,4 +221,6 @@ def world(spark: SparkSession, sf_dir: str) -> Lazy:
     makers["area_shapes"] = lambda: keep("area_shapes", lambda: area_shapes(spark, sf_dir))
     makers["raw_neighbourhoods"] = lambda: view(spark, sf_dir, "raw_areas").select("neighbourhood", "neighbourhood_group")
     makers["raw_rent_cells"] = lambda: keep("raw_rent_cells", lambda: rent_cells(spark, sf_dir))
-    return Lazy({}, spark, makers, keep)
+    found = Lazy({}, spark, makers, keep)
+    found.sf_dir = sf_dir
+    return found
