@@ -68,9 +68,9 @@ SNAPS = ("concat('raw/', cast(c_nationkey as string), '/', case when c_custkey %
 
 
 @query("s05_latest_partition", f"""
-select city, path, n from (select city, path, count(*) as n, max(d) as d, max(max(d)) over (partition by city) as top from (
- select c_nationkey::bigint as city, {SNAPS} as path, regexp_extract({SNAPS}, 'snapshot_date=([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})/', 1) as d from customer) p group by all) g
-where d = top""")
+select city, path, n from (select city, path, n, d, max(d) over (partition by city) as top from (
+ select c_nationkey::bigint as city, {SNAPS} as path, max(regexp_extract({SNAPS}, 'snapshot_date=([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})/', 1)) as d, count(*) as n from customer group by 1, 2) p) g
+where d = top and d <> ''""")
 def _(w):
     listed = views.read(w.spark, w.sf_dir, "customer").selectExpr("cast(c_nationkey as bigint) as city", f"{SNAPS} as path")
     return files.latest_partition(listed, "city", "path").groupBy("city", "path").agg(F.count("*").alias("n"))
@@ -140,7 +140,7 @@ def _(w):
     return w.spark.read.parquet(path).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
-@query("s14_replace_keys", "select c_mktsegment, case when c_mktsegment = 'BUILDING' then 2e0 else 1e0 end * count(*) as total from customer group by all")
+@query("s14_replace_keys", "select c_mktsegment, sum(case when c_mktsegment = 'BUILDING' then 2e0 else 1e0 end) as total from customer group by c_mktsegment")
 def _(w):
     path = scratch(w)
     df = views.read(w.spark, w.sf_dir, "customer").select("c_custkey", "c_mktsegment", F.lit(1.0).alias("v"))
@@ -266,21 +266,18 @@ def _(w):
     return w["raw_rent_cells"].groupBy(clean.geo_level(clean.element("cells", 1)).alias("level")).agg(F.count("*").alias("n"))
 
 
-@query("c18_plausible_calendar", f"select count(*) as n, count(distinct listing_id) as listings from (select * from q_booked_raw where listing_id > 0 and date between date '{plan_queries.FIRST}' and date '{plan_queries.LAST}' and minimum_nights <= maximum_nights and minimum_nights between 1 and 365 and maximum_nights > 0) t")
+sql.CTE["q_booked_raw"] = sql.CTE["q_booked"].rsplit(" qualify ", 1)[0]
+
+
+@query("c18_plausible_calendar", f"""
+select count(*) as n, count(distinct listing_id) as listings from q_booked_raw where listing_id > 0 and date between date '{plan_queries.FIRST}'
+ and date '{plan_queries.LAST}' and minimum_nights <= maximum_nights and minimum_nights between 1 and 365 and maximum_nights > 0""")
 def _(w):
     typed = reports.typed_calendar(w["raw_calendar"])
     kept = reports.plausible_calendar(typed, plan_queries.FIRST, plan_queries.LAST)
     return kept.agg(F.count("*").alias("n"), F.countDistinct("listing_id").alias("listings"))
 
 
-sql.CTE["q_booked_raw"] = sql.CTE["q_booked"].rsplit(" qualify ", 1)[0]
-from checks.registry import ORACLES  # noqa: E402
-
-ORACLES["c18_plausible_calendar"] = sql.build(
-    f"select count(*) as n, count(distinct listing_id) as listings from q_booked_raw where listing_id > 0 and date between date '{plan_queries.FIRST}' "
-    f"and date '{plan_queries.LAST}' and minimum_nights <= maximum_nights and minimum_nights between 1 and 365 and maximum_nights > 0")
-
-
 @query("c19_plausible_reviews", "select listing_id, count(*) as n from q_reviews_ok group by all")
 def _(w):
     kept = reports.plausible_reviews(reports.typed_reviews(w["raw_reviews"]), last="2021-06-30")
@@ -387,3 +384,432 @@ column_query("c44_month_season", "calendar", {
     lambda: {"m": measures.month_label(F.month("calendar_date")), "s": measures.season(F.month("calendar_date"))})
 column_query("c45_first_argmax", "listings", {"top": "case when bedrooms >= accommodates and bedrooms >= host_id then 'bedrooms' when accommodates >= host_id then 'accommodates' else 'host' end"},
              lambda: {"top": classify.first_argmax([(F.coalesce("bedrooms", F.lit(-1)), "bedrooms"), ("accommodates", "accommodates"), ("host_id", "host")])})
+
+
+# --- joins -------------------------------------------------------------------
+@query("j01_join_inner", "select m.amenity_group, l.neighbourhood, count(*) as n from q_amenities m join q_listings l using (listing_id) group by all")
+def _(w):
+    both = joins.join_keys(w.at("listing_amenities"), w.at("listings").select("listing_id", "neighbourhood"), ["listing_id"])
+    return both.groupBy("amenity_group", "neighbourhood").agg(F.count("*").alias("n"))
+
+
+@query("j02_join_left", "select l.neighbourhood, count(*) as n, count(r.review_id) as reviews from q_listings l left join q_reviews r using (listing_id) group by all")
+def _(w):
+    both = joins.join_keys(w.at("listings").select("listing_id", "neighbourhood"), w.at("reviews").select("listing_id", "review_id"), ["listing_id"], "left")
+    return both.groupBy("neighbourhood").agg(F.count("*").alias("n"), F.count("review_id").alias("reviews"))
+
+
+@query("j03_join_on_keys", "select d.listing_id, s.sale_txn_count from q_dim_listing d left join q_area_sales s using (neighbourhood, structure_class)")
+def _(w):
+    prices = w.at("fct_area_sales").select("neighbourhood", "structure_class", "sale_txn_count")
+    return joins.join_keys(w.at("dim_listing"), prices, ["neighbourhood", "structure_class"], "left").select("listing_id", "sale_txn_count")
+
+
+@query("j04_join_on_constant", "select l.listing_id, s.median_sale_price from q_listings l left join (select * from q_area_sales where structure_class = 'All') s using (neighbourhood)")
+def _(w):
+    prices = w.at("fct_area_sales").select("neighbourhood", "structure_class", "median_sale_price")
+    return joins.join_on_constant(w.at("listings").select("listing_id", "neighbourhood"), prices, ["neighbourhood"], "structure_class", "All").select("listing_id", "median_sale_price")
+
+
+@query("j05_join_role_twice", """
+select h.listing_id, b.annual_rent as bed_rent, k.annual_rent as class_rent from q_bed_homes h
+left join q_area_rent b on b.neighbourhood = h.neighbourhood and b.category_type = 'bedroom' and b.rent_category = h.bedroom_bucket
+left join q_area_rent k on k.neighbourhood = h.neighbourhood and k.category_type = 'structure' and k.rent_category = h.structure_class""")
+def _(w):
+    rent = w.at("fct_area_rent")
+    bed = rent.where("category_type = 'bedroom'").selectExpr("neighbourhood", "rent_category as bedroom_bucket", "annual_rent as bed_rent")
+    cls = rent.where("category_type = 'structure'").selectExpr("neighbourhood", "rent_category as structure_class", "annual_rent as class_rent")
+    homes = marts.dwellings(w.at("mart_listing"), w.at("dim_area"), True).withColumn("bedroom_bucket", measures.bedroom_bucket("bedrooms"))
+    both = homes.join(bed, ["neighbourhood", "bedroom_bucket"], "left").join(cls, ["neighbourhood", "structure_class"], "left")
+    return both.select("listing_id", "bed_rent", "class_rent")
+
+
+@query("j06_cross_with_small", "select l.neighbourhood, p.persona, count(*) as n from q_listings l cross join (values ('YIELD_MAXIMISER'), ('OCCUPANCY_OPTIMISER'), ('QUALITY_HOST')) p(persona) group by all")
+def _(w):
+    crossed = joins.cross_with_fixed(w.at("listings").select("neighbourhood"), w.spark, [(p,) for p in rules.PERSONA_SCORES], "persona string")
+    return crossed.groupBy("neighbourhood", "persona").agg(F.count("*").alias("n"))
+
+
+@query("j07_join_range", "select p.id from q_raw_poi p, (select min(x0) as a, max(x0) as b, min(y0) as c, max(y0) as d from q_edges) e where p.longitude between a and b and p.latitude between c and d")
+def _(w):
+    return spatial.in_extent(w["raw_poi"], w["area_shapes"]).select("id")
+
+
+@query("j08_point_in_area", "select p.id, a.neighbourhood from q_raw_poi p left join q_raw_poi_area a using (id)")
+def _(w):
+    return spatial.point_in_area(w["raw_poi"], w["area_shapes"], ["neighbourhood"], "left").select("id", "neighbourhood")
+
+
+@query("j09_within_distance", "select l.listing_id, count(n.poi_id) as pairs, cast(sum(n.poi_id) as bigint) as poi_sum from q_dim_listing l left join q_near n using (listing_id) group by all")
+def _(w):
+    pois = w.at("pois").where(F.col("confidence") >= 0.5).selectExpr("poi_id", "longitude as poi_longitude", "latitude as poi_latitude")
+    near = spatial.within_distance(w.at("dim_listing").select("listing_id", "longitude", "latitude"), pois, 500.0)
+    return near.groupBy("listing_id").agg(F.count("poi_id").alias("pairs"), F.sum("poi_id").alias("poi_sum"))
+
+
+@query("j10_join_semi", "select listing_id from q_listings where listing_id in (select listing_id from q_amenities)")
+def _(w):
+    return joins.join_semi(w.at("listings").select("listing_id"), w.at("listing_amenities"), ["listing_id"])
+
+
+@query("j11_join_anti", "select listing_id from q_listings where listing_id not in (select listing_id from q_amenities)")
+def _(w):
+    return joins.join_anti(w.at("listings").select("listing_id"), w.at("listing_amenities"), ["listing_id"])
+
+
+@query("j12_join_latest", "select listing_id, calendar_date from q_calendar where calendar_date = (select max(calendar_date) from q_calendar)")
+def _(w):
+    return joins.join_latest(w.at("calendar"), "calendar_date").select("listing_id", "calendar_date")
+
+
+@query("j13_crosswalk", "select l.listing_id, x.ons_area_name, x.rent_grain from q_listings l join q_crosswalk x using (neighbourhood)")
+def _(w):
+    places = w.at("listings").join(w.at("dim_area").select("neighbourhood", "city"), "neighbourhood")
+    city, area = F.col("city"), F.col("neighbourhood")
+    return places.select("listing_id", joins.rent_area_name(city, area).alias("ons_area_name"), joins.rent_grain(city, area).alias("rent_grain"))
+
+
+PICKS = [{"neighbourhood": " nation_3", "city": "LONDON"}, {"neighbourhood": "Nation_1", "city": "Greater Manchester "}, {"neighbourhood": "none", "city": "Bristol"}]
+
+
+@query("j14_join_selection", "select p.pick as pick_neighbourhood, s.month, s.booked_nights from (values (' nation_3'), ('Nation_1'), ('none')) p(pick) left join q_area_seasonal s on lower(trim(p.pick)) = lower(s.neighbourhood)")
+def _(w):
+    picks = joins.picks_frame(w.spark, PICKS, ["neighbourhood", "city"])
+    return joins.join_selection(picks, w.at("mart_area_seasonal"), ["neighbourhood", "city"], "left").select("pick_neighbourhood", "month", "booked_nights")
+
+
+# --- aggregates --------------------------------------------------------------
+@query("a01_count_distinct", "select neighbourhood, count(*) as n, count(review_scores_rating) as rated, count(distinct host_id) as hosts from q_listings group by all")
+def _(w):
+    return w.at("listings").groupBy("neighbourhood").agg(F.count("*").alias("n"), F.count("review_scores_rating").alias("rated"), F.countDistinct("host_id").alias("hosts"))
+
+
+@query("a02_count_when", "select neighbourhood, count(*) filter (where bedrooms >= 3) as big, count(distinct host_id) filter (where bedrooms >= 3) as big_hosts from q_listings group by all")
+def _(w):
+    big = F.col("bedrooms") >= 3
+    return w.at("listings").groupBy("neighbourhood").agg(measures.count_when(big).alias("big"), F.countDistinct(F.when(big, F.col("host_id"))).alias("big_hosts"))
+
+
+@query("a03_plain", f"select neighbourhood, {rd(mean('price'), 2)} as avg_price, cast(min(price) as double) as low, cast(max(price) as double) as high, cast(sum(number_of_reviews) as bigint) as reviews from q_listings group by all")
+def _(w):
+    return w.at("listings").groupBy("neighbourhood").agg(
+        measures.mean("price", 2).alias("avg_price"), F.min("price").cast("double").alias("low"), F.max("price").cast("double").alias("high"), F.sum("number_of_reviews").alias("reviews"))
+
+
+@query("a04_median", f"select host_id, {med('price')} as mid_price, {med('price * accommodates')} as mid_total from q_listings group by all")
+def _(w):
+    return quantiles.medians(w.at("listings"), ["host_id"], {"mid_price": F.col("price"), "mid_total": F.col("price") * F.col("accommodates")})
+
+
+@query("a05_any_value", "select neighbourhood, max(split_part(_filename, '/', 3)) as segment from q_listings group by all")
+def _(w):
+    return w.at("listings").groupBy("neighbourhood").agg(F.any_value(F.split_part("_filename", F.lit("/"), F.lit(3))).alias("segment"))
+
+
+@query("a06_weighted_mean", f"select city, {rd('cast(sum(cast(avg_adr as decimal(18,4)) * cast(listing_count as decimal(18,0))) as double) / sum(listing_count)', 6)} as v from q_bedrooms group by all")
+def _(w):
+    return w.at("mart_bedrooms").groupBy("city").agg(F.round(measures.weighted_mean("avg_adr", "listing_count"), 6).alias("v"))
+
+
+@query("a07_ratio", f"select neighbourhood, {rd(div('count(*) filter (where bedrooms >= 3)', 'count(*)') + ' * 100e0', 2)} as pct from q_listings group by all")
+def _(w):
+    return w.at("listings").groupBy("neighbourhood").agg(measures.ratio(F.count_if(F.col("bedrooms") >= 3), F.count("*"), 2, times=100).alias("pct"))
+
+
+@query("a08_quantile", "select neighbourhood, " + ", ".join(f"{rd(med('estimated_revenue_l365d', p), 6)} as q{int(p * 100)}" for p in (0.25, 0.75, 0.99)) + " from q_listings group by all")
+def _(w):
+    wanted = {f"q{int(p * 100)}": (F.col("estimated_revenue_l365d"), p) for p in (0.25, 0.75, 0.99)}
+    found = quantiles.quantiles(w.at("listings"), ["neighbourhood"], wanted)
+    return found.select("neighbourhood", *[F.round(c, 6).alias(c) for c in wanted])
+
+
+@query("a09_n_unique", "select count(distinct room_type) as room_types, count(distinct property_type) as property_types from q_listings")
+def _(w):
+    return w.at("listings").agg(F.countDistinct("room_type").alias("room_types"), F.countDistinct("property_type").alias("property_types"))
+
+
+@query("a10_collect", "select host_id, string_agg(listing_id::varchar, ',' order by listing_id) as ids, count(*) as n from q_listings group by host_id")
+def _(w):
+    rows = w.at("listings").select("host_id", "listing_id", F.col("listing_id").cast("string").alias("id"))
+    return reshape.collect_in_chunks(rows, ["host_id"], "id", "listing_id").select("host_id", F.array_join("id_list", ",").alias("ids"), F.col("n_values").alias("n"))
+
+
+@query("a11_string_list_distinct", "select neighbourhood, string_agg(distinct property_group, ', ' order by property_group) as groups, count(distinct property_group) as n_values from q_dim_listing where property_group is not null group by all")
+def _(w):
+    return reshape.string_list_distinct(w.at("dim_listing"), ["neighbourhood"], "property_group", "groups")
+
+
+@query("a12_share_when", "select neighbourhood, " + sql.re_("cast(count(*) filter (where instant_bookable) as double) / count(instant_bookable) * 100e0", 4) + " as pct from q_listings group by all")
+def _(w):
+    return w.at("listings").groupBy("neighbourhood").agg(F.bround(scores.share_when(F.col("instant_bookable")), 4).alias("pct"))
+
+
+@query("a13_pivot_counts", "select neighbourhood, poi_transport, poi_attractions, poi_dining from q_poi_columns")
+def _(w):
+    return scores.area_poi_columns(w.at("pois"))
+
+
+@query("a14_one_hot", "select listing_id, max((raw_amenity = 'Wifi')::int)::bigint as wifi, max((raw_amenity = 'Hot tub')::int)::bigint as hot_tub from q_amenities group by listing_id")
+def _(w):
+    return reshape.one_hot(w.at("listing_amenities"), ["listing_id"], "raw_amenity", {"wifi": "Wifi", "hot_tub": "Hot tub"})
+
+
+@query("a15_rollup_all", "select neighbourhood, structure_class, sale_txn_count from q_area_sales")
+def _(w):
+    return w["fct_area_sales"].select("neighbourhood", "structure_class", "sale_txn_count")
+
+
+@query("a16_city_benchmark", f"select city, structure_class, count(*) as city_listing_count, {rd(mean('occupancy_rate'), 4)} as city_avg_occupancy_rate, {med('adr')} as city_median_adr, {med('annual_revenue')} as city_median_annual_revenue from q_homes group by all")
+def _(w):
+    return marts.city_benchmark(marts.dwellings(w.at("mart_listing"), w.at("dim_area")), ["city", "structure_class"])
+
+
+@query("a17_group_expr", f"select {sql.BUCKET} as bucket, cast(month(last_scraped) as bigint) as month, count(*) as n from q_listings group by all")
+def _(w):
+    return w.at("listings").groupBy(measures.bedroom_bucket("bedrooms").alias("bucket"), F.month("last_scraped").alias("month")).agg(F.count("*").alias("n"))
+
+
+@query("a18_distinct_keys", "select distinct host_id, neighbourhood from q_listings")
+def _(w):
+    return w.at("listings").select("host_id", "neighbourhood").distinct()
+
+
+@query("a19_scalar_extent", "select min(calendar_date) as first_day, max(calendar_date) as last_day from q_calendar")
+def _(w):
+    return w.at("calendar").agg(F.min("calendar_date").alias("first_day"), F.max("calendar_date").alias("last_day"))
+
+
+PROFILED = {"price": "cast(price as double)", "bedrooms": "bedrooms", "estimated_occupancy_l365d": "estimated_occupancy_l365d"}
+_PROFILE = " union all ".join(
+    f"select '{c}' as column_name, {rd(f'100e0 * (count(*) - count({c})) / count(*)', 4)} as percent_null, count(distinct {c}) as unique_values, "
+    f"{rd(f'max({x}) - min({x})', 4)} as range, {rd(f'avg({x})', 4)} as mean, {rd(f'quantile_cont({x}, 0.5)', 4)} as median, {rd(f'stddev_samp({x})', 4)} as std, "
+    f"{rd(f'min({x})', 4)} as min, {rd(f'max({x})', 4)} as max, {rd(f'skewness({x})', 4)} as skew, count(*) filter (where {x} < lo or {x} > hi) as outlier_count "
+    f"from q_listings, (select quantile_cont({x}, 0.25) - 15e-1 * (quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25)) as lo, "
+    f"quantile_cont({x}, 0.75) + 15e-1 * (quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25)) as hi from q_listings) f"
+    for c, x in PROFILED.items())
+
+
+@query("a20_profile", _PROFILE + " union all select 'room_type', 0e0, count(distinct room_type), null, null, null, null, null, null, null, null from q_listings")
+def _(w):
+    return reports.profile(w.at("listings").select(*PROFILED, "room_type"), digits=4)
+
+
+@query("a21_null_report", " union all ".join(f"select '{c}' as column_name, count(*) filter (where {c} is null) as null_count from q_listings" for c in ("price", "bedrooms", "review_scores_rating")))
+def _(w):
+    return reports.null_report(w.at("listings"), ["price", "bedrooms", "review_scores_rating"])
+
+
+@query("a22_duplicate_report", "select cast(sum(n) as bigint) as total_rows, count(*) as distinct_keys, cast(sum(n) - count(*) as bigint) as duplicate_rows from (select count(*) as n from q_raw_calendar group by listing_id, date) g")
+def _(w):
+    return reports.duplicate_report(w["raw_calendar"], ["listing_id", "date"])
+
+
+@query("a23_calendar_by_listing", f"select listing_id, count(*) as total_calendar_days, count(*) filter (where is_booked) as days_booked, {rd(div('count(*) filter (where is_booked)', 'count(*)'), 4)} as occupancy_rate from q_booked group by all")
+def _(w):
+    unique = windows.dedup_latest(reports.typed_calendar(w["raw_calendar"]), ["listing_id", "date"], [F.col("_file_row_number").asc()])
+    return reports.calendar_by_listing(unique).select("listing_id", "total_calendar_days", "days_booked", "occupancy_rate")
+
+
+sql.CTE["q_season"] = f"""
+select neighbourhood, case when month in (12, 1, 2) then 'Winter' when month < 6 then 'Spring' when month < 9 then 'Summer' else 'Autumn' end as season,
+ cast(sum(booked_nights) as bigint) as booked_nights, cast(sum(total_nights) as bigint) as total_nights, {div('sum(booked_nights)', 'sum(total_nights)')} as o from q_area_seasonal group by 1, 2"""
+
+
+@query("a24_season_summary", f"select neighbourhood, season, booked_nights, total_nights, {rd('o', 6)} as occupancy, first_value(season) over (partition by neighbourhood order by o desc, season) as peak_season, first_value(season) over (partition by neighbourhood order by o, season) as trough_season from q_season")
+def _(w):
+    return reports.season_summary(w.at("mart_area_seasonal"), ["neighbourhood"])
+
+
+@query("a25_listing_share", f"select city, structure_class, cast(sum(listing_count) as bigint) as listing_count, {rd(mean('avg_adr'), 4)} as avg_adr, {rd('100e0 * sum(listing_count) / sum(sum(listing_count)) over (partition by city)', 4)} as listing_percentage from q_bedrooms group by city, structure_class")
+def _(w):
+    return reports.listing_share(w.at("mart_bedrooms"), ["city"], "structure_class", ["avg_adr"])
+
+
+# --- windows, order, sets ----------------------------------------------------
+@query("w01_dedup_latest", "select host_id, listing_id, last_scraped from q_listings qualify row_number() over (partition by host_id order by last_scraped desc nulls last, listing_id) = 1")
+def _(w):
+    rows = w.at("listings").select("host_id", "listing_id", "last_scraped")
+    return windows.dedup_latest(rows, ["host_id"], [F.col("last_scraped").desc_nulls_last(), F.col("listing_id").asc()])
+
+
+@query("w02_rank_by", "select listing_id, row_number() over (order by price desc nulls last, listing_id) as rank from q_listings")
+def _(w):
+    return windows.rank_by(w.at("listings").select("listing_id", "price"), "price", ["listing_id"]).select("listing_id", "rank")
+
+
+@query("w03_top_quartile", "select listing_id, segment from q_segments_rev")
+def _(w):
+    return marts.revenue_segments(w.at("fct_listing"), w.at("listing_amenities")).select("listing_id", "segment")
+
+
+@query("w03_tiles", "select listing_id, cast(ntile(7) over (partition by host_id order by price desc nulls last, listing_id) as bigint) as tile from q_listings")
+def _(w):
+    rows = w.at("listings").select("listing_id", "host_id", "price")
+    return windows.tiles(rows, ["host_id"], [F.col("price").desc_nulls_last(), F.col("listing_id").asc()], 7, "tile").select("listing_id", "tile")
+
+
+@query("w04_share_of_partition", f"select neighbourhood, property_group, listing_count, {rd('100e0 * listing_count / sum(listing_count) over (partition by neighbourhood)', 1)} as pct from (select neighbourhood, property_group, count(*) as listing_count from q_dim_listing group by all) g")
+def _(w):
+    counts = w.at("dim_listing").groupBy("neighbourhood", "property_group").agg(F.count("*").alias("listing_count"))
+    return windows.share_of_partition(counts, ["neighbourhood"], "listing_count", "pct")
+
+
+@query("w05_minmax_by", f"select listing_id, {rd(sql.norm('price'), 6)} as p, {rd(sql.norm('review_scores_rating', True), 6)} as r from (select *, host_id as city from q_listings) l")
+def _(w):
+    scaled = windows.minmax_by(w.at("listings"), "host_id", {"p": ("price", False), "r": ("review_scores_rating", True)})
+    return scaled.select("listing_id", F.round("p", 6).alias("p"), F.round("r", 6).alias("r"))
+
+
+@query("w06_dedup_first", "select listing_id, date from q_booked")
+def _(w):
+    typed = reports.typed_calendar(w["raw_calendar"])
+    return windows.dedup_latest(typed, ["listing_id", "date"], [F.col("_file_row_number").asc()]).select("listing_id", "date")
+
+
+@query("l01_order_by", "select neighbourhood, month, booked_nights from q_area_seasonal order by neighbourhood, month desc")
+def _(w):
+    return w.at("mart_area_seasonal").orderBy(F.asc("neighbourhood"), F.desc_nulls_last("month")).select("neighbourhood", "month", "booked_nights")
+
+
+@query("l02_top_k", "select listing_id, price::double as price from q_listings order by price desc nulls last, listing_id limit 10")
+def _(w):
+    return windows.top_k(w.at("listings").select("listing_id", "price"), 10, "price", ["listing_id"])
+
+
+@query("l03_top_k_per", "select neighbourhood, listing_id from q_listings qualify row_number() over (partition by neighbourhood order by price desc, listing_id) <= 3")
+def _(w):
+    return windows.top_k_per(w.at("listings").select("neighbourhood", "listing_id", "price"), ["neighbourhood"], 3, [F.col("price").desc_nulls_last(), F.col("listing_id").asc()]).drop("price")
+
+
+sql.CTE["q_top10"] = "select price::double as p, row_number() over (order by price desc nulls last, listing_id) as r from q_listings qualify r <= 10"
+
+
+@query("l04_top_bottom", f"select count(*) as listings, {mean('case when r <= 3 then p end')} as avg_top_score, {mean('case when r > 7 then p end')} as avg_bottom_score, {mean('case when r <= 3 then p end')} - {mean('case when r > 7 then p end')} as score_gap from q_top10")
+def _(w):
+    return windows.top_bottom(w.at("listings"), "price", ["listing_id"])
+
+
+@query("l05_union_all", "select neighbourhood, count(*) as n from (select neighbourhood from q_listings union all select neighbourhood from q_pois where neighbourhood is not null) u group by all")
+def _(w):
+    both = w.at("listings").select("neighbourhood").unionByName(w.at("pois").select("neighbourhood").dropna())
+    return both.groupBy("neighbourhood").agg(F.count("*").alias("n"))
+
+
+# --- reshapes ----------------------------------------------------------------
+@query("r01_unpivot_blocks", "select category, count(*) as n, sum(rental_price) as total from q_rents where geo_level = 'district' group by all")
+def _(w):
+    rows = reshape.unpivot_blocks(w["raw_rent_cells"].where((F.col("_file_row_number") >= 4) & clean.rent_scope(F.get("cells", 1)) & (clean.geo_level(F.get("cells", 1)) == "district")))
+    return rows.where(clean.any_measure(rules.RENT_MEASURES)).groupBy("category").agg(F.count("*").alias("n"), F.sum("rental_price").alias("total"))
+
+
+@query("r02_melt", " union all ".join(f"select listing_id, '{lab}' as kind, cast({c} as double) as value from q_listings where {c} is not null" for c, lab in (("price", "Price"), ("estimated_revenue_l365d", "Revenue"))))
+def _(w):
+    return reshape.melt(w.at("listings").select("listing_id", "price", "estimated_revenue_l365d"), ["listing_id"], {"price": "Price", "estimated_revenue_l365d": "Revenue"}, "kind", "value")
+
+
+@query("r03_explode_json", "select listing_id, raw_amenity as item, count(*) as n from q_amenity_items group by all")
+def _(w):
+    return reshape.explode_json(w.at("listings"), "amenities", "item").groupBy("listing_id", "item").agg(F.count("*").alias("n"))
+
+
+@query("r04_explode_features", "select neighbourhood, coalesce(neighbourhood_group, 'None') as neighbourhood_group from q_areas")
+def _(w):
+    return reshape.explode_features(plan_queries.geojson_documents(w)).select("neighbourhood", "neighbourhood_group")
+
+
+@query("r05_json_path", "select json_extract_string(props, '$.k') as k, count(*) as n from events group by all")
+def _(w):
+    return views.read(w.spark, w.sf_dir, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("r06_array_size", "select listing_id, count(*) as n, max(raw_amenity) filter (where i = 2) as second from (select *, row_number() over (partition by listing_id) as i from q_amenity_items) a group by listing_id")
+def _(w):
+    items = F.from_json("amenities", "array<string>")
+    rows = w.at("listings").where(items.isNotNull())
+    return rows.select("listing_id", F.size(items).alias("n"), clean.element(items, 1).alias("second"))
+
+
+@query("r07_explode_list", "select listing_id, count(*) as n from q_reviews where trim(comments) <> '' group by all")
+def _(w):
+    lists = w.at("reviews").select("listing_id", F.array("comments", F.lit(" ")).alias("comments_list"))
+    return reshape.explode_list(lists, "comments_list", "comment").groupBy("listing_id").agg(F.count("*").alias("n"))
+
+
+@query("r08_base_type", "select raw_amenity, base_type, count(*) as n from q_amenities group by all")
+def _(w):
+    return w.at("listing_amenities").groupBy("raw_amenity", clean.base_type("raw_amenity").alias("base_type")).agg(F.count("*").alias("n"))
+
+
+@query("r10_cache_key", "select conv_id, string_agg(distinct role, ',' order by role) as key from conversations group by conv_id")
+def _(w):
+    names = views.read(w.spark, w.sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set(F.concat(F.lit(" "), "role")).alias("names"))
+    return names.select("conv_id", measures.cache_key("names").alias("key"))
+
+
+# --- function families and space ---------------------------------------------
+column_query("f01_string", "raw_listings", {
+    "a": "left(upper(trim(name)), 4)", "b": "length(name)", "c": "replace(name, 'e', 'E')", "d": "split_part(trim(name), ' ', 2)", "e": "name like '%ing%'", "f": "name ilike '%RING%'"},
+    lambda: {"a": F.left(F.upper(F.trim("name")), F.lit(4)), "b": F.length("name"), "c": F.replace(F.col("name"), F.lit("e"), F.lit("E")),
+             "d": F.split_part(F.trim("name"), F.lit(" "), F.lit(2)), "e": F.col("name").like("%ing%"), "f": F.col("name").ilike("%RING%")})
+column_query("f02_date", "calendar", {"d": "calendar_date + 30", "y": "year(calendar_date)", "q": "quarter(calendar_date)", "w": "weekofyear(calendar_date)", "k": "dayofweek(calendar_date)"},
+             lambda: {"d": F.date_add("calendar_date", 30), "y": F.year("calendar_date"), "q": F.quarter("calendar_date"), "w": F.weekofyear("calendar_date"), "k": F.dayofweek("calendar_date") - 1})
+column_query("f03_math", "listings", {"r": rd("cast(price as double) / 7e0", 2), "l": "cast(least(price, 1000) as double)", "z": "nullif(bedrooms, 0)", "c": "coalesce(bedrooms, -1)"},
+             lambda: {"r": F.round(F.col("price").cast("double") / 7.0, 2), "l": F.least("price", F.lit(1000)), "z": F.nullif("bedrooms", F.lit(0)), "c": F.coalesce("bedrooms", F.lit(-1))})
+column_query("f04_conditional", "listings", {"a": "case when bedrooms > 2 then 'big' when bedrooms > 0 then 'small' else 'none' end", "b": "bedrooms > 2 and accommodates > 4"},
+             lambda: {"a": F.when(F.col("bedrooms") > 2, "big").when(F.col("bedrooms") > 0, "small").otherwise("none"), "b": (F.col("bedrooms") > 2) & (F.col("accommodates") > 4)})
+
+
+@query("g01_make_point", "select listing_id, longitude as x, latitude as y from q_listings")
+def _(w):
+    return w.at("dim_listing").select("listing_id", F.col("geo_point.x").alias("x"), F.col("geo_point.y").alias("y"))
+
+
+@query("g02_parse_boundary", "select neighbourhood, cast(8 as bigint) as n_edges, cast(2 as bigint) as n_rings from q_areas")
+def _(w):
+    text = F.to_json(geo.boundary_json("boundary"))
+    parsed = w["area_shapes"].select("neighbourhood", geo.parse_boundary(text).alias("b"))
+    return parsed.select("neighbourhood", F.size(geo.edges("b")).alias("n_edges"), F.size(F.get("b", 0)).alias("n_rings"))
+
+
+@query("g03_bounds", "select neighbourhood, min(x0) as xmin, max(x0) as xmax, min(y0) as ymin, max(y0) as ymax from q_edges group by all")
+def _(w):
+    return w["area_shapes"].select("neighbourhood", geo.bounds("boundary").alias("b")).select("neighbourhood", "b.*")
+
+
+@query("g04_contains", "select count(*) as inside from q_poi_area")
+def _(w):
+    return w.at("pois").where(F.col("neighbourhood").isNotNull()).agg(F.count("*").alias("inside"))
+
+
+@query("g05_distance_m", f"select a.listing_id, {rd(sql.HAVERSINE, 3)} as metres from q_listings a join (select *, listing_id + 1 as prev from q_listings) b on a.listing_id = b.prev")
+def _(w):
+    rows = w.at("listings").select("listing_id", "longitude", "latitude")
+    prev = rows.select((F.col("listing_id") + 1).alias("listing_id"), F.col("longitude").alias("x"), F.col("latitude").alias("y"))
+    return rows.join(prev, "listing_id").select("listing_id", F.round(geo.distance_m("longitude", "latitude", "x", "y"), 3).alias("metres"))
+
+
+@query("g06_area_sqkm", f"select neighbourhood, {rd('area_sqkm', 6)} as area_sqkm from q_sizes")
+def _(w):
+    return w["area_shapes"].select("neighbourhood", F.round(geo.area_sqkm("boundary"), 6).alias("area_sqkm"))
+
+
+@query("g07_centroid", f"select neighbourhood, {rd('x + 15e-3', 6)} as lon, {rd('y + 1e-2', 6)} as lat from q_areas")
+def _(w):
+    centre = geo.centroid("boundary")
+    return w["area_shapes"].select("neighbourhood", F.round(centre["x"], 6).alias("lon"), F.round(centre["y"], 6).alias("lat"))
+
+
+@query("g08_density", f"select l.neighbourhood, {rd(div('l.n', 'z.area_sqkm'), 2)} as density from (select neighbourhood, count(*) as n from q_listings group by all) l join q_sizes z using (neighbourhood)")
+def _(w):
+    n = w.at("listings").groupBy("neighbourhood").agg(F.count("*").alias("n"))
+    return n.join(w["area_shapes"], "neighbourhood").select("neighbourhood", measures.ratio("n", "area_sqkm", 2).alias("density"))
+
+
+@query("g09_points_in_area_counts", "select in_area as neighbourhood, count(*) as poi_count, count(*) filter (where is_transport) as transport_count, count(*) filter (where is_dining) as dining_count from q_area_poi group by all")
+def _(w):
+    return spatial.points_in_area_counts(w.at("dim_poi"), w.at("dim_area"), "neighbourhood", star.poi_counters())
+
+
+@query("g10_nearby_counts", "select listing_id, poi_count_500m, transport_count_500m, dining_count_500m from q_listing_poi")
+def _(w):
+    return spatial.nearby_counts(w.at("dim_listing"), "listing_id", w.at("dim_poi"), star.poi_counters("_500m"), rows=64)

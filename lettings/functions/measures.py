@@ -180,4 +180,4 @@ def percent_text(c: ColumnLike) -> Column:
 
 def cache_key(names: ColumnLike) -> Column:
     """Order-free key of a selection: trimmed, sorted and comma-joined."""
-    return F.array_join(F.array_sort(F.transform(as_col(names), F.trim)), ",")
+    return F.array_join(F.array_sort(F.transform(as_col(names), lambda name: F.trim(name))), ",")

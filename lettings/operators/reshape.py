@@ -38,7 +38,7 @@ def explode_json(df: DataFrame, col: str, name: str, distinct: bool = False) ->
     With ``distinct`` repeats inside one array go before the explode, which
     needs no shuffle where the row key is already unique.
     """
-    items = F.transform(F.from_json(F.col(col), "array<string>"), F.trim)
+    items = F.transform(F.from_json(F.col(col), "array<string>"), lambda item: F.trim(item))
     return df.withColumn(name, F.explode(F.array_distinct(items) if distinct else items))
 
 

@@ -154,7 +154,11 @@ def fct_area_sales(sales: DataFrame, postcode_map: DataFrame) -> DataFrame:
     Prices are counted once per area, class and code; both levels and their
     medians come from those counts.
     """
-    placed = placed_sales(sales, postcode_map)
+    return area_sales_from_placed(placed_sales(sales, postcode_map))
+
+
+def area_sales_from_placed(placed: DataFrame) -> DataFrame:
+    """The same from sales that already carry their area."""
     area = ["neighbourhood", "city", "structure_class"]
     priced = placed.groupBy(*area, "property_type_code", "price").agg(F.count(F.lit(1)).alias("__n"))
     residential = F.col("property_type_code").isin(*rules.RESIDENTIAL_CODES)
