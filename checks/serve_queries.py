@@ -63,9 +63,18 @@ def _(w):
     return ranked.select("neighbourhood", "city", "listing_count", "investment_score", "investment_rank")
 
 
+WEIGHTED = ("st_annual_revenue", "lt_annual_rent", "st_gross_yield_pct", "lt_gross_yield_pct")
+
+
+def strategy(w):
+    """Weighted means rounded as in the SQL."""
+    rows = serve.area_strategy(w.at("mart_st_vs_lt"))
+    return rows.select(*[F.round(c, 4).alias(c) if c in WEIGHTED else F.col(c) for c in rows.columns])
+
+
 @query("v02_area_strategy", "select * from q_strategy")
 def _(w):
-    return serve.area_strategy(w.at("mart_st_vs_lt"))
+    return strategy(w)
 
 
 @query("v02_compare_areas", f"""
@@ -78,7 +87,7 @@ def _(w):
     picks = joins.picks_frame(w.spark, PICKS, ["neighbourhood", "city"])
     compared = serve.compare_areas(
         picks, serve.scores_by_area(w.at("mart_listing"), w.at("listing_persona_scores")),
-        serve.area_strategy(w.at("mart_st_vs_lt")), w.at("mart_area_seasonal"))
+        strategy(w), w.at("mart_area_seasonal"))
     return compared.select("neighbourhood", *SCORES, "st_annual_revenue", "lt_annual_rent", "month", "month_name", "booked_nights")
 
 
@@ -90,7 +99,7 @@ def _(w):
 
 @query("v02_income_lines", "select city, neighbourhood, 'Short-Term' as strategy, st_annual_revenue as annual_income from q_strategy union all select city, neighbourhood, 'Long-Term', lt_annual_rent from q_strategy")
 def _(w):
-    return serve.income_lines(serve.area_strategy(w.at("mart_st_vs_lt")))
+    return serve.income_lines(strategy(w))
 
 
 @query("v03_segments", f"""

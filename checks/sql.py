@@ -404,7 +404,7 @@ CTE["q_segment_scores"] = f"""
 select city, neighbourhood, structure_class, {STRICT_BUCKET} as bedroom_bucket, {_AVG3} from q_scored_homes
 where neighbourhood is not null and structure_class is not null group by 1, 2, 3, 4"""
 CTE["q_strategy"] = "select city, neighbourhood, cast(sum(listing_count) as bigint) as listing_count, " + ", ".join(
-    f"{rd(f'cast(sum(cast({c} as decimal(18,4)) * cast(listing_count as decimal(18,0))) as double) / nullif(sum(listing_count), 0)', 6)} as {n}"
+    f"{rd(f'cast(sum(cast({c} as decimal(18,4)) * cast(listing_count as decimal(18,0))) as double) / nullif(sum(listing_count), 0)', 4)} as {n}"
     for n, c in {"st_annual_revenue": "st_annual_income", "lt_annual_rent": "lt_annual_income",
                  "st_gross_yield_pct": "st_gross_yield_pct", "lt_gross_yield_pct": "lt_gross_yield_pct"}.items()
 ) + ", " + ", ".join(f"cast(sum(cast({c} as decimal(18,4))) as double) as {c}_sum" for c in

@@ -89,7 +89,7 @@ def area_strategy(st_vs_lt: DataFrame, min_sample: bool = False) -> DataFrame:
     sums = ("st_vs_lt_income_uplift", "st_vs_lt_yield_uplift_ppt", "st_to_lt_income_ratio")
     return rows.groupBy("city", "neighbourhood").agg(
         F.sum("listing_count").alias("listing_count"),
-        *[F.round(measures.weighted_mean(c, "listing_count"), 6).alias(n) for n, c in weighted.items()],
+        *[measures.weighted_mean(c, "listing_count").alias(n) for n, c in weighted.items()],
         *[measures.exact_sum(c).alias(f"{c}_sum") for c in sums],
     )
 
@@ -156,7 +156,8 @@ def segments(mart_bedrooms: DataFrame, segment_scores: DataFrame) -> DataFrame:
     return both.select(
         *keys, "bedroom_sort", "listing_count", "avg_adr", "median_adr", "avg_annual_revenue",
         "median_annual_revenue", "avg_occupancy_rate", "avg_rating", "robust_sample",
-        "sufficient_sample", F.round(F.col("avg_occupancy_rate") * 100.0, 1).alias("avg_occupancy_pct"),
+        "sufficient_sample",
+        F.round(F.col("avg_occupancy_rate").cast("decimal(12,4)") * 100, 1).cast("double").alias("avg_occupancy_pct"),
         *[f"avg_{s}" for s in SCORES],
     )
 

@@ -44,7 +44,9 @@ def read_csv_audited(spark: SparkSession, path: str | Sequence[str], names: Sequ
     """CSV text with lineage; lines that do not fit keep their text in a column."""
     reader = spark.read.options(**{**_csv_options(True), "enforceSchema": True})
     raw = reader.schema(text_schema(names, corrupt=True)).option("columnNameOfCorruptRecord", CORRUPT)
-    return with_lineage(raw.csv(path))
+    # a query of the kept lines alone is refused, so the column leans on a data column
+    kept = F.coalesce(F.nullif(F.col(CORRUPT), F.lit("")), F.when(F.col(CORRUPT).isNotNull(), F.col(names[0])))
+    return with_lineage(raw.csv(path).select("*", "_metadata")).drop("_metadata").withColumn(CORRUPT, kept)
 
 
 def read_csv_positional(spark: SparkSession, path: str | Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -134,7 +136,7 @@ def with_lineage(df: DataFrame, source: str | None = None) -> DataFrame:
     scan partition; no file is gathered in one task.
     """
     placed = df.select(
-        "*", F.col("_metadata.file_path").alias("_filename"),
+        *df.columns, F.col("_metadata.file_path").alias("_filename"),
         F.monotonically_increasing_id().alias("__at"),
     )
     numbered = running_number(placed, ["_filename"], "__at", "_file_row_number").drop("__at")
