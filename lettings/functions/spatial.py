@@ -7,6 +7,8 @@ sphere.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 from lettings import rules
@@ -100,6 +102,22 @@ def distance_m(lon_a: ColumnLike, lat_a: ColumnLike, lon_b: ColumnLike, lat_b: C
     return F.lit(2.0 * rules.EARTH_RADIUS_M) * F.asin(F.sqrt(h))
 
 
+def unit_vector(lon: ColumnLike, lat: ColumnLike) -> Column:
+    """Point on the unit sphere, worked out once per row so that pairs need no trigonometry."""
+    x, y = F.radians(as_col(lon)), F.radians(as_col(lat))
+    return F.struct(
+        (F.cos(y) * F.cos(x)).alias("x"), (F.cos(y) * F.sin(x)).alias("y"), F.sin(y).alias("z")
+    )
+
+
+def is_within(unit_a: ColumnLike, unit_b: ColumnLike, metres: float) -> Column:
+    """Great-circle distance at most ``metres``, by the squared chord of unit vectors."""
+    a, b = as_col(unit_a), as_col(unit_b)
+    steps = [a[axis] - b[axis] for axis in ("x", "y", "z")]
+    chord = steps[0] * steps[0] + steps[1] * steps[1] + steps[2] * steps[2]
+    return chord <= F.lit(4.0 * math.sin(metres / (2.0 * rules.EARTH_RADIUS_M)) ** 2)
+
+
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
 

@@ -154,15 +154,15 @@ def within_distance(
     right_at: tuple[str, str] = ("poi_longitude", "poi_latitude"),
 ) -> DataFrame:
     """All pairs within ``metres``; ``left`` keeps rows without a partner."""
-    here = home_cell(left, *left_at, metres)
-    there = neighbour_cells(right, *right_at, metres)
+    here = home_cell(left.withColumn("__u", geo.unit_vector(*left_at)), *left_at, metres)
+    there = neighbour_cells(right.withColumn("__v", geo.unit_vector(*right_at)), *right_at, metres)
     there = there.withColumnRenamed("__cx", "__nx").withColumnRenamed("__cy", "__ny")
     test = (
         (F.col("__cx") == F.col("__nx"))
         & (F.col("__cy") == F.col("__ny"))
-        & (geo.distance_m(*left_at, *right_at) <= metres)
+        & geo.is_within("__u", "__v", metres)
     )
-    return here.join(there, test, how).drop("__cx", "__cy", "__nx", "__ny")
+    return here.join(there, test, how).drop("__cx", "__cy", "__nx", "__ny", "__u", "__v")
 
 
 def nearby_counts(
@@ -187,8 +187,11 @@ def nearby_counts(
     here, there, on = split_hot_cells(
         here, there, ["__cx", "__cy"], (["longitude", "latitude"], ["__lon", "__lat"]), rows
     )
-    right = there.select(*[F.col(k).alias(f"__r{k}") for k in on], "__lon", "__lat", *names)
-    test = geo.distance_m("longitude", "latitude", "__lon", "__lat") <= metres
+    here = here.withColumn("__u", geo.unit_vector("longitude", "latitude"))
+    right = there.select(
+        *[F.col(k).alias(f"__r{k}") for k in on], geo.unit_vector("__lon", "__lat").alias("__v"), *names
+    )
+    test = geo.is_within("__u", "__v", metres)
     for k in on:
         test = (F.col(k) == F.col(f"__r{k}")) & test
     sums = here.join(right, test).groupBy("longitude", "latitude").agg(
