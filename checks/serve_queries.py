@@ -239,7 +239,8 @@ def _(w):
         return star.area_sales_from_placed(stored)
 
     stream = refresh.files_stream(w.spark, f"{base}/in", schema, 3)
-    refresh.refresh_incremental(stream, f"{base}/store", f"{base}/out", ["neighbourhood", "city"], place, build, f"{base}/chk")
+    refresh.refresh_incremental(stream, f"{base}/store", f"{base}/out", ["neighbourhood", "city"], place, build,
+                                f"{base}/chk", unique=["transaction_uid"])
     return w.spark.read.parquet(f"{base}/out").select("neighbourhood", "city", "structure_class", "median_sale_price", "avg_sale_price", "sale_txn_count")
 
 

@@ -139,10 +139,13 @@ def fct_listing_poi(dim_listing: DataFrame, dim_poi: DataFrame, metres: float =
 def placed_sales(sales: DataFrame, postcode_map: DataFrame) -> DataFrame:
     """Usable sales with the area of their postcode and their dwelling class."""
     ok = sales.where((F.col("quality_flag") == "ok") & F.col("postcode").isNotNull())
-    keyed = ok.select(clean.postcode_key("postcode").alias("postcode_key"), "price", "property_class", "property_type_code")
+    keyed = ok.select(
+        "transaction_uid", clean.postcode_key("postcode").alias("postcode_key"), "price", "property_class",
+        "property_type_code",
+    )
     other = F.when(F.col("property_type_code") == "O", F.lit("Other"))
     return keyed.join(postcode_map, "postcode_key").select(
-        "neighbourhood", "city", "price", "property_type_code",
+        "transaction_uid", "neighbourhood", "city", "price", "property_type_code",
         F.coalesce("property_class", other).alias("structure_class"),
     )
 

@@ -12,30 +12,40 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from lettings.operators import joins, windows
 from lettings.sources import tables
 
 Build = Callable[[DataFrame], DataFrame]
 
 
 def refresh_incremental(
-    stream: DataFrame, store: str, target: str, keys: Sequence[str], place: Build, build: Build, checkpoint: str
+    stream: DataFrame, store: str, target: str, keys: Sequence[str], place: Build, build: Build, checkpoint: str,
+    unique: Sequence[str] = (),
 ) -> None:
     """Runs all waiting files and recomputes the touched keys of ``target``.
 
     ``place`` maps new rows to store rows with the partition ``keys``; ``build``
     makes target rows from store rows.  Store rows are kept per batch, so a
     repeated batch replaces itself; the batch number is a column of the store.
+    With ``unique``, a row that comes again in a later batch replaces the
+    earlier one, also where it moves to another key.
     """
-    keys = list(keys)
+    keys, unique = list(keys), list(unique)
     spark = stream.sparkSession
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         rows = place(batch).withColumn("batch", F.lit(batch_id))
         tables.replace_keys(rows, store, ["batch", *keys])
-        stored = spark.read.parquet(store)
-        touched = stored.where(F.col("batch") == batch_id).select(*keys).distinct()
-        again = stored.join(touched, keys, "left_semi").drop("batch")
-        tables.replace_keys(build(again), target, keys)
+        stored = spark.read.parquet(store).where(F.col("batch") <= batch_id)
+        new = stored.where(F.col("batch") == batch_id)
+        changed = joins.join_semi(stored, new, unique) if unique else new
+        touched = changed.select(*keys).distinct()
+        again = joins.join_semi(stored, touched, keys)
+        if unique:
+            versions = joins.join_semi(stored, again.select(*unique).distinct(), unique)
+            newest = windows.dedup_latest(versions, unique, [F.col("batch").desc()])
+            again = joins.join_semi(newest, touched, keys)
+        tables.replace_keys(build(again.drop("batch")), target, keys)
 
     query = (
         stream.writeStream.foreachBatch(apply)
