@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lettings.llm import mixing, sharding
+from lettings.llm import decontamination, mixing, secrets, sharding
 from lettings.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.pack(crc).select(
         "doc_id", "size", F.col("crc").alias("text_crc32"), "law", "shard", "slot", "grown_shard"
     )
+
+
+@query("op5_secrets")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op9_wu_manber", decontamination.ORACLE)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return decontamination.with_verdict(decontamination.mark(docs, items)).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
+    )
