@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lettings.llm import decontamination, mixing, secrets, sharding
+from lettings.llm import decontamination, mixing, pseudonyms, rules, secrets, sharding
 from lettings.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.with_verdict(decontamination.mark(docs, items)).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
     )
+
+
+@query("op8_divergence_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return rules.judge(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("char_divergence", 6).alias("char_divergence"), F.round("word_divergence", 6).alias("word_divergence"),
+    )
+
+
+@query("op10_feistel_pseudonyms")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
