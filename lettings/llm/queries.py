@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lettings.llm import decontamination, mixing, pseudonyms, rules, secrets, sharding
+from lettings.llm import decontamination, mixing, pseudonyms, quality, rules, secrets, sharding, toxicity
 from lettings.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,24 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_feistel_pseudonyms")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op1_empirical_bayes")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels"), keep_text=False).select(
+        "doc_id", "document_p", "host_posterior", "path_posterior", "posterior", "kept"
+    )
+
+
+@query("op2_classifier_chain")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels name two categories: junk (no quality), then toxic, which sees the first one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
+    chain = toxicity.fit(docs, labels, ("junk", "toxic"))
+    score = F.transform("scores", lambda s: F.round(s, 6))
+    return toxicity.predict(docs, chain).select(
+        "doc_id", score[0].alias("junk_p"), score[1].alias("toxic_p"), (score[0] >= toxicity.THRESHOLD).alias("junk"),
+        (score[1] >= toxicity.THRESHOLD).alias("toxic"),
+    )
