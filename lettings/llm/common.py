@@ -148,3 +148,53 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             break
         labels = moved.select("u", F.col("new").alias("root"))
     return labels.select(F.col("u").alias("node"), "root")
+
+
+def sorted_runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of equal ``keys`` and where the runs begin (and end); the rows come sorted by the keys.
+
+    Only a batch and the run that it cuts are held.
+    """
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        now = pa.Table.from_batches([batch])
+        now = now if rest is None else pa.concat_tables([rest, now]).combine_chunks()
+        edges = run_edges(now, keys)
+        if len(edges) > 2:
+            yield now.slice(0, edges[-2]), edges[:-1]
+        rest = now.slice(edges[-2])
+    if rest is not None and len(rest):
+        yield rest, run_edges(rest, keys)
+
+
+def run_edges(rows: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    new = np.zeros(max(len(rows) - 1, 0), bool)
+    for k in keys:
+        column = rows[k].to_numpy()
+        new |= column[1:] != column[:-1]
+    return np.concatenate([[0], np.flatnonzero(new) + 1, [len(rows)]])
+
+
+def dealt_by_key(df: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """The rows of a key together and sorted, for ``sorted_runs``."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *extra)
+
+
+def in_block_pairs(df: DataFrame, key: str, member: str, blocks: Column, pairs: tuple[str, str]) -> DataFrame:
+    """Rows once for each pair of blocks of their key that they belong to (columns ``pairs``).
+
+    A key with one block keeps its rows once; in a full one any two rows meet in a pair of
+    blocks, and no task gets more than two of them.
+    """
+    n = blocks.cast("int")
+    own = F.pmod(F.xxhash64(F.lit(7), member), n).cast("int")
+    spread_ = df.withColumns({"__own": own, "__n": n})
+    spread_ = spread_.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    spread_ = spread_.where((F.col("__n") <= 2) & (F.col("__other") == 0) | (F.col("__n") > 2) & (F.col("__own") != F.col("__other")))
+    one = F.col("__n") <= 2
+    return spread_.withColumns({
+        pairs[0]: F.when(one, 0).otherwise(F.least("__own", "__other")),
+        pairs[1]: F.when(one, 0).otherwise(F.greatest("__own", "__other")),
+    }).drop("__own", "__n", "__other")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lettings.llm import decontamination, mixing, pseudonyms, quality, rules, secrets, sharding, toxicity
+from lettings.llm import decontamination, mixing, neardup, pseudonyms, quality, rules, secrets, sharding, toxicity
 from lettings.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", score[0].alias("junk_p"), score[1].alias("toxic_p"), (score[0] >= toxicity.THRESHOLD).alias("junk"),
         (score[1] >= toxicity.THRESHOLD).alias("toxic"),
     )
+
+
+@query("op6_multi_index_minhash", neardup.ORACLE)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
