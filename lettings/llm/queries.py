@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lettings.llm import decontamination, mixing, neardup, pseudonyms, quality, rules, secrets, sharding, toxicity
+from lettings.llm import (
+    decontamination, mixing, neardup, pseudonyms, quality, rules, secrets, sharding, substrings, toxicity,
+)
 from lettings.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +91,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_multi_index_minhash", neardup.ORACLE)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op7_fm_index", substrings.ORACLE)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.cut(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
