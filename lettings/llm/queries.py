@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from lettings.llm import (
     decontamination, mixing, neardup, pseudonyms, quality, rules, secrets, sharding, substrings, toxicity,
 )
@@ -98,3 +99,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.cut(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
