@@ -28,6 +28,11 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def n_words(text: Column) -> Column:
     """The number of words as a long."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lettings.llm.common import SPACES, words
+from lettings.llm.common import SPACES, let, words
 from lettings.session import stable
 
 LEAST_WORDS, REPEATED_SHARE = 50, 50
@@ -24,14 +24,12 @@ CLASSES = ("lower", "upper", "digit", "space", "symbol", "other")
 def repeated(parts: Column) -> Column:
     """Words inside a 3-word window whose words occur twice or more.
 
-    The windows are sorted by hash, so equal ones are neighbours; the work is n log n in a
-    text's words.
+    Texts with a repeated window sort their windows by hash, so equal ones are neighbours;
+    the work is n log n in a text's words.
     """
     def windows(w: Column) -> Column:
-        n = F.greatest(F.size(w) - 2, F.lit(0))
-        first, second, third = F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), F.slice(w, F.lit(3), n)
-        zipped = F.arrays_zip(first.alias("a"), second.alias("b"), third.alias("c"))
-        return F.array_sort(F.transform(zipped, lambda x, i: F.struct(F.xxhash64(x["a"], x["b"], x["c"]).alias("h"), i.alias("i"))))
+        places = F.when(F.size(w) > 2, F.sequence(F.lit(0), F.size(w) - 3)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
     def covered(s: Column) -> Column:
         same = F.zip_with(s, F.slice(s, F.lit(2), F.greatest(F.size(s), F.lit(1))), lambda x, y: F.when(
@@ -39,7 +37,11 @@ def repeated(parts: Column) -> Column:
         ))
         return F.size(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
 
-    return F.transform(F.array(windows(parts)), covered)[0]
+    def counted(h: Column) -> Column:
+        placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(placed, covered))
+
+    return let(windows(parts), counted)
 
 
 def measure(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -59,7 +61,16 @@ def measure(docs: DataFrame, text: str, lang: str) -> DataFrame:
         "__digit": left("[^0-9]+"), "__lower": F.length(t) - left(r"\p{Ll}+"),
     })
     low = F.filter(F.transform("__words", lambda w: F.lower(w)), lambda w: w.isin(*every))
-    counted = counted.withColumns({"__low": low, "__listed": listed})
+    tagged = F.concat(F.lit("<"), F.array_join(low, "><"), F.lit(">"))
+
+    def histogram(tags: Column) -> Column:
+        def times(word: Column) -> Column:
+            tag = F.concat(F.lit("<"), word, F.lit(">"))
+            rest = F.octet_length(tags) - F.octet_length(F.replace(tags, tag, F.lit("")))
+            return (rest / F.octet_length(tag)).cast("long")
+
+        return F.transform(listed, times)
+
     rest = F.col("__length") - F.col("__lower") - F.col("__upper") - F.col("__digit") - F.col("n_symbols")
     space = F.col("__length") - F.col("word_chars")
     return counted.withColumns({
@@ -67,8 +78,8 @@ def measure(docs: DataFrame, text: str, lang: str) -> DataFrame:
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
         "n_repeat_words": repeated(F.col("__words")).cast("long"),
         "__chars": F.array("__lower", "__upper", "__digit", space, "n_symbols", rest - space),
-        "__common": F.transform("__listed", lambda c: F.size(F.filter("__low", lambda x: x == c)).cast("long")),
-    }).drop("__words", "__lines", "__low", "__listed", "__length", "__upper", "__digit", "__lower")
+        "__common": let(tagged, histogram),
+    }).drop("__words", "__lines", "__length", "__upper", "__digit", "__lower")
 
 
 def with_rest(counts: Column, n: Column) -> Column:
