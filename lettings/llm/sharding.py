@@ -59,26 +59,25 @@ def pack(
         *[F.sum(d).alias(d) for d in DIMENSIONS]
     ).collect()  # at most ``bundles`` rows
 
-    names, vectors, cuts = [], [], []
-    for r in sorted(small):
-        names.append(r["unit"])
-        vectors.append([r[d] / whole[d] for d in DIMENSIONS])
-    for r in big_rows:
-        vector = [r[d] / whole[d] for d in DIMENSIONS]
-        n = max(1, min(r["rows"], int(np.ceil(max(vector) * shards * pieces))))
-        cuts.append((r["__group"], n))
-        names += [f"{r['__group']}:{i}" for i in range(n)]
-        vectors += [[v / n for v in vector]] * n
-    where = place(np.array(vectors).reshape(len(names), len(DIMENSIONS)), shards)
-
     spark = docs.sparkSession
+    cuts = [
+        (r["__group"], max(1, int(np.ceil(max(r[d] / whole[d] for d in DIMENSIONS) * shards * pieces)))) for r in big_rows
+    ]
     cut = F.broadcast(spark.createDataFrame(cuts, "__group string, __pieces int"))
+    base = base.withColumn("__at", spread(F.col(doc_id), F.col("__group")))
+    piece = F.concat("__group", F.lit(":"), F.col("__at") % F.col("__pieces"))
+    names = [r["unit"] for r in sorted(small)]
+    vectors = [[r[d] / whole[d] for d in DIMENSIONS] for r in sorted(small)]
+    if cuts:  # equal texts have equal vectors, so a piece's rows tell all; at most all groups' pieces are collected
+        of = {r["__group"]: [r[d] / whole[d] / r["rows"] for d in DIMENSIONS] for r in big_rows}
+        for r in sorted(base.join(cut, "__group").groupBy("__group", piece.alias("unit")).count().collect()):
+            names.append(r["unit"])
+            vectors.append([v * r["count"] for v in of[r["__group"]]])
+    where = place(np.array(vectors).reshape(len(names), len(DIMENSIONS)), shards)
+
     units = F.broadcast(spark.createDataFrame([(u, int(w)) for u, w in zip(names, where, strict=True)], "__unit string, shard int"))
-    at = spread(F.col(doc_id), F.col("__group"))
-    unit = F.when(F.col("__pieces").isNull(), bundle).otherwise(
-        F.concat("__group", F.lit(":"), F.col("__at") % F.col("__pieces"))
-    )
-    dealt = base.withColumn("__at", at).join(cut, "__group", "left").withColumn("__unit", unit).join(units, "__unit")
+    unit = F.when(F.col("__pieces").isNull(), bundle).otherwise(piece)
+    dealt = base.join(cut, "__group", "left").withColumn("__unit", unit).join(units, "__unit")
     dealt = running_total(dealt, "shard", ["__at", "size"], F.lit(1), "slot", int(totals["rows"] or 0))
     return dealt.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}).drop(
         "__group", "__tokens", "__pieces", "__unit", "__at"

@@ -82,15 +82,15 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], text: str
                 vocabulary.setdefault(r["w"], len(vocabulary))
     names = F.array(*[F.lit(w) for w in vocabulary]) if vocabulary else F.array().cast("array<string>")
     seen = rows.select(doc_id, *ys, "__x", F.array_intersect("__w", names).alias("__w")).orderBy(doc_id, "__x").limit(max_labels).collect()
+    if not seen:
+        return Chain(tuple(categories), (), 0, tuple((0.0, np.zeros(i)) for i in range(len(categories))))
     x = np.zeros((len(seen), len(vocabulary)))
     for i, r in enumerate(seen):
         x[i, [vocabulary[w] for w in r["__w"]]] = 1.0
     numbers = np.array([r["__x"] for r in seen], float).reshape(len(seen), -1)
     y = np.array([[r[c] for c in ys] for r in seen], float).reshape(len(seen), len(ys))
     fold = np.arange(len(seen)) % folds
-    models = fit_chain(np.column_stack([numbers, x]) if len(seen) else np.zeros((0, numbers.shape[1])), y, fold, folds) if len(seen) else []
-    if not models:
-        return Chain(tuple(categories), (), 0, tuple((0.0, np.zeros(i)) for i in range(len(categories))))
+    models = fit_chain(np.column_stack([numbers, x]), y, fold, folds)
     return Chain(tuple(categories), tuple(vocabulary), numbers.shape[1], tuple(models))
 
 
