@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from checks import plan_queries, sql, views
-from checks.registry import query
+from checks.registry import query, scratch
 from checks.sql import div, in_values, mean, med, rd, whole
 from lettings import rules
 from lettings.functions import classify, clean, measures, spatial as geo
 from lettings.operators import joins, quantiles, reports, reshape, spatial, windows
 from lettings.plans import marts, scores, silver, star
-from lettings.session import shared_folder
 from lettings.sources import files, tables
 
 
-def scratch(w) -> str:
-    """A new folder for one run of a query that writes."""
-    return f"{shared_folder(w.spark)}/runs/{uuid.uuid4().hex}"
+def by_name(df, names):
+    """The columns in any case under the given names."""
+    own = {c.lower(): c for c in df.columns}
+    return df.select(*[F.col(own[n]).alias(n) for n in names])
 
 
 MARKED = "case when trim({0}) not in ('', 'NULL', 'null', 'N/A') then trim({0}) end"
@@ -30,8 +28,10 @@ CSV_COLS = ["id", "name", "price", "property_type", "bedrooms", "host_response_r
 @query("s01_read_csv_text", "select " + ", ".join(f"{MARKED.format(c)} as {c}" for c in CSV_COLS) + " from q_raw_listings")
 def _(w):
     path = scratch(w)
-    w["raw_listings"].select(*CSV_COLS).write.csv(path, header=True, escape='"', compression="gzip")
-    return files.read_csv_text(w.spark, path)
+    rows = w["raw_listings"].select(*CSV_COLS).withColumn("even", F.xxhash64("id") % 2 == 0)
+    for even, cols in ((True, CSV_COLS), (False, [c.upper() for c in reversed(CSV_COLS)])):  # headers in another order and case
+        rows.where(F.col("even") == even).select(*cols).write.mode("append").csv(path, header=True, escape='"', compression="gzip")
+    return by_name(files.read_csv_text(w.spark, path), CSV_COLS)
 
 
 @query("s02_append_by_name", """
@@ -76,6 +76,14 @@ def _(w):
     return files.latest_partition(listed, "city", "path").groupBy("city", "path").agg(F.count("*").alias("n"))
 
 
+@query("s05_latest_snapshots", f"select city, max(d) as snapshot_date from (select c_nationkey::bigint as city, nullif(regexp_extract({SNAPS}, 'snapshot_date=([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})/', 1), '') as d from customer) s "
+       "group by city having max(d) is not null")
+def _(w):
+    listed = views.read(w.spark, w.sf_dir, "customer").selectExpr("cast(c_nationkey as bigint) as city", f"{SNAPS} as path")
+    dated = listed.join(listed.where(F.col("path").rlike(files.SNAPSHOT)).select("city").distinct(), "city", "left_semi")
+    return files.latest_snapshots(dated, "city", "path")
+
+
 @query("s06_read_geojson", "select city, count(*) as n_features, cast(1 as bigint) as n_documents from q_areas group by city")
 def _(w):
     path = scratch(w)
@@ -117,9 +125,8 @@ sql.CTE["q_raw_poi_area"] = sql.inside("q_raw_poi", "id")
 
 @query("s11_scoped_snapshot", "select p.id, p.category, p.longitude, p.latitude, min(a.neighbourhood) as neighbourhood from q_raw_poi p join q_raw_poi_area a using (id) group by all")
 def _(w):
-    near = spatial.in_extent(w["raw_poi"], w["area_shapes"])
-    placed = spatial.point_in_area(near, w["area_shapes"], ["neighbourhood"])
-    return windows.dedup_latest(placed, ["id"], [F.col("neighbourhood").asc()]).select("id", "category", "longitude", "latitude", "neighbourhood")
+    cols = ["id", "category", "longitude", "latitude"]
+    return files.scoped_snapshot(w["raw_poi"], w["area_shapes"], "id", cols, "neighbourhood", "shared.pois").drop("_source", "_load_ts")
 
 
 @query("s12_write_replace", "select c_mktsegment, count(*) as n from customer group by all")
@@ -178,6 +185,15 @@ def _(w):
     return checked.agg(F.count("*").alias("n"))
 
 
+@query("s19_list_tables", "select 's19_q_' || lower(n_name) as table_name, count(*) as n_customers from nation join customer on c_nationkey = n_nationkey where n_name like 'NATION_1%' group by all")
+def _(w):
+    customers = views.read(w.spark, w.sf_dir, "customer").join(views.read(w.spark, w.sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
+    counts = customers.groupBy("n_name").agg(F.count("*").alias("n_customers")).withColumn("table_name", F.concat(F.lit("s19_q_"), F.lower("n_name")))
+    for i in range(25):  # one view per nation, as a catalogue has them
+        customers.where(F.col("c_nationkey") == i).createOrReplaceTempView(f"s19_q_nation_{i}")
+    return tables.list_tables(w.spark, "S19_Q_NATION_1%").join(counts, "table_name").select("table_name", "n_customers")
+
+
 @query("s19_list_columns", "select 'l_orderkey' as column_name, 'bigint' as data_type, count(l_orderkey) as non_null from lineitem union all "
        "select 'l_linenumber', 'int', count(l_linenumber) from lineitem union all select 'l_quantity', 'double', count(l_quantity) from lineitem")
 def _(w):
@@ -195,7 +211,7 @@ def _(w):
 @query("s21_date_spine", "select cast(unnest(generate_series(a - interval 30 day, b + interval 30 day, interval 1 day)) as date) as date_key from (select min(cast(o_orderdate as date)) as a, max(cast(o_orderdate as date)) as b from orders) s")
 def _(w):
     days = views.read(w.spark, w.sf_dir, "orders").selectExpr("cast(o_orderdate as date) as d")
-    return star.date_spine(days, "d", cap=None)
+    return star.date_spine(days, "d")
 
 
 # --- cleaning rules ----------------------------------------------------------
@@ -506,7 +522,7 @@ def _(w):
     return w.at("listings").groupBy("neighbourhood").agg(F.any_value(F.split_part("_filename", F.lit("/"), F.lit(3))).alias("segment"))
 
 
-@query("a06_weighted_mean", f"select city, {rd('cast(sum(cast(avg_adr as decimal(18,4)) * cast(listing_count as decimal(18,0))) as double) / sum(listing_count)', 6)} as v from q_bedrooms group by all")
+@query("a06_weighted_mean", f"select city, {rd('cast(sum(avg_adr * listing_count) as double) / sum(listing_count)', 6)} as v from q_bedrooms group by all")
 def _(w):
     return w.at("mart_bedrooms").groupBy("city").agg(F.round(measures.weighted_mean("avg_adr", "listing_count"), 6).alias("v"))
 
@@ -528,10 +544,10 @@ def _(w):
     return w.at("listings").agg(F.countDistinct("room_type").alias("room_types"), F.countDistinct("property_type").alias("property_types"))
 
 
-@query("a10_collect", "select host_id, string_agg(listing_id::varchar, ',' order by listing_id) as ids, count(*) as n from q_listings group by host_id")
+@query("a10_collect", "select host_id, listing_id, id, count(*) over (partition by host_id) as n from (select host_id, listing_id, listing_id::varchar as id from q_listings) l")
 def _(w):
     rows = w.at("listings").select("host_id", "listing_id", F.col("listing_id").cast("string").alias("id"))
-    return reshape.collect_in_chunks(rows, ["host_id"], "id", "listing_id").select("host_id", F.array_join("id_list", ",").alias("ids"), F.col("n_values").alias("n"))
+    return reshape.values_per_key(rows, ["host_id"], "id", "listing_id").withColumnRenamed("n_values", "n")
 
 
 @query("a11_string_list_distinct", "select neighbourhood, string_agg(distinct property_group, ', ' order by property_group) as groups, count(distinct property_group) as n_values from q_dim_listing where property_group is not null group by all")

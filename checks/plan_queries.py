@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from checks import views
-from checks.registry import query, table
+from checks.registry import query, scratch, table
 from checks import sql
 from lettings import rules
 from lettings.functions import spatial as geo
 from lettings.operators import reports
-from lettings.plans import scores, silver, star
+from lettings.plans import bronze, build, scores, silver, star
 
 LISTING = [
     "listing_id", "host_id", "name", "property_type", "room_type", "neighbourhood", "price", "bedrooms",
@@ -72,11 +74,9 @@ def _(w):
 
 
 @query("m15_review_comments", """
-select listing_id, id % chunks as chunk, count(*) as n_values, string_agg(comments, '|' order by id) as comments from (
- select *, cast(ceil(count(*) over (partition by listing_id) / 3e0) as bigint) as chunks from q_reviews_ok where comments is not null) c group by 1, 2""")
+select listing_id, id as review_id, comments, count(*) over (partition by listing_id) as n_values from q_reviews_ok where comments is not null""")
 def _(w):
-    lists = silver.review_comments(w["raw_reviews"], last="2021-06-30", rows=3)
-    return lists.select("listing_id", "chunk", "n_values", F.array_join("comments_list", "|").alias("comments"))
+    return silver.review_comments(w["raw_reviews"], last="2021-06-30").withColumnRenamed("id", "review_id")
 
 
 DIM = ["listing_id", "host_id", "property_type", "structure_class", "property_group", "price", "bedrooms", "neighbourhood",
@@ -112,7 +112,7 @@ def _(w):
 @query("m22_dim_date", """
 select d as date_key, year(d) as year, quarter(d) as quarter, month(d) as month, strftime(d, '%b') as month_name, day(d) as day_of_month,
  dayofweek(d) as day_of_week, strftime(d, '%a') as day_name, dayofweek(d) in (0, 6) as is_weekend, weekofyear(d) as week_of_year
-from (select cast(unnest(generate_series(lo, least(hi, lo + interval 999 day), interval 1 day)) as date) as d from (
+from (select cast(unnest(generate_series(lo, hi, interval 1 day)) as date) as d from (
  select min(calendar_date) - interval 30 day as lo, max(calendar_date) + interval 30 day as hi from q_calendar) s) g""")
 def _(w):
     return w["dim_date"]
@@ -173,6 +173,30 @@ THEME_COLS = ["city", "neighbourhood_cleansed", "total_reviews", *[f"mentions_{t
 table("m43_review_themes", "", THEME_COLS, "q_themes", fn=lambda w: scores.review_themes(w["reviews"], w["listings"], views.TEST_WORDS))
 
 
+# Literal expectation, on purpose not read from the library's rules.
+WORDED = {
+    0: ("a cheap and CLEAN place", "price cleanliness"), 1: ("near the tube station", "location"), 2: ("the lockbox was easy", "checkin"),
+    3: ("overpriced, dusty, a long walk; no arrival help", "price cleanliness location checkin"), 4: ("nothing of note", ""),
+    5: ("filthy mess", "cleanliness"), 6: ("affordable", "price"),
+}
+_WORDED = " ".join(f"when {k} then '{v[1]}'" for k, v in WORDED.items())
+
+
+@query("m43_default_themes", f"""
+select city, neighbourhood_cleansed, count(*) as total_reviews, {', '.join(f"count(*) filter (where contains(found, '{t}')) as mentions_{t}_count" for t in ("price", "cleanliness", "location", "checkin"))},
+ {sql.re_('cast(sum(mood) as double) / count(mood)', 4)} as avg_sentiment_score
+from (select {sql.city_of('l._filename')} as city, l.neighbourhood as neighbourhood_cleansed, case r.review_id % 7 {_WORDED} end as found, (r.listing_id % 10) / 10e0 as mood
+ from q_reviews r join q_listings l using (listing_id) where trim(r.comments) <> '') g group by all""")
+def _(w):
+    text = F.lit(None).cast("string")
+    for k, (words, _) in WORDED.items():
+        text = F.when(F.col("review_id") % 7 == k, F.lit(words)).otherwise(text)
+    reviews = w["reviews"].where(F.trim("comments") != "").withColumn("comments", text)
+    sentiment = reviews.select("listing_id", (F.col("listing_id") % 10 / 10.0).alias("avg_sentiment_score"))
+    themes = scores.review_themes(reviews, w["listings"], sentiment=sentiment)
+    return themes.select("city", "neighbourhood_cleansed", "total_reviews", *[f"mentions_{t}_count" for t in THEMES], "avg_sentiment_score")
+
+
 @query("m05_clean_area_shapes", """
 select neighbourhood, neighbourhood_group, area_sqkm, n_edges, lat, lon from (
  select z.neighbourhood, a.neighbourhood_group, cast(round(cast(z.area_sqkm as decimal(28,8)), 6) as double) as area_sqkm, 8 as n_edges,
@@ -195,3 +219,50 @@ def geojson_documents(w):
     return docs.select(
         F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.transform("fs", lambda f: f["f"]).alias("features"))).alias("raw"),
         "_filename")
+
+
+# --- landing and audits ------------------------------------------------------
+LANDED = ["id", "name", "price", "property_type"]
+
+
+def _snapshots(w) -> str:
+    """Listings of three cities as CSV in an older (half the rows) and a newer snapshot folder."""
+    folder = scratch(w)
+    rows = w["raw_listings"].select(*LANDED, (F.col("id").cast("bigint") % 3).alias("city"))
+    for day, part in (("2025-01-15", rows.where("cast(id as bigint) % 2 = 0")), ("2025-06-15", rows)):
+        part.withColumn("snapshot_date", F.lit(day)).repartition("city").write.mode("append").partitionBy(
+            "city", "snapshot_date").csv(folder, header=True, escape='"')
+    return folder
+
+
+MARKED = "case when trim({0}) not in ('', 'NULL', 'null', 'N/A') then trim({0}) end"
+
+
+@query("b01_bronze_load", "select " + ", ".join(f"{MARKED.format(c)} as {c}" for c in LANDED)
+       + ", concat('city=', cast(cast(id as bigint) % 3 as varchar)) as city, true as numbered from q_raw_listings")
+def _(w):
+    landed = bronze.land(w.spark, _snapshots(w), "(city=[0-9]+)/", "raw_listings", scratch(w))
+    return landed.select(*LANDED, F.regexp_extract("_filename", "(city=[0-9]+)/", 1).alias("city"), (F.col("_file_row_number") > 0).alias("numbered"))
+
+
+@query("s15_load_audits_kept", "select 'raw_listings' as table_name, 'LOADED' as status, cast(2 as bigint) as runs, 2 * count(*) as rows_loaded, cast(0 as bigint) as errors from q_raw_listings")
+def _(w):
+    folder, store = _snapshots(w), scratch(w)
+    for day in (1, 2):
+        bronze.land(w.spark, folder, "(city=[0-9]+)/", "raw_listings", store, run_at=datetime(2025, 7, day))
+    audits = bronze.load_audits(w.spark, store, ["raw_listings"])
+    return audits.groupBy("table_name", "status").agg(
+        F.countDistinct("run_at").alias("runs"), F.sum("rows_loaded").alias("rows_loaded"), F.sum("errors_seen").alias("errors"))
+
+
+@query("s16_clean_audits_kept", "select name as table_name, cast(2 as bigint) as runs, 2 * a as rows_in, 2 * b as rows_out from ("
+       "select 'calendar' as name, (select count(*) from q_raw_calendar) as a, (select count(*) from q_calendar) as b union all "
+       "select 'postcodes', (select count(*) from q_raw_code_point), (select count(*) from q_postcodes)) c")
+def _(w):
+    store = scratch(w)
+    raw = {n: w[n] for n in ("raw_calendar", "raw_code_point")}
+    for day in (1, 2):
+        build.build_all(w.spark, raw, store, only=("calendar", "postcodes"), run_at=datetime(2025, 7, day))
+    audits = w.spark.read.parquet(f"{store}/clean_audit")
+    return audits.groupBy("table_name").agg(
+        F.countDistinct("run_at").alias("runs"), F.sum("rows_in").alias("rows_in"), F.sum("rows_out").alias("rows_out"))

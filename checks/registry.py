@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,12 +10,18 @@ from pyspark.sql.types import ByteType, DecimalType, FloatType, IntegerType, Sho
 
 from checks import sql, views
 from lettings.plans.build import Lazy
+from lettings.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 MONEY = {"price", "adr", "annual_revenue", "estimated_revenue_l365d"}
 
 
+def scratch(w: Lazy) -> str:
+    """A new folder for one run of a query that writes."""
+    return f"{shared_folder(w.spark)}/runs/{uuid.uuid4().hex}"
+
+
 def tidy(df: DataFrame) -> DataFrame:
     """Whole numbers as BIGINT and other numbers as DOUBLE, as in the SQL."""
     def plain(field):

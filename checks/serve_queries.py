@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import sql, views
-from checks.basic_queries import PICKS, scratch
-from checks.registry import query
+from checks.basic_queries import PICKS
+from checks.registry import query, scratch
 from checks.sql import mean, rd
 from lettings import rules
 from lettings.operators import joins, reports
@@ -102,6 +102,27 @@ def _(w):
     return serve.income_lines(strategy(w))
 
 
+@query("v02_yield_lines", "select city, neighbourhood, 'Short-Term' as strategy, st_gross_yield_pct as gross_yield from q_strategy union all select city, neighbourhood, 'Long-Term', lt_gross_yield_pct from q_strategy")
+def _(w):
+    return serve.yield_lines(strategy(w))
+
+
+@query("v02_strategy_of_sampled_cells", f"""
+select city, neighbourhood, cast(sum(listing_count) as bigint) as listing_count, {rd('cast(sum(st_annual_income * listing_count) as double) / sum(listing_count)', 2)} as st_annual_revenue
+from q_st_vs_lt where st_annual_income is not null and lt_annual_income is not null and listing_count > 0 and sufficient_sample group by all""")
+def _(w):
+    rows = serve.area_strategy(w.at("mart_st_vs_lt"), min_sample=True)
+    return rows.select("city", "neighbourhood", "listing_count", F.round("st_annual_revenue", 2).alias("st_annual_revenue"))
+
+
+@query("v02_compared_points", """
+select a.in_area as neighbourhood, p.city, a.amenity_group, count(*) as n from (values (' nation_3', 'London'), ('Nation_1', 'Greater Manchester'), ('none', 'Bristol')) p(neighbourhood, city)
+join q_area_poi a on lower(a.in_area) = lower(trim(p.neighbourhood)) and a.city = p.city group by all""")
+def _(w):
+    picks = joins.picks_frame(w.spark, PICKS, ["neighbourhood", "city"])
+    return serve.compared_points(picks, w.at("mart_area_poi")).groupBy("neighbourhood", "city", "amenity_group").agg(F.count("*").alias("n"))
+
+
 @query("v03_segments", f"""
 select b.city, b.neighbourhood, b.structure_class, b.bedroom_bucket, b.listing_count, b.avg_adr, {rd('b.avg_occupancy_rate * 100e0', 1)} as avg_occupancy_pct, b.robust_sample,
  s.avg_score_yield_maximiser, s.avg_score_quality_host from q_bedrooms b join q_segment_scores s using (city, neighbourhood, structure_class, bedroom_bucket)""")
@@ -151,12 +172,37 @@ def _(w):
                         "avg_score_quality_host", "season", "occupancy", "peak_season")
 
 
-@query("v06_prompt_context")
+CHOSEN = " ".join(f"when '{p}' then s.{c}" for p, c in rules.PERSONA_SCORES.items())
+METRIC_DIGITS = {"avg_price": 2, "avg_occupancy": 4, "avg_revenue": 2, "avg_review_rating": 2, "pct_superhost": 2}
+
+
+@query("v06_prompt_context", f"""
+select s.city, s.neighbourhood_cleansed, p.persona, {sql.re_(f"case p.persona {CHOSEN} end", 2)} as investment_score,
+ {', '.join(f"{sql.re_(f's.{c}', d)} as {c}" for c, d in METRIC_DIGITS.items())}, s.listing_count, t.top_theme,
+ {', '.join(f't.pct_mentions_{t}' for t in rules.THEME_KEYWORDS)}, coalesce(b.n, 0) as n_segments, b.first_class
+from q_area_scores s cross join (values {', '.join(f"('{p}')" for p in rules.PERSONA_SCORES)}) p(persona)
+left join q_themes t using (city, neighbourhood_cleansed)
+left join (select city, neighbourhood as neighbourhood_cleansed, count(*) as n, min(structure_class) as first_class from (
+ select city, neighbourhood, structure_class from q_bedrooms b join q_segment_scores s using (city, neighbourhood, structure_class, bedroom_bucket)
+ qualify row_number() over (partition by city, neighbourhood order by avg_score_yield_maximiser desc nulls last, structure_class, bedroom_bucket) <= 3) top
+ group by all) b using (city, neighbourhood_cleansed)""")
 def _(w):
     themes = scores.review_themes(w.at("reviews"), w.at("listings"), views.TEST_WORDS)
     areas = w.at("area_persona_scores").join(themes.drop("total_reviews"), ["city", "neighbourhood_cleansed"], "left")
     found = serve.segments(w.at("mart_bedrooms"), serve.scores_by_segment(w.at("mart_listing"), w.at("listing_persona_scores")))
-    return serve.prompt_context(areas, serve.top_segments(found, "YIELD_MAXIMISER"))
+    told = serve.prompt_context(areas, serve.top_segments(found, "YIELD_MAXIMISER"))
+
+    def field(name, kind="double"):
+        return F.get_json_object("metrics_json", f"$.{name}").cast(kind)
+
+    best = F.from_json(field("top_segments", "string"), "array<struct<structure_class string>>")
+    return told.select(
+        "city", field("neighbourhood", "string").alias("neighbourhood_cleansed"), field("persona", "string").alias("persona"),
+        field("investment_score").alias("investment_score"), *[field(c).alias(c) for c in METRIC_DIGITS],
+        field("listing_count", "bigint").alias("listing_count"), field("top_review_theme", "string").alias("top_theme"),
+        *[field(f"pct_mentions_{t}").alias(f"pct_mentions_{t}") for t in rules.THEME_KEYWORDS],
+        F.coalesce(F.size(best), F.lit(0)).cast("bigint").alias("n_segments"), F.get(best, 0)["structure_class"].alias("first_class"),
+    )
 
 
 @query("v06_top_segments", """
@@ -205,6 +251,13 @@ def _(w):
     return serve.pending_work(areas, outputs(w), "RECOMMENDATION")
 
 
+@query("v11_pending_anew", """
+select city, neighbourhood as neighbourhood_cleansed, persona from q_areas cross join (values ('YIELD_MAXIMISER'), ('OCCUPANCY_OPTIMISER'), ('QUALITY_HOST')) p(persona)""")
+def _(w):
+    areas = w["dim_area"].withColumnRenamed("neighbourhood", "neighbourhood_cleansed")
+    return serve.pending_work(areas, outputs(w), "RECOMMENDATION", full=True)
+
+
 @query("v12_narrative_fields", """
 select city, neighbourhood_cleansed, persona, output_type, coalesce(j->>'$.recommendation_summary', j->>'$.investment_summary', j->>'$.summary', 'No recommendation summary available.') as summary,
  j->>'$.key_strengths' as key_strengths, j->>'$.key_risks' as key_risks, j->>'$.confidence' as stated_confidence, j->>'$.recommended_action' as recommended_action
@@ -213,9 +266,29 @@ def _(w):
     return serve.narrative_fields(outputs(w), {"persona": "quality_host", "output_type": "area_overview"})
 
 
-@query("r09_to_geojson_feature")
+@query("r09_to_geojson_feature", f"""
+select a.neighbourhood, a.city, m.listing_count, m.avg_adr, m.poi_count, 'Feature' as kind, 'MultiPolygon' as geometry, count(distinct e.ring) as n_rings,
+ count(*) + count(distinct e.ring) as n_vertices, {rd('sum(e.x0)', 6)} as sum_x, {rd('sum(e.y0)', 6)} as sum_y
+from q_areas a join q_mart_area m using (neighbourhood, city) join q_edges e on e.area_key = a.area_key group by all""")
 def _(w):
-    return serve.map_features(w.at("mart_area"))
+    features = serve.map_features(w.at("mart_area"))
+
+    def field(name, kind="string"):
+        return F.get_json_object("feature", f"$.{name}").cast(kind)
+
+    rings = F.flatten(F.from_json(field("geometry.coordinates"), "array<array<array<array<double>>>>"))
+
+    def total(axis):  # a ring ends where it began
+        open_rings = F.transform("rings", lambda r: F.slice(r, F.lit(1), F.size(r) - 1))
+        return F.aggregate(F.flatten(open_rings), F.lit(0.0), lambda n, v: n + v[axis])
+
+    return features.withColumn("rings", rings).select(
+        field("properties.neighbourhood").alias("neighbourhood"), field("properties.city").alias("city"),
+        field("properties.listing_count", "bigint").alias("listing_count"), field("properties.avg_adr", "double").alias("avg_adr"),
+        field("properties.poi_count", "bigint").alias("poi_count"), field("type").alias("kind"), field("geometry.type").alias("geometry"),
+        F.size("rings").alias("n_rings"), F.size(F.flatten("rings")).alias("n_vertices"),
+        F.round(total(0), 6).alias("sum_x"), F.round(total(1), 6).alias("sum_y"),
+    )
 
 
 # --- refresh jobs ------------------------------------------------------------
@@ -241,7 +314,7 @@ def _(w):
     stream = refresh.files_stream(w.spark, f"{base}/in", schema, 3)
     refresh.refresh_incremental(stream, f"{base}/store", f"{base}/out", ["neighbourhood", "city"], place, build,
                                 f"{base}/chk", unique=["transaction_uid"])
-    return w.spark.read.parquet(f"{base}/out").select("neighbourhood", "city", "structure_class", "median_sale_price", "avg_sale_price", "sale_txn_count")
+    return refresh.current(w.spark, f"{base}/out", ["neighbourhood", "city"]).select("neighbourhood", "city", "structure_class", "median_sale_price", "avg_sale_price", "sale_txn_count")
 
 
 @query("t02_append_projection", "select listing_id, calendar_date, available, minimum_nights, maximum_nights from q_calendar")

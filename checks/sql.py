@@ -38,6 +38,7 @@ def re_(x: str, digits: int) -> str:
 
 
 def mean(x: str, scale: int = 4) -> str:
+    """Exact sum over the count, for values of so many decimals."""
     return f"(cast(sum(cast({x} as decimal({14 + scale},{scale}))) as double) / count({x}))"
 
 
@@ -394,8 +395,8 @@ CTE["q_themes"] = (
 )
 _REPLY = "case when starts_with(trim(reply), '```') then trim(regexp_replace(split_part(trim(reply), '```', 2), '^json', ''), e' \\n\\r\\t') else trim(reply) end"
 CTE["q_outputs"] = f"""
-select * exclude (body, reply), case when json_valid(body) then body else reply end as ai_narrative,
- case when reply is null or reply = '' then 'error' when json_valid(body) then coalesce(json_extract_string(body, '$.confidence'), 'medium') else 'low' end as confidence
+select * exclude (body, reply), case when json_type(case when json_valid(body) then body end) = 'OBJECT' then body else reply end as ai_narrative,
+ case when reply is null or reply = '' then 'error' when json_type(case when json_valid(body) then body end) = 'OBJECT' then coalesce(json_extract_string(case when json_valid(body) then body end, '$.confidence'), 'medium') when json_valid(body) then 'error' else 'low' end as confidence
 from (select *, {_REPLY} as body from q_raw_outputs) o"""
 CTE["q_scored_homes"] = """
 select m.*, s.city, s.score_yield_maximiser, s.score_occupancy_optimiser, s.score_quality_host from q_mart_lean m join q_listing_scores s using (listing_id)"""

@@ -18,23 +18,27 @@ def ratio(num: ColumnLike, den: ColumnLike, digits: int | None = None, times: in
     return value if digits is None else F.round(value, digits)
 
 
-def mean(c: ColumnLike, digits: int | None = None, scale: int = 4) -> Column:
-    """Average over an exact sum, so the result does not depend on row order.
+def mean(c: ColumnLike, digits: int | None = None) -> Column:
+    """Average over :func:`exact_sum`, rounded at the end."""
+    return ratio(exact_sum(c), F.count(as_col(c)), digits)
 
-    ``scale`` is the number of decimals the measure carries.
-    """
-    exact = F.sum(as_col(c).cast(f"decimal({14 + scale},{scale})")).cast("double")
-    return ratio(exact, F.count(as_col(c)), digits)
 
+def exact_sum(c: ColumnLike) -> Column:
+    """Sum as a double that does not depend on the row order where that is possible.
 
-def exact_sum(c: ColumnLike, scale: int = 4) -> Column:
-    return F.sum(as_col(c).cast(f"decimal({14 + scale},{scale})")).cast("double")
+    Values that are decimals of up to 14 digits before and after the point (money, counts,
+    ratings) are summed exactly.  With any other value among them nothing is cut: the sum
+    is one of the values as they are.
+    """
+    value = as_col(c)
+    exact = value.try_cast("decimal(28,14)")
+    other = value.isNotNull() & ~F.coalesce(exact.cast("double") == value.cast("double"), F.lit(False))
+    return F.when(F.count_if(other) == 0, F.sum(exact).cast("double")).otherwise(F.sum(value.cast("double")))
 
 
 def weighted_mean(c: ColumnLike, weight: ColumnLike) -> Column:
     """Sum of value x weight over the sum of all weights; NULL values add nothing."""
-    product = as_col(c).cast("decimal(18,4)") * as_col(weight).cast("decimal(18,0)")
-    return ratio(F.sum(product.cast("decimal(28,4)")), F.sum(as_col(weight)))
+    return ratio(exact_sum(as_col(c) * as_col(weight)), F.sum(as_col(weight)))
 
 
 def count_when(test: Column) -> Column:

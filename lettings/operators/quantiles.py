@@ -14,12 +14,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lettings.operators.joins import join_null_safe
 
-BUCKETS_PER_OCTAVE = 1024
+BUCKETS_PER_OCTAVE = 1 << 14
+FIRST_OCTAVE = 1100  # below any exponent of a double
 
 
 def _bucket(v: Column) -> Column:
-    """Order-preserving bucket of a double: a fixed share of each power of two."""
-    return (F.signum(v) * F.floor(F.log2(F.abs(v) + 1.0) * BUCKETS_PER_OCTAVE)).cast("bigint")
+    """Order-preserving bucket of a double: each power of two has the same number, at every magnitude.
+
+    As in Spark's order, NaN is the largest value, after infinity.
+    """
+    size = F.abs(v)
+    octave = F.floor(F.log2(size)).cast("double")
+    inside = F.floor((size / F.pow(F.lit(2.0), octave) - 1) * BUCKETS_PER_OCTAVE)
+    place = ((octave + FIRST_OCTAVE) * BUCKETS_PER_OCTAVE + inside).cast("bigint")
+    end = 4 * FIRST_OCTAVE * BUCKETS_PER_OCTAVE
+    return (
+        F.when(F.isnan(v), F.lit(end + 1)).when(v == 0, F.lit(0))
+        .when(size == float("inf"), F.signum(v).cast("bigint") * end).otherwise(F.signum(v).cast("bigint") * place)
+    ).cast("bigint")
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], measures: Mapping[str, Column]) -> DataFrame:

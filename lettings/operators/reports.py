@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, NumericType
@@ -29,6 +30,12 @@ def load_audit(df: DataFrame, table: str, file_col: str, line_col: str, error_co
     return counted.select(F.lit(table).alias("table_name"), "file_name", status.alias("status"), *counted.columns[1:])
 
 
+def with_run_time(audit: DataFrame, run_at: datetime | None = None) -> DataFrame:
+    """An audit with the time of its run, to be appended to earlier ones."""
+    at = F.current_timestamp().cast("timestamp_ntz") if run_at is None else F.lit(run_at).cast("timestamp_ntz")
+    return audit.withColumn("run_at", at)
+
+
 def clean_audit(
     target: str, source: str, rows_in: DataFrame, rows_out: DataFrame, per_row: int = 1
 ) -> DataFrame:

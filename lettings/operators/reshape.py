@@ -92,21 +92,13 @@ def one_hot(df: DataFrame, keys: Sequence[str], col: str, columns: Mapping[str,
     )
 
 
-def collect_in_chunks(
-    df: DataFrame, keys: Sequence[str], value: str, number: str, rows: int = 1000
-) -> DataFrame:
-    """Values per key as arrays of about ``rows`` elements.
+def values_per_key(df: DataFrame, keys: Sequence[str], value: str, number: str) -> DataFrame:
+    """One row per value of a key (with its ``number``, an id), and how many the key has.
 
-    A key up to ``rows`` values gives one array with all of them.  A larger key
-    is dealt out by ``number`` (a whole-number id), so no array grows with the
-    key.  Arrays are in ``number`` order.
+    The grain is the same at every size: no array is built, so no key is gathered.
     """
-    counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).alias("__chunks"))
-    dealt = join_keys(df, counts, keys).withColumn("chunk", F.pmod(F.col(number), F.col("__chunks")))
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), F.col(value).alias("v"))))
-    return dealt.groupBy(*keys, "chunk").agg(
-        F.transform(pairs, lambda p: p["v"]).alias(f"{value}_list"), F.count(F.lit(1)).alias("n_values")
-    )
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_values"))
+    return join_keys(df.select(*keys, number, value), counts, keys)
 
 
 def string_list_distinct(df: DataFrame, keys: Sequence[str], col: str, name: str, sep: str = ", ") -> DataFrame:

@@ -7,6 +7,7 @@ side only below the configured size and otherwise shuffles.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -96,12 +97,33 @@ class Lazy(dict):
         return self.store(name, lambda: self[name])
 
 
-def build_all(spark: SparkSession, raw: Tables, folder: str, only: tuple[str, ...] | None = None) -> DataFrame:
-    """Writes every table under ``folder`` and returns the row counts."""
+# cleaned table -> (raw table, rows that one raw row gives)
+AUDITED = {
+    "listings": ("raw_listings", 1), "calendar": ("raw_calendar", 1), "reviews": ("raw_reviews", 1),
+    "sales": ("raw_price_paid", 1), "postcodes": ("raw_code_point", 1), "pois": ("raw_poi", 1),
+}
+COMPUTED = ("area_metrics", "area_persona_scores", "listing_yield", "listing_persona_scores", "review_themes")
+
+
+def build_all(
+    spark: SparkSession, raw: Tables, folder: str, only: tuple[str, ...] | None = None, run_at: datetime | None = None,
+) -> DataFrame:
+    """Writes every table under ``folder`` and returns the row counts.
+
+    Cleaned tables add a row each to ``folder``/clean_audit, with the time of the run, so
+    the audits of all builds are kept.  Scores and themes carry ``computed_at``.
+    """
     done = Lazy(raw, spark)
     names = [n for n in STEPS if only is None or n in only]
     for name in names:
         path = f"{folder}/{name}"
-        tables.write_replace(done[name], path)
+        table = done[name]
+        if name in COMPUTED:
+            table = reports.with_run_time(table, run_at).withColumnRenamed("run_at", "computed_at")
+        tables.write_replace(table, path)
         done[name] = spark.read.parquet(path)
+        if name in AUDITED and AUDITED[name][0] in raw:
+            source, fan = AUDITED[name]
+            audit = reports.clean_audit(name, source, raw[source], done[name], fan)
+            tables.write_append(reports.with_run_time(audit, run_at), f"{folder}/clean_audit")
     return reports.verify_counts({n: done[n] for n in names})

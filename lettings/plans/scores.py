@@ -205,5 +205,5 @@ def review_themes(
         return themed.withColumn("avg_sentiment_score", F.lit(None).cast("double"))
     mood = sentiment.join(homes, "listing_id").groupBy(
         "city", F.col("neighbourhood").alias("neighbourhood_cleansed")
-    ).agg(F.bround(measures.mean("avg_sentiment_score", scale=8), 4).alias("avg_sentiment_score"))
+    ).agg(F.bround(measures.mean("avg_sentiment_score"), 4).alias("avg_sentiment_score"))
     return themed.join(mood, ["city", "neighbourhood_cleansed"], "left")

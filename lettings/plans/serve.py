@@ -66,7 +66,7 @@ def norm_means_by_area(scores: DataFrame) -> DataFrame:
     return scores.groupBy("city", "neighbourhood_cleansed").agg(
         F.count(F.lit(1)).alias("listing_count"),
         *[
-            measures.mean(f"norm_{c}", 6, scale=12).alias(f"avg_norm_{c}")
+            measures.mean(f"norm_{c}", 6).alias(f"avg_norm_{c}")
             for c in ("price", "occupancy", "revenue", "rating")
         ],
     )
@@ -277,17 +277,20 @@ FENCE = "```"
 def parse_reply(text: Column) -> tuple[Column, Column]:
     """Reply without its code fence and the confidence it states.
 
-    JSON without a confidence is ``medium``, other text ``low``, none ``error``.
+    A JSON object without a confidence is ``medium``, other JSON and no text ``error``,
+    other text ``low``.
     """
     trimmed = F.trim(text)
     inner = F.regexp_replace(F.split_part(trimmed, F.lit(FENCE), F.lit(2)), "^json", "")
     body = F.when(trimmed.startswith(FENCE), F.trim(inner, F.lit(" \n\r\t"))).otherwise(trimmed)
     stated = F.get_json_object(body, "$.confidence")
     is_json = F.try_parse_json(body).isNotNull()
+    is_object = is_json & F.ltrim(body).startswith("{")
     has_text = text.isNotNull() & (text != "")
     return (
-        F.when(is_json, body).otherwise(text),
-        F.when(has_text & is_json, F.coalesce(stated, F.lit("medium")))
+        F.when(is_object, body).otherwise(text),
+        F.when(has_text & is_object, F.coalesce(stated, F.lit("medium")))
+        .when(has_text & is_json, F.lit("error"))
         .when(has_text, F.lit("low")).otherwise(F.lit("error")),
     )
 

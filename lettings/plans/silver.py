@@ -296,8 +296,7 @@ def review_summary(
 ) -> DataFrame:
     """Volume, reviewers, span and comment coverage per listing.
 
-    The comments themselves are in :func:`review_comments`, in pieces of bounded
-    size.
+    The comments themselves are in :func:`review_comments`, one row each.
     """
     rows = unique_reviews(raw, first, last)
     volume = rows.groupBy("listing_id").agg(
@@ -315,8 +314,8 @@ def review_summary(
 
 
 def review_comments(
-    raw: DataFrame, first: str = rules.FIRST_DAY, last: str = rules.LAST_REVIEW_DAY, rows: int = 1000
+    raw: DataFrame, first: str = rules.FIRST_DAY, last: str = rules.LAST_REVIEW_DAY
 ) -> DataFrame:
-    """Comments per listing as arrays: one for a usual listing, several for a huge one."""
+    """One row per comment: listing, review id, text and the listing's number of comments."""
     kept = unique_reviews(raw, first, last).where(F.col("comments").isNotNull())
-    return reshape.collect_in_chunks(kept, ["listing_id"], "comments", "id", rows)
+    return reshape.values_per_key(kept, ["listing_id"], "comments", "id")

@@ -72,23 +72,18 @@ def dim_city_assumptions(spark: SparkSession) -> DataFrame:
     return joins.values_frame(spark, rules.CITY_ASSUMPTIONS, rules.CITY_ASSUMPTION_COLUMNS)
 
 
-def date_spine(days: DataFrame, col: str, margin: int = rules.DATE_SPINE_MARGIN_DAYS,
-               cap: int | None = rules.DATE_SPINE_CAP) -> DataFrame:
-    """Every day from ``margin`` before the first to ``margin`` after the last day.
-
-    ``cap`` is the reference length of the calendar; ``None`` gives all days.
-    """
+def date_spine(days: DataFrame, col: str, margin: int = rules.DATE_SPINE_MARGIN_DAYS) -> DataFrame:
+    """Every day from ``margin`` before the first to ``margin`` after the last day."""
     span = days.agg(
         F.date_sub(F.min(col), margin).alias("first"), F.date_add(F.max(col), margin).alias("last")
     )
-    last = F.col("last") if cap is None else F.least(F.col("last"), F.date_add("first", cap - 1))
-    return span.select(F.explode(F.sequence("first", last)).alias("date_key"))
+    return span.select(F.explode(F.sequence("first", "last")).alias("date_key"))
 
 
-def dim_date(calendar: DataFrame, cap: int | None = rules.DATE_SPINE_CAP) -> DataFrame:
+def dim_date(calendar: DataFrame) -> DataFrame:
     d = F.col("date_key")
     sunday_based = F.dayofweek(d) - 1
-    return date_spine(calendar, "calendar_date", cap=cap).select(
+    return date_spine(calendar, "calendar_date").select(
         d, F.year(d).alias("year"), F.quarter(d).alias("quarter"), F.month(d).alias("month"),
         F.date_format(d, "MMM").alias("month_name"), F.day(d).alias("day_of_month"),
         sunday_based.alias("day_of_week"), F.date_format(d, "E").alias("day_name"),

@@ -351,5 +351,4 @@ SEASONS = {
     "Autumn": (9, 10, 11),
 }
 DATE_SPINE_MARGIN_DAYS = 30
-DATE_SPINE_CAP = 1000
 EARTH_RADIUS_M = 6371008.8

@@ -26,13 +26,15 @@ def build(app: str = "lettings", master: str | None = None, **extra: str) -> Spa
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a new one only where it is unset."""
+    """Folder named by ``spark.checkpoint.dir``; a new one only where it is unset on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lettings-"))
     return spark.sparkContext.getCheckpointDir()
 

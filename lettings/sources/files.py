@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -9,16 +10,16 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from lettings import rules
 from lettings.functions import clean
-from lettings.operators.windows import running_number
+from lettings.operators import spatial
+from lettings.operators.windows import dedup_latest, running_number
 
 CORRUPT = "_corrupt_record"
 
 
-def _csv_options(header: bool) -> dict[str, object]:
+def _csv_options(header: bool, multi_line: bool) -> dict[str, object]:
     return {
-        "header": header, "inferSchema": False, "multiLine": True, "quote": '"', "escape": '"',
-        "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True,
-        "enforceSchema": False if header else True,
+        "header": header, "inferSchema": False, "multiLine": multi_line, "quote": '"', "escape": '"',
+        "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "enforceSchema": True,
     }
 
 
@@ -32,26 +33,73 @@ def markers_as_null(df: DataFrame, markers: Sequence[str] = rules.CSV_NULL_MARKE
     return df.select(*[clean.marker_to_null(c, markers).alias(c) for c in df.columns])
 
 
-def read_csv_text(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """CSV with a header (plain or gzip), every column as text.
-
-    No column is typed here, so a value can never fail to load.
+def file_headers(spark: SparkSession, path: str | Sequence[str]) -> list[tuple[str, tuple[str, ...]]]:
+    """Files and their header names, in the order of the paths; only the first split of a file is read."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    first = lines.where("split = 0").groupBy("file").agg(F.min_by("value", "at").alias("line"))
+    return [
+        (r["file"], tuple(n.strip() for n in next(csv.reader([r["line"].lstrip("\ufeff")]))))
+        for r in sorted(first.collect()) if r["line"].strip()
+    ]
+
+
+def _frames_by_header(spark: SparkSession, path: str | Sequence[str], multi_line: bool) -> list[DataFrame]:
+    """One frame per different header, with lines that do not fit in ``CORRUPT`` and ``_metadata``."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, header in file_headers(spark, path):
+        groups.setdefault(header, []).append(file)
+    reader = spark.read.options(**_csv_options(True, multi_line)).option("columnNameOfCorruptRecord", CORRUPT)
+    frames = []
+    for header, paths in groups.items():
+        raw = reader.schema(text_schema(header, corrupt=True)).csv(paths).select("*", "_metadata")
+        # a query of the kept lines alone is refused, so the column leans on a data column
+        kept = F.coalesce(F.nullif(F.col(CORRUPT), F.lit("")), F.when(F.col(CORRUPT).isNotNull(), F.col(f"`{header[0]}`")))
+        frames.append(raw.withColumn(CORRUPT, kept))
+    return frames
+
+
+def read_csv_text(spark: SparkSession, path: str | Sequence[str], multi_line: bool = True) -> DataFrame:
+    """CSV with headers (plain or gzip), every column as text, matched by name across files.
+
+    No column is typed here, so a value can never fail to load.  The first file gives the
+    shape.  Without ``multi_line`` a plain file is read in many splits; fields must then
+    hold no line breaks.
     """
-    return markers_as_null(spark.read.options(**_csv_options(True)).csv(path))
+    frames = [f.drop(CORRUPT, "_metadata") for f in _frames_by_header(spark, path, multi_line)]
+    first = frames[0].columns
+    return markers_as_null(append_by_name(frames) if len(frames) > 1 else frames[0]).toDF(*first)
 
 
-def read_csv_audited(spark: SparkSession, path: str | Sequence[str], names: Sequence[str]) -> DataFrame:
-    """CSV text with lineage; lines that do not fit keep their text in a column."""
-    reader = spark.read.options(**{**_csv_options(True), "enforceSchema": True})
-    raw = reader.schema(text_schema(names, corrupt=True)).option("columnNameOfCorruptRecord", CORRUPT)
-    # a query of the kept lines alone is refused, so the column leans on a data column
-    kept = F.coalesce(F.nullif(F.col(CORRUPT), F.lit("")), F.when(F.col(CORRUPT).isNotNull(), F.col(names[0])))
-    return with_lineage(raw.csv(path).select("*", "_metadata")).drop("_metadata").withColumn(CORRUPT, kept)
+def read_csv_audited(
+    spark: SparkSession, path: str | Sequence[str], names: Sequence[str], multi_line: bool = True
+) -> DataFrame:
+    """The columns ``names`` (matched by name in any case, missing ones NULL) with lineage and bad lines.
 
-
-def read_csv_positional(spark: SparkSession, path: str | Sequence[str], names: Sequence[str]) -> DataFrame:
-    """CSV without a header into named text columns."""
-    reader = spark.read.options(**_csv_options(False)).schema(text_schema(names))
+    A line that does not fit its file's header keeps its text in a column of its own.
+    """
+    out = None
+    for frame in _frames_by_header(spark, path, multi_line):
+        numbered = with_lineage(frame).drop("_metadata")
+        own = {c.lower(): c for c in numbered.columns}
+        found = [
+            clean.marker_to_null(own[n.lower()], rules.CSV_NULL_MARKERS).alias(n) if n.lower() in own
+            else F.lit(None).cast("string").alias(n) for n in names
+        ]
+        shaped = numbered.select(*found, CORRUPT, "_filename", "_file_row_number", "_load_ts")
+        out = shaped if out is None else out.unionByName(shaped)
+    if out is None:
+        raise ValueError(f"No file with a header in {path}")
+    return out
+
+
+def read_csv_positional(
+    spark: SparkSession, path: str | Sequence[str], names: Sequence[str], multi_line: bool = False
+) -> DataFrame:
+    """CSV without a header into named text columns, in splits unless fields hold line breaks."""
+    reader = spark.read.options(**_csv_options(False, multi_line)).schema(text_schema(names))
     return markers_as_null(reader.csv(path))
 
 
@@ -152,6 +200,18 @@ def land_cells(df: DataFrame, cols: Sequence[str], row: str, skip_rows: int) ->
     return landed.where(F.exists("cells", lambda c: c.isNotNull()))
 
 
+def scoped_snapshot(df: DataFrame, areas: DataFrame, key: str, cols: Sequence[str], area: str, source: str) -> DataFrame:
+    """Copy of a shared table of points, cut to those inside an area, with the area and its origin.
+
+    The areas' extent is a plain range filter, which the scan can use; a point in several
+    areas goes to the first by name.
+    """
+    near = spatial.in_extent(df, areas)
+    placed = spatial.point_in_area(near, areas, [area])
+    one = dedup_latest(placed, [key], [F.col(area).asc()])
+    return snapshot(one, [*cols, area], source)
+
+
 def snapshot(df: DataFrame, cols: Sequence[str], source: str) -> DataFrame:
     """Copy of the named columns of a shared table with its origin."""
     return df.select(*cols, F.lit(source).alias("_source"), F.current_timestamp().cast("timestamp_ntz").alias("_load_ts"))

@@ -1,21 +1,27 @@
 """Incremental and full refresh of tables.
 
 Medians cannot be kept as running state, so a refresh recomputes the keys that
-a batch touched from the stored rows.  Every write replaces whole partitions,
-so a batch that is run again after a failure leaves the same tables.
+a batch touched from the stored rows.  Every write replaces the partitions of its
+batch, so a batch that is run again after a failure leaves the same tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from lettings.operators import joins, windows
 from lettings.sources import tables
 
 Build = Callable[[DataFrame], DataFrame]
+BUCKETS = 64
+
+
+def bucket_of(keys: Sequence[str]) -> Column:
+    """A fixed number of parts of the key space; NULL keys have one too."""
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
 
 def refresh_incremental(
@@ -24,28 +30,36 @@ def refresh_incremental(
 ) -> None:
     """Runs all waiting files and recomputes the touched keys of ``target``.
 
-    ``place`` maps new rows to store rows with the partition ``keys``; ``build``
-    makes target rows from store rows.  Store rows are kept per batch, so a
-    repeated batch replaces itself; the batch number is a column of the store.
-    With ``unique``, a row that comes again in a later batch replaces the
-    earlier one, also where it moves to another key.
+    ``place`` maps new rows to store rows with the ``keys``; ``build`` makes target rows
+    from store rows.  Store rows are kept per batch in buckets of their keys, so only the
+    touched buckets are read again.  With ``unique``, a row that comes again in a later
+    batch replaces the earlier one, also where it moves to another key.
+
+    The target keeps what each batch wrote for the keys it touched, a key that has become
+    empty as a row that is not alive; :func:`current` reads the newest state.
     """
     keys, unique = list(keys), list(unique)
     spark = stream.sparkSession
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        rows = place(batch).withColumn("batch", F.lit(batch_id))
-        tables.replace_keys(rows, store, ["batch", *keys])
-        stored = spark.read.parquet(store).where(F.col("batch") <= batch_id)
+        rows = place(batch).withColumns({"batch": F.lit(batch_id), "bucket": bucket_of(keys)})
+        tables.replace_keys(rows, store, ["batch", "bucket"])
+        stored = spark.read.schema(rows.schema).parquet(store).where(F.col("batch") <= batch_id)
         new = stored.where(F.col("batch") == batch_id)
         changed = joins.join_semi(stored, new, unique) if unique else new
         touched = changed.select(*keys).distinct()
-        again = joins.join_semi(stored, touched, keys)
+        touched = touched.withColumn("bucket", bucket_of(keys))
+        buckets = [r[0] for r in touched.select("bucket").distinct().collect()]  # BUCKETS at most
+        near = stored.where(F.col("bucket").isin(buckets)) if buckets else stored.limit(0)
+        again = join_keys_semi(near, touched, keys)
         if unique:
             versions = joins.join_semi(stored, again.select(*unique).distinct(), unique)
             newest = windows.dedup_latest(versions, unique, [F.col("batch").desc()])
-            again = joins.join_semi(newest, touched, keys)
-        tables.replace_keys(build(again.drop("batch")), target, keys)
+            again = join_keys_semi(newest, touched, keys)
+        made = build(again.drop("batch", "bucket")).withColumn("alive", F.lit(True))
+        dead = anti(touched.select(*keys), made, keys).withColumn("alive", F.lit(False))
+        result = made.unionByName(dead, allowMissingColumns=True)
+        tables.replace_keys(result.withColumn("batch", F.lit(batch_id)), target, ["batch"])
 
     query = (
         stream.writeStream.foreachBatch(apply)
@@ -54,6 +68,41 @@ def refresh_incremental(
     query.awaitTermination()
 
 
+def _equal(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    test = F.lit(True)
+    for k in keys:
+        test = test & left[k].eqNullSafe(right[f"__{k}"])
+    return test
+
+
+def join_keys_semi(df: DataFrame, touched: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose keys occur in ``touched``; NULL equals NULL."""
+    side = touched.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    return df.join(side, _equal(df, side, keys), "left_semi")
+
+
+def anti(touched: DataFrame, made: DataFrame, keys: Sequence[str]) -> DataFrame:
+    side = made.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    return touched.join(side, _equal(touched, side, keys), "left_anti")
+
+
+def current(spark: SparkSession, target: str, keys: Sequence[str]) -> DataFrame:
+    """The target as of now: per key the rows of the last batch that touched it."""
+    keys = list(keys)
+    rows = spark.read.parquet(target)
+    last = rows.groupBy(*keys).agg(F.max("batch").alias("__batch"))
+    last = last.select(*[F.col(k).alias(f"__{k}") for k in keys], "__batch")
+    newest = rows.join(last, _equal(rows, last, keys) & (rows["batch"] == last["__batch"]), "left_semi")
+    return newest.where("alive").drop("alive", "batch")
+
+
+def compact(spark: SparkSession, target: str, keys: Sequence[str], into: str) -> None:
+    """The current state as a target of one batch, in a new folder; later batches go on from there."""
+    last = spark.read.parquet(target).agg(F.max("batch")).first()[0]
+    state = current(spark, target, keys).withColumns({"alive": F.lit(True), "batch": F.lit(last)})
+    tables.write_replace(state, into, ["batch"])
+
+
 def append_projection(stream: DataFrame, project: Build, target: str, checkpoint: str) -> None:
     """Stateless projection appended once per input row."""
     query = (

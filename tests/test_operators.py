@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lettings import rules
-from lettings.functions import spatial as geo
+from lettings.functions import measures, spatial as geo
 from lettings.operators import joins, quantiles, reports, reshape, spatial, windows
+from lettings.plans import serve
 
 
 def hot_rows(n=3000, seed=1):
@@ -121,11 +122,24 @@ def test_points_in_areas_with_hole_and_second_polygon(spark):
         assert got == [(1, "multi"), (1, "single"), (2, ""), (3, "multi"), (4, ""), (5, "")]
 
 
-def test_collect_in_chunks_keeps_everything(spark):
-    df = spark.createDataFrame([("hot", i, str(i)) for i in range(50)] + [("one", 7, "x")], "k string, i int, v string")
-    got = reshape.collect_in_chunks(df, ["k"], "v", "i", rows=8).collect()
-    assert sorted(int(v) for r in got if r.k == "hot" for v in r.v_list) == list(range(50))
-    assert all(len(r.v_list) <= 8 for r in got) and [r.v_list for r in got if r.k == "one"] == [["x"]]
+def test_values_per_key_have_one_grain(spark):
+    df = spark.createDataFrame([("hot", i, str(i)) for i in range(2500)] + [("one", 7, "x")], "k string, i int, v string")
+    got = reshape.values_per_key(df, ["k"], "v", "i").collect()
+    assert sorted(int(r.v) for r in got if r.k == "hot") == list(range(2500))
+    assert {(r.k, r.n_values) for r in got} == {("hot", 2500), ("one", 1)}
+
+
+def test_means_keep_small_and_large_values(spark):
+    df = spark.createDataFrame([(1e-5, 1e15), (3e-5, 3e15)], "a double, b double")
+    row = df.agg(measures.mean("a").alias("a"), measures.mean("b").alias("b"), measures.weighted_mean("a", "b").alias("w")).first()
+    assert row.a == pytest.approx(2e-5, rel=1e-12) and row.b == 2e15 and row.w == pytest.approx(2.5e-5, rel=1e-12)
+
+
+def test_replies_that_are_no_object_are_errors(spark):
+    replies = ["123", "[1]", '"x"', "null", '{"a": 1}', '{"confidence": "high"}', "words", "", None, "```json\n{}\n```"]
+    rows = serve.parsed_replies(spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, reply string"), "reply")
+    assert [r.confidence for r in rows.orderBy("i").collect()] == [
+        "error", "error", "error", "error", "medium", "high", "low", "error", "error", "medium"]
 
 
 def test_null_keys_match_only_where_asked(spark):
@@ -148,3 +162,17 @@ def test_profile_matches_pandas(spark):
     for name, want in {"mean": s.mean(), "median": s.median(), "std": s.std(), "skew": s.skew(), "percent_null": s.isna().mean() * 100}.items():
         assert math.isclose(row[name], want, abs_tol=1e-5), name
     assert (row.unique_values, row.outlier_count) == (s.nunique(), outliers)
+
+
+def test_medians_order_nan_last_and_spread_small_values(spark):
+    df = spark.createDataFrame([("a", float("nan")), ("a", 1.0), ("a", 2.0), ("b", float("nan")), ("b", 4.0)], "k string, v double")
+    got = {r.k: r.m for r in quantiles.medians(df, ["k"], {"m": F.col("v")}).collect()}
+    assert got["a"] == 2.0 and math.isnan(got["b"])
+    for low, width in ((0.0, 1.0), (1000.0, 0.5)):
+        values = spark.range(1_000_000).select((low + F.rand(1) * width).alias("v"))
+        largest = values.groupBy(quantiles._bucket(F.col("v"))).count().agg(F.max("count")).first()[0]
+        assert largest < 1_000_000 / 10, (low, largest)
+    edge = [-math.inf, -1e300, -2.0, -1e-300, 0.0, 5e-324, 1e-300, 0.3, 1.0, 2.0 - 2**-52, 2.0, 1e15, 1.7e308, math.inf, math.nan]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(edge)], "i int, v double").select("i", quantiles._bucket(F.col("v")).alias("b"))
+    buckets = [r.b for r in rows.orderBy("i").collect()]
+    assert buckets == sorted(buckets)

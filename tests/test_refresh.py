@@ -1,25 +1,52 @@
-"""Incremental refresh: later versions win, also across keys, and a second run changes nothing."""
+"""Incremental refresh equals a batch build: later versions win, emptied keys go, key types stay."""
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from lettings.streaming import refresh
 
+WAVES = [
+    [(1, "a", 1), (2, "a", 2), (3, "b", 5), (4, "01", 1), (5, "1", 2), (6, None, 3), (7, "2024-01-01", 4)],
+    [(1, "b", 10), (2, "b", 7), (6, None, 4)],  # every row of a moves to b
+    [(4, "1", 1)],  # and 01 becomes empty
+]
 
-def test_later_rows_replace_earlier_ones(spark, tmp_path):
-    schema = "id int, k string, v int"
-    batches = [[(1, "a", 1), (2, "a", 2), (3, "b", 5)], [(1, "b", 10), (3, "b", 7)]]
-    for rows in batches:
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        time.sleep(1.1)  # files are taken in order of their change time
 
-    def run():
-        stream = refresh.files_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
+@pytest.fixture
+def folders(spark, tmp_path):
+    def run(waves):
+        for rows in waves:
+            spark.createDataFrame(rows, "id int, k string, v int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            time.sleep(1.1)  # files are taken in order of their change time
+        schema = spark.read.parquet(str(tmp_path / "in")).schema
+        stream = refresh.files_stream(spark, str(tmp_path / "in"), schema)
         refresh.refresh_incremental(
             stream, str(tmp_path / "store"), str(tmp_path / "out"), ["k"], lambda b: b,
             lambda s: s.groupBy("k").agg(F.sum("v").alias("total")), str(tmp_path / "chk"), unique=["id"])
-        return {r.k: r.total for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+        state = refresh.current(spark, str(tmp_path / "out"), ["k"])
+        assert dict(state.dtypes)["k"] == "string"
+        return {r.k: r.total for r in state.collect()}
+    return run, tmp_path
 
-    assert run() == {"a": 2, "b": 17}
-    assert run() == {"a": 2, "b": 17}
+
+def batch_build(waves):
+    newest = {}
+    for rows in waves:
+        for i, k, v in rows:
+            newest[i] = (k, v)
+    totals = {}
+    for k, v in newest.values():
+        totals[k] = totals.get(k, 0) + v
+    return totals
+
+
+def test_refresh_equals_batch_build(spark, folders):
+    run, path = folders
+    assert run(WAVES[:1]) == batch_build(WAVES[:1])
+    assert run(WAVES[1:]) == batch_build(WAVES) == {"b": 22, "1": 3, None: 4, "2024-01-01": 4}
+    assert run([]) == batch_build(WAVES)
+    refresh.compact(spark, str(path / "out"), ["k"], str(path / "compact"))
+    state = refresh.current(spark, str(path / "compact"), ["k"]).collect()
+    assert {r.k: r.total for r in state} == batch_build(WAVES)

@@ -72,3 +72,26 @@ def test_missing_listing_columns_become_null(spark):
                                 "id string, latitude string, longitude string, property_type string")
     rows = silver.clean_listings(raw).collect()
     assert [(r.listing_id, r.property_type, r.price) for r in rows] == [(1, "loft", None)]
+
+
+def test_files_of_different_headers_match_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,v\n1,N/A\n2,x\n")
+    (tmp_path / "b.csv").write_text("V,extra,ID\nNULL,e,3\ny,e,4\nz,e,5,too,many\n")
+    rows = files.read_csv_text(spark, str(tmp_path), multi_line=False)
+    assert rows.columns == ["id", "v"]
+    assert sorted((r.id, r.v) for r in rows.collect() if r.id != "5") == [("1", None), ("2", "x"), ("3", None), ("4", "y")]
+    audited = files.read_csv_audited(spark, str(tmp_path), ["id", "v"]).orderBy("id").collect()
+    assert [(r.id, r.v, r["_corrupt_record"]) for r in audited] == [
+        ("1", None, None), ("2", "x", None), ("3", None, None), ("4", "y", None), ("5", "z", "z,e,5,too,many")]
+    assert [r["_file_row_number"] for r in audited] == [1, 2, 1, 2, 3]
+
+
+def test_plain_csv_is_read_in_splits(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("".join(f"{i},x\n" for i in range(40_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = files.read_csv_positional(spark, str(tmp_path), ["i", "v"])
+        assert rows.rdd.getNumPartitions() > 3 and rows.count() == 40_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
