@@ -368,7 +368,7 @@ column_query("c34_date_range_label", "calendar", {"label": "strftime(calendar_da
 
 @query("c35_host_clean", "select distinct host_id, host_name, case when host_response_rate = 'N/A' then 'UNKNOWN' else coalesce(replace(host_response_rate, '%', ''), 'UNKNOWN') end as host_response_rate from q_raw_listings")
 def _(w):
-    return reports.hosts_clean(w["raw_listings"].select("host_id", "host_name", "host_response_rate"))
+    return reports.host_clean(w["raw_listings"].select("host_id", "host_name", "host_response_rate"))
 
 
 @query("c36_drop_any_null", "select count(*) as n, cast(3 as bigint) as n_columns from q_raw_listings where estimated_revenue_l365d is not null and review_scores_rating is not null")

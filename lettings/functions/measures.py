@@ -105,8 +105,8 @@ def gap_sample(top: ColumnLike, rest: ColumnLike) -> Column:
 def sample_note(n: ColumnLike) -> Column:
     """Wording that goes with a thin sample; empty for ten listings and more."""
     return (
-        F.when(as_col(n) < 3, F.lit(" WARNING: only 1-2 listings — treat with caution"))
-        .when(as_col(n) < 10, F.lit(" (limited sample — interpret carefully)"))
+        F.when(as_col(n) < 3, F.lit(rules.TINY_SAMPLE_NOTE))
+        .when(as_col(n) < 10, F.lit(rules.SMALL_SAMPLE_NOTE))
         .otherwise(F.lit(""))
     )
 

@@ -191,13 +191,18 @@ def city_validation(df: DataFrame, scores: Sequence[str]) -> DataFrame:
     )
 
 
-def hosts_clean(df: DataFrame) -> DataFrame:
-    """Distinct hosts; ``N/A`` and missing text become ``UNKNOWN``, percent signs go."""
-    out = df.distinct()
-    for c in ("host_response_time", "host_response_rate", "host_acceptance_rate"):
-        if c in out.columns:
-            out = out.withColumn(c, F.when(F.col(c) != "N/A", F.translate(F.col(c), "%", "")))
-    return out.fillna("UNKNOWN")
+HOST_RATES = ("host_response_time", "host_response_rate", "host_acceptance_rate")
+
+
+def host_clean(df: DataFrame) -> DataFrame:
+    """Distinct hosts as text: rates without marker and percent sign, ``UNKNOWN`` for what is missing in any column."""
+    return df.distinct().select(*[
+        F.coalesce(
+            clean.strip_chars(clean.marker_to_null(c, ("N/A",)), "%") if c in HOST_RATES else F.col(c).cast("string"),
+            F.lit("UNKNOWN"),
+        ).alias(c)
+        for c in df.columns
+    ])
 
 
 LINEAGE = ("_load_ts", "_filename", "_file_row_number")

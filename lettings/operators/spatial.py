@@ -13,6 +13,7 @@ from lettings.operators.joins import join_null_safe
 CELL_DEG = 0.02
 ROWS_PER_SPLIT = 4096
 METRES_PER_DEGREE = 111195.0
+FINE_CELLS = 4  # fine cells per radius in the counts of near points
 
 
 def area_cells(areas: DataFrame, cols: Sequence[str], cell: float = CELL_DEG) -> DataFrame:
@@ -59,8 +60,10 @@ def point_in_area(
 ) -> DataFrame:
     """Points next to the areas that contain them; ``left`` keeps the others."""
     cells = area_cells(areas, cols, cell)
-    placed = points.withColumn("__px", F.floor(F.col(lon) / cell).cast("bigint")).withColumn(
-        "__py", F.floor(F.col(lat) / cell).cast("bigint")
+    # points without a position match nothing; they are spread out instead of sharing one NULL key
+    nowhere = -(1 << 40) - F.pmod(F.xxhash64(*points.columns), F.lit(1 << 20))
+    placed = points.withColumn("__px", F.coalesce(F.floor(F.col(lon) / cell).cast("bigint"), nowhere)).withColumn(
+        "__py", F.coalesce(F.floor(F.col(lat) / cell).cast("bigint"), nowhere)
     )
     test = (
         (F.col("__px") == F.col("__cx"))
@@ -165,38 +168,71 @@ def within_distance(
     return here.join(there, test, how).drop("__cx", "__cy", "__nx", "__ny", "__u", "__v")
 
 
+def cells_around(homes: DataFrame, lon: str, lat: str, metres: float, height: float) -> DataFrame:
+    """Each place with all fine cells that a circle around it can meet, and whether the circle holds the whole cell.
+
+    Cells are rows of ``height`` degrees; a cell counts as held only with a metre to spare
+    at all its corners, everything else is left to the exact test.
+    """
+    reach = _row_height(metres)
+    south, north = F.floor((F.col(lat) - reach) / height), F.floor((F.col(lat) + reach) / height)
+    rows = homes.select("*", F.explode(F.sequence(south.cast("bigint"), north.cast("bigint"))).alias("__cy"))
+    width = _fine_width(F.col("__cy"), height)
+    side = F.lit(reach) / F.cos(F.radians(F.least((F.abs(F.col(lat)) + reach), F.lit(89.0))))
+    west, east = F.floor((F.col(lon) - side) / width), F.floor((F.col(lon) + side) / width)
+    cells = rows.select("*", F.explode(F.sequence(west.cast("bigint"), east.cast("bigint"))).alias("__cx"))
+
+    def held(dx: int, dy: int) -> Column:
+        corner = geo.unit_vector((F.col("__cx") + dx) * width, (F.col("__cy") + dy) * height)
+        return geo.is_within("__u", corner, metres - 1.0)
+
+    every = held(0, 0) & held(1, 0) & held(0, 1) & held(1, 1)
+    return cells.withColumn("__whole", every)
+
+
+def _fine_width(row: Column, height: float) -> Column:
+    """Cell width of a fine row: about as wide as high, the same for all points of the row."""
+    return F.lit(height) / F.cos(F.radians(F.least((F.abs(row) + 1) * height, F.lit(89.0))))
+
+
 def nearby_counts(
     places: DataFrame, key: str, pois: DataFrame, counters: dict[str, Column],
     metres: float = rules.NEARBY_METRES, rows: int = ROWS_PER_SPLIT,
 ) -> DataFrame:
     """Sums of ``counters`` over the points within ``metres`` of each place, zeros kept.
 
-    Points and places at the same position are merged before they meet, so a
-    default position that holds a third of all rows counts once; cells that are
-    still full are cut in parts on both sides.
+    Points and places at the same position are merged first, so a default position that
+    holds a third of all rows counts once.  Points are summed per fine cell: cells that lie
+    wholly in a place's circle add their sums, and only cells that the circle cuts are
+    tested point by point; full ones are cut in parts on both sides.
     """
-    names = list(counters)
+    names, height = list(counters), _row_height(metres) / FINE_CELLS
     spots = (
         pois.where(F.col("longitude").isNotNull() & F.col("latitude").isNotNull())
         .groupBy(F.col("longitude").alias("__lon"), F.col("latitude").alias("__lat"))
         .agg(*[c.alias(name) for name, c in counters.items()])
     )
-    homes = places.select("longitude", "latitude").distinct()
-    here = home_cell(homes, "longitude", "latitude", metres)
-    there = neighbour_cells(spots, "__lon", "__lat", metres)
-    here, there, on = split_hot_cells(
-        here, there, ["__cx", "__cy"], (["longitude", "latitude"], ["__lon", "__lat"]), rows
+    spots = spots.withColumn("__ry", _row(F.col("__lat"), height))
+    spots = spots.withColumn("__rx", F.floor(F.col("__lon") / _fine_width(F.col("__ry"), height)).cast("bigint"))
+    cells = spots.groupBy("__ry", "__rx").agg(*[F.sum(n).alias(n) for n in names])
+    homes = places.select("longitude", "latitude").where("longitude is not null and latitude is not null").distinct()
+    homes = homes.withColumn("__u", geo.unit_vector("longitude", "latitude"))
+    around = cells_around(homes, "longitude", "latitude", metres, height)
+    met = around.join(cells, (F.col("__cy") == F.col("__ry")) & (F.col("__cx") == F.col("__rx")))
+    inside = met.where("__whole").groupBy("longitude", "latitude").agg(*[F.sum(n).alias(n) for n in names])
+    edge, there, on = split_hot_cells(
+        met.where("not __whole").select("longitude", "latitude", "__u", "__cx", "__cy"),
+        spots.withColumnsRenamed({"__rx": "__cx", "__ry": "__cy"}), ["__cx", "__cy"],
+        (["longitude", "latitude"], ["__lon", "__lat"]), rows,
     )
-    here = here.withColumn("__u", geo.unit_vector("longitude", "latitude"))
     right = there.select(
         *[F.col(k).alias(f"__r{k}") for k in on], geo.unit_vector("__lon", "__lat").alias("__v"), *names
     )
     test = geo.is_within("__u", "__v", metres)
     for k in on:
         test = (F.col(k) == F.col(f"__r{k}")) & test
-    sums = here.join(right, test).groupBy("longitude", "latitude").agg(
-        *[F.sum(name).alias(name) for name in names]
-    )
+    tested = edge.join(right, test).groupBy("longitude", "latitude").agg(*[F.sum(n).alias(n) for n in names])
+    sums = inside.unionByName(tested).groupBy("longitude", "latitude").agg(*[F.sum(n).alias(n) for n in names])
     counted = join_null_safe(places.select(key, "longitude", "latitude"), sums, ["longitude", "latitude"], "left")
     return counted.select(key, *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names])
 

@@ -344,7 +344,7 @@ def narrative_fields(outputs: DataFrame, wanted: Mapping[str, str]) -> DataFrame
         "city", "neighbourhood_cleansed", "persona", "output_type",
         F.coalesce(
             field("recommendation_summary"), field("investment_summary"), field("summary"),
-            F.lit("No recommendation summary available."),
+            F.lit(rules.NO_SUMMARY),
         ).alias("summary"),
         field("key_strengths").alias("key_strengths"), field("key_risks").alias("key_risks"),
         field("confidence").alias("stated_confidence"),

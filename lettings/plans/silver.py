@@ -28,7 +28,7 @@ TEXT = clean.blank_to_null
 WHOLE = clean.whole
 NUMBER = clean.number
 
-# output column -> (rule, input column)
+# Output column -> (rule, input column)
 LISTING_COLUMNS: dict[str, tuple[Callable[[str], Column], str]] = {
     "listing_id": (_id, "id"), "host_id": (_id, "host_id"),
     **{c: (TEXT, c) for c in (
@@ -39,9 +39,9 @@ LISTING_COLUMNS: dict[str, tuple[Callable[[str], Column], str]] = {
     "neighbourhood_raw": (TEXT, "neighbourhood"),
     "neighbourhood": (TEXT, "neighbourhood_cleansed"),
     "neighbourhood_group_cleansed": (TEXT, "neighbourhood_group_cleansed"),
-    **{f"host_{c}": (TEXT, f"host_{c}") for c in (
-        "name", "url", "location", "about", "response_time", "neighbourhood",
-        "verifications", "thumbnail_url", "picture_url")},
+    **{c: (TEXT, c) for c in (
+        "host_name", "host_url", "host_location", "host_about", "host_response_time", "host_neighbourhood",
+        "host_verifications", "host_thumbnail_url", "host_picture_url")},
     "host_listings_count": (WHOLE, "host_listings_count"),
     "host_total_listings_count": (WHOLE, "host_total_listings_count"),
     "latitude": (NUMBER, "latitude"), "longitude": (NUMBER, "longitude"),
@@ -54,15 +54,18 @@ LISTING_COLUMNS: dict[str, tuple[Callable[[str], Column], str]] = {
     "minimum_nights_avg_ntm": (NUMBER, "minimum_nights_avg_ntm"),
     "maximum_nights_avg_ntm": (NUMBER, "maximum_nights_avg_ntm"),
     "calendar_updated": (TEXT, "calendar_updated"),
-    **{f"availability_{c}": (WHOLE, f"availability_{c}") for c in ("30", "60", "90", "365", "eoy")},
-    **{f"number_of_reviews{c}": (WHOLE, f"number_of_reviews{c}") for c in ("", "_ltm", "_l30d", "_ly")},
+    **{c: (WHOLE, c) for c in (
+        "availability_30", "availability_60", "availability_90", "availability_365", "availability_eoy",
+        "number_of_reviews", "number_of_reviews_ltm", "number_of_reviews_l30d", "number_of_reviews_ly")},
     "reviews_per_month": (NUMBER, "reviews_per_month"),
-    **{f"review_scores_{c}": (NUMBER, f"review_scores_{c}") for c in (
-        "rating", "accuracy", "cleanliness", "checkin", "communication", "location", "value")},
+    **{c: (NUMBER, c) for c in (
+        "review_scores_rating", "review_scores_accuracy", "review_scores_cleanliness", "review_scores_checkin",
+        "review_scores_communication", "review_scores_location", "review_scores_value")},
     "estimated_occupancy_l365d": (WHOLE, "estimated_occupancy_l365d"),
     "estimated_revenue_l365d": (clean.parse_money, "estimated_revenue_l365d"),
-    **{f"calculated_host_listings_count{c}": (WHOLE, f"calculated_host_listings_count{c}") for c in (
-        "", "_entire_homes", "_private_rooms", "_shared_rooms")},
+    **{c: (WHOLE, c) for c in (
+        "calculated_host_listings_count", "calculated_host_listings_count_entire_homes",
+        "calculated_host_listings_count_private_rooms", "calculated_host_listings_count_shared_rooms")},
     "host_response_rate_pct": (clean.parse_percent, "host_response_rate"),
     "host_acceptance_rate_pct": (clean.parse_percent, "host_acceptance_rate"),
     **{c: (clean.parse_flag, c) for c in (

@@ -338,6 +338,13 @@ PERSONA_SCORES = {
 }
 OUTPUT_TYPES = ("AREA_OVERVIEW", "LISTING_CANDIDATES", "RECOMMENDATION")
 
+# --------------------------------------------------------------------------
+# wording
+# --------------------------------------------------------------------------
+TINY_SAMPLE_NOTE = " WARNING: only 1-2 listings — treat with caution"
+SMALL_SAMPLE_NOTE = " (limited sample — interpret carefully)"
+NO_SUMMARY = "No recommendation summary available."
+
 # --------------------------------------------------------------------------
 # Months and seasons
 # --------------------------------------------------------------------------
