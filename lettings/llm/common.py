@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from lettings.session import stable
+from lettings.session import shared_folder, stable
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -98,6 +99,13 @@ def starts_with_room(begins: np.ndarray, k: int, total: int) -> np.ndarray:
     return np.arange(n) + k <= end[:n]
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: columns compress, where a checkpoint keeps plain rows."""
+    path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def buckets_for(rows: int) -> int:
     """Parts into which so many rows are dealt; it grows with the rows."""
     return max(1, -(-rows // ROWS_PER_BUCKET))

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from lettings.llm.common import (
-    dealt_by_key, gram_hashes, hash_words, slices, sorted_runs, split_words, starts_with_room,
+    dealt_by_key, gram_hashes, hash_words, slices, sorted_runs, split_words, starts_with_room, written,
 )
 from lettings.llm.fmindex import FMIndex
 from lettings.session import stable
@@ -159,14 +159,14 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
         F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("class"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    all_runs = stable(runs(keyed, window))
+    all_runs = written(runs(keyed, window))
     grams = all_runs.groupBy("gram").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("gram")
     left = all_runs.join(grams, "gram", "left_semi").groupBy("class", "gram", "start", "count").agg(F.min("id").alias("id"))
     parts = stable(left.groupBy("class", "id").agg(F.collect_list(F.struct("gram", "start", "count")).alias("parts")))
     small = parts.count() <= BROADCAST_ROWS // 10
     found = keyed.join(F.broadcast(parts) if small else parts, ["id", "class"]).select("id", "class", "text", "parts")
-    pieces = stable(segments(found, window).dropDuplicates(["class", "id", "start"]))
-    hashes = stable(window_hashes(pieces, window))
+    pieces = written(segments(found, window))
+    hashes = window_hashes(pieces, window)
     twice = hashes.groupBy("h").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("h")
     places = hashes.join(twice, "h", "left_semi").groupBy("class", "start").agg(F.collect_set("at").alias("at"))
     kept = stable(stretches(pieces.join(places, ["class", "start"]), window))
