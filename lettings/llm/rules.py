@@ -142,3 +142,60 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", keep: tuple[s
     }).withColumn(
         "kept", ~F.col("base_failed") & (F.col("char_divergence") <= CHAR_LIMIT) & (F.col("word_divergence") <= WORD_LIMIT)
     ).drop("__lang", "__chars", "__common", "__all_chars", "__all_common")
+
+
+def _share(counts: str, i: str) -> str:
+    return f"({counts}[{i}] / greatest(cast(list_sum({counts}) as double), 1e0))"
+
+
+def _divergence(p: str, q: str) -> str:
+    """SQL of ``divergence`` for two lists of counts."""
+    def part(x: str, y: str) -> str:
+        return f"case when {x} > 0 then {x} * log2(2 * {x} / ({x} + {y})) else 0e0 end"
+
+    a, b = _share(p, "i"), _share(q, "i")
+    return f"list_sum(list_transform(range(1, len({p}) + 1), lambda i: ({part(a, b)} + {part(b, a)}) / 2))"
+
+
+_LISTED = " ".join(f"when '{k}' then [{', '.join(repr(w) for w in v.split())}]" for k, v in COMMON.items())
+ORACLE = f"""
+with w as (
+  select doc_id, coalesce(lang, '') as lang, coalesce(text, '') as t,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w,
+    case lang {_LISTED} else [] end as listed from documents),
+windows as (
+  select doc_id, i, count(*) over (partition by doc_id, g) as n
+  from (select doc_id, i, array_to_string(w[i:i + 2], ' ') as g
+    from (select doc_id, w, unnest(range(1, cast(len(w) - 1 as bigint))) as i from w where len(w) > 2))),
+repeated as (
+  select doc_id, count(distinct i + k) as n from (select doc_id, i, unnest([0, 1, 2]) as k from windows where n > 1) group by doc_id),
+counted as (
+  select doc_id, lang, len(w) as n_words, len(array_to_string(w, '')) as word_chars, len(t) as n,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, len(regexp_extract_all(t, '\\p{{Lu}}')) as upper,
+    len(regexp_extract_all(t, '[0-9]')) as digit, len(regexp_extract_all(t, '\\p{{Ll}}')) as lower,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines,
+    list_transform(listed, lambda c: len(list_filter(w, lambda x: lower(x) = c))) as common from w),
+documents_ as (
+  select doc_id, lang, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+    [lower, upper, digit, n - word_chars, n_symbols, word_chars - lower - upper - digit - n_symbols] as chars,
+    list_append(common, n_words - coalesce(cast(list_sum(common) as bigint), 0)) as common from counted),
+reference as (
+  select lang, list(c order by i) as all_chars from (
+    select lang, i, sum(c) as c from (select lang, unnest(chars) as c, unnest(range(1, 7)) as i from documents_) group by all) group by lang),
+frequent as (
+  select lang, list(c order by i) as all_common from (
+    select lang, i, sum(c) as c from (
+      select lang, unnest(common) as c, unnest(range(1, cast(len(common) + 1 as bigint))) as i from documents_) group by all) group by lang),
+judged as (
+  select d.*, coalesce(r.n, 0) as n_repeat_words,
+    case when word_chars >= {LEAST_CHARS} then {_divergence('chars', 'all_chars')} else 0e0 end as char_divergence,
+    case when n_words >= {LEAST_COMMON} then {_divergence('common', 'all_common')} else 0e0 end as word_divergence
+  from documents_ d left join repeated r using (doc_id) join reference using (lang) join frequent using (lang))
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
+  cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words,
+  n_words < {LEAST_WORDS} or 100 * n_repeat_words > {REPEATED_SHARE} * n_words as base_failed,
+  not (n_words < {LEAST_WORDS} or 100 * n_repeat_words > {REPEATED_SHARE} * n_words)
+    and char_divergence <= {CHAR_LIMIT}e0 and word_divergence <= {WORD_LIMIT}e0 as kept,
+  round(char_divergence, 6) as char_divergence, round(word_divergence, 6) as word_divergence
+from judged
+"""
