@@ -16,7 +16,7 @@ from lettings.session import shared_folder, stable
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 SLICE_BYTES = 4 << 20
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 4_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

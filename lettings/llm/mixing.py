@@ -8,9 +8,10 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from lettings.llm.common import n_words, running_total, spread
+from lettings.session import stable
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, LIMIT = 1.5, 2.0
@@ -101,7 +102,10 @@ def quotas(spark, plan: Plan) -> DataFrame:
     return spark.createDataFrame(rows, kinds)
 
 
-def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: str = SEED, **how) -> DataFrame:
+def mix(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: str = SEED,
+    keep_text: bool = True, **how,
+) -> DataFrame:
     """Adds size, source_size, target, taken and shard to each row.
 
     A source's documents stand in seeded order and their words form a stream that is cut
@@ -115,6 +119,8 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     the same name as an added one are replaced.
     """
     sized = docs.withColumns({"source": F.col(source), "size": n_words(F.col(text))})
+    if not keep_text:  # then the sizes alone are written, and texts are read once
+        sized = stable(sized.drop(text))
     return mix_sized(sized, doc_id, seed, plan_mix(sized.select("source", "size"), **how))
 
 

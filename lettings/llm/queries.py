@@ -28,7 +28,7 @@ def query(name: str, oracle: str | None = None):
 @query("op3_sainte_lague_mix", mixing.ORACLE)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @query("op4_vector_packing")
@@ -54,7 +54,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op8_divergence_rules")
+@query("op8_divergence_rules", rules.ORACLE)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return rules.judge(docs).select(
