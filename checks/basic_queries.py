@@ -570,6 +570,13 @@ def _(w):
     return reshape.one_hot(w.at("listing_amenities"), ["listing_id"], "raw_amenity", {"wifi": "Wifi", "hot_tub": "Hot tub"})
 
 
+@query("a14_one_hot_found", "select neighbourhood, cast(max(case when room_type = 'Entire home/apt' then 1 else 0 end) as bigint) as room_type_entire_home_apt, "
+       "cast(max(case when room_type = 'Hotel room' then 1 else 0 end) as bigint) as room_type_hotel_room, "
+       "cast(max(case when room_type = 'Private room' then 1 else 0 end) as bigint) as room_type_private_room from q_listings group by all")
+def _(w):
+    return reshape.one_hot_found(w.at("listings"), ["neighbourhood"], "room_type")
+
+
 @query("a15_rollup_all", "select neighbourhood, structure_class, sale_txn_count from q_area_sales")
 def _(w):
     return w["fct_area_sales"].select("neighbourhood", "structure_class", "sale_txn_count")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -92,6 +93,20 @@ def one_hot(df: DataFrame, keys: Sequence[str], col: str, columns: Mapping[str,
     )
 
 
+def one_hot_found(df: DataFrame, keys: Sequence[str], col: str, most: int = 500) -> DataFrame:
+    """0/1 column per value that occurs; more than ``most`` different values are an error, never cut.
+
+    Columns are named after the column and the value, in the order of the values.
+    """
+    found = df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{col} has more than {most} different values")
+    columns = {f"{col}_{re.sub('[^0-9a-z]+', '_', str(r[0]).lower()).strip('_')}": r[0] for r in found}
+    if len(columns) < len(found):
+        raise ValueError(f"Values of {col} give equal column names")
+    return one_hot(df, keys, col, columns)
+
+
 def values_per_key(df: DataFrame, keys: Sequence[str], value: str, number: str) -> DataFrame:
     """One row per value of a key (with its ``number``, an id), and how many the key has.
 

@@ -176,3 +176,12 @@ def test_medians_order_nan_last_and_spread_small_values(spark):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(edge)], "i int, v double").select("i", quantiles._bucket(F.col("v")).alias("b"))
     buckets = [r.b for r in rows.orderBy("i").collect()]
     assert buckets == sorted(buckets)
+
+
+def test_one_hot_of_too_many_values_is_an_error(spark):
+    df = spark.createDataFrame([("k", v) for v in ("a b", "c", None)], "k string, v string")
+    assert reshape.one_hot_found(df, ["k"], "v").first().asDict() == {"k": "k", "v_a_b": 1, "v_c": 1}
+    with pytest.raises(ValueError, match="more than 1"):
+        reshape.one_hot_found(df, ["k"], "v", most=1)
+    with pytest.raises(ValueError, match="equal column names"):
+        reshape.one_hot_found(df.union(spark.createDataFrame([("k", "a-b")], df.schema)), ["k"], "v")

@@ -14,6 +14,9 @@ SPREAD = [
 ]
 
 
+SPREAD += [n for n in entry.queries() if n[:1] in "sab" and n[1:3].isdigit() and n not in SPREAD]
+
+
 @pytest.fixture(scope="module")
 def con():
     return connect(SF)
