@@ -51,34 +51,39 @@ def runs(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                flat, begins = split_words(batch.column(2), SPLIT)
+                flat, begins = split_words(batch.column(1), SPLIT)
                 text, start, count, least = cut_runs(hash_words(flat), begins, window)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)), pa.array(least.view(np.int64)),
+                    [batch.column(0).take(pa.array(text)), pa.array(least.view(np.int64)),
                      pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
-                    names=["id", "class", "gram", "start", "count"],
+                    names=["class", "gram", "start", "count"],
                 )
-    return docs.mapInArrow(run, "id long, class long, gram long, start int, count int")
+    return docs.select("class", "text").mapInArrow(run, "class long, gram long, start int, count int")
 
 
 def segments(docs: DataFrame, window: int) -> DataFrame:
-    """The words (as hashes) of the runs in ``parts`` of each text."""
+    """The words (as hashes) of the runs in ``parts`` of each text; runs that follow each other make one segment."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 flat, begins = split_words(batch.column(2), SPLIT)
                 h, out = hash_words(flat), []
                 for row, parts in enumerate(batch.column(3).to_pylist()):
-                    for p in parts:
-                        a = begins[row] + p["start"]
-                        out.append((row, p["gram"], p["start"], h[a : a + p["count"] + window - 1].tobytes()))
+                    merged: list[list[int]] = []
+                    for start, count in sorted((p["start"], p["count"]) for p in parts):
+                        if merged and merged[-1][1] == start:
+                            merged[-1][1] += count
+                        else:
+                            merged.append([start, start + count])
+                    for start, end in merged:
+                        out.append((row, start, h[begins[row] + start : begins[row] + end + window - 1].tobytes()))
                 rows = pa.array([o[0] for o in out], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array([o[1] for o in out], pa.int64()),
-                     pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.binary())],
-                    names=["id", "class", "gram", "start", "words"],
+                    [batch.column(0).take(rows), batch.column(1).take(rows),
+                     pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())],
+                    names=["id", "class", "start", "words"],
                 )
-    return docs.mapInArrow(run, "id long, class long, gram long, start int, words binary")
+    return docs.mapInArrow(run, "id long, class long, start int, words binary")
 
 
 def window_hashes(parts: DataFrame, window: int) -> DataFrame:
@@ -103,23 +108,25 @@ def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stretches(parts: DataFrame, window: int) -> DataFrame:
-    """Runs of windows (``at``) of each segment, with their words and a digest of these."""
+    """Runs of the windows ``at`` of each segment, cut where the smallest gram changes, with words and digest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row, (words, at) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-                places = np.sort(np.array(at))
-                for piece in np.split(places, np.flatnonzero(np.diff(places) > 1) + 1):
-                    own = words[8 * piece[0] : 8 * (piece[-1] + window)]
-                    out.append((row, int(piece[0]), own, hashlib.md5(own).digest()))
+            for row, (words, at) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                places, h = np.sort(np.array(at)), np.frombuffer(words, np.uint64)
+                least = least_grams(h, window)[places]
+                cuts = np.flatnonzero((np.diff(places) > 1) | (least[1:] != least[:-1])) + 1
+                for first, end in zip([0, *cuts], [*cuts, len(places)], strict=True):
+                    own = h[places[first] : places[end - 1] + window].tobytes()
+                    out.append((row, int(places[first]), int(least[first].view(np.int64)), own, hashlib.md5(own).digest()))
             rows = pa.array([o[0] for o in out], pa.int64())
-            start = pc.add(batch.column(3).take(rows), pa.array([o[1] for o in out], pa.int32()))
+            start = pc.add(batch.column(2).take(rows), pa.array([o[1] for o in out], pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i).take(rows) for i in range(3)], start, pa.array([o[2] for o in out], pa.binary()),
-                 pa.array([o[3] for o in out], pa.binary())],
+                [*[batch.column(i).take(rows) for i in range(2)], pa.array([o[2] for o in out], pa.int64()), start,
+                 pa.array([o[3] for o in out], pa.binary()), pa.array([o[4] for o in out], pa.binary())],
                 names=["id", "class", "gram", "start", "words", "content"],
             )
-    return parts.select("id", "class", "gram", "start", "words", "at").mapInArrow(
+    return parts.select("id", "class", "start", "words", "at").mapInArrow(
         run, "id long, class long, gram long, start int, words binary, content binary"
     )
 
@@ -161,16 +168,18 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
     )
     all_runs = written(runs(keyed, window))
     grams = all_runs.groupBy("gram").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("gram")
-    left = all_runs.join(grams, "gram", "left_semi").groupBy("class", "gram", "start", "count").agg(F.min("id").alias("id"))
-    parts = stable(left.groupBy("class", "id").agg(F.collect_list(F.struct("gram", "start", "count")).alias("parts")))
+    left = all_runs.join(grams, "gram", "left_semi").select("class", "start", "count").distinct()
+    parts = left.groupBy("class").agg(F.collect_list(F.struct("start", "count")).alias("parts"))
+    ids = stable(keyed.groupBy("class").agg(F.min("id").alias("id"), F.max("id").alias("last")))
+    parts = stable(parts.join(ids.select("class", "id"), "class"))
     small = parts.count() <= BROADCAST_ROWS // 10
     found = keyed.join(F.broadcast(parts) if small else parts, ["id", "class"]).select("id", "class", "text", "parts")
     pieces = written(segments(found, window))
     hashes = window_hashes(pieces, window)
     twice = hashes.groupBy("h").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("h")
     places = hashes.join(twice, "h", "left_semi").groupBy("class", "start").agg(F.collect_set("at").alias("at"))
-    kept = stable(stretches(pieces.join(places, ["class", "start"]), window))
-    contents = stable(kept.groupBy("content").agg(
+    kept = written(stretches(pieces.join(places, ["class", "start"]), window))
+    contents = written(kept.groupBy("content").agg(
         F.min("id").alias("first"), F.first("gram").alias("gram"), F.first("words").alias("words"),
     ))
     total = contents.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
@@ -182,8 +191,8 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
     gone = gone.groupBy("class").agg(F.collect_list(F.struct(
         (F.col("start") + F.col("span.start")).alias("start"), (F.col("start") + F.col("span.end")).alias("end"),
     )).alias("gone"))
-    copies = keyed.groupBy("class").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    both = copies.select("class", "first").join(gone, "class", "full")
+    copies = ids.where("id < last").select("class", F.col("id").alias("first"))
+    both = copies.join(gone, "class", "full")
     return stable(both)
 
 
