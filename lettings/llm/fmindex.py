@@ -100,10 +100,10 @@ class FMIndex:
         """Stretches of the indexed sequences (number, start, end) that earlier owners have too.
 
         Each sequence is streamed backwards: the match that ends at ``end`` grows as long as an
-        earlier owner has it (its matching statistic).  One of ``threshold`` words or more
-        is reported.  Windows of that length not yet decided begin before the word where
-        the match broke off: they end at least one word before ``end`` if the match was
-        shorter, or just before the stretch is complete again if it was reported.
+        earlier owner has it (its matching statistic), and one of ``threshold`` words or more
+        is reported.  After a report, what is undecided are windows that begin before it:
+        they end ``threshold`` - 1 words after its start at the latest, where the search goes
+        on.  After a shorter match no window ends at ``end``, so it goes on one word before.
         """
         n = len(self.lengths)
         end, at = self.lengths.copy(), self.lengths.copy()  # the match is at:end

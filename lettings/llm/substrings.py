@@ -18,7 +18,7 @@ from lettings.session import stable
 
 WINDOW, GRAM = 50, 18
 SHARD_WORDS = 400_000
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 SPLIT = r"[ \t-\r]+"
 LAST_ID = (1 << 63) - 1
 
@@ -153,6 +153,12 @@ def search_shards(contents: DataFrame, window: int) -> DataFrame:
     )
 
 
+def fits(df: DataFrame, spans: str) -> bool:
+    """Whether rows with lists of places can be broadcast: their size is summed, not guessed."""
+    places = F.greatest(F.coalesce(F.size(spans), F.lit(0)), F.lit(0))
+    return (df.agg(F.sum(64 + 40 * places)).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """Per different text: ``class``, ``first`` (its smallest id) and the stretches ``gone`` of that document.
 
@@ -172,7 +178,7 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
     parts = left.groupBy("class").agg(F.collect_list(F.struct("start", "count")).alias("parts"))
     ids = stable(keyed.groupBy("class").agg(F.min("id").alias("id"), F.max("id").alias("last")))
     parts = stable(parts.join(ids.select("class", "id"), "class"))
-    small = parts.count() <= BROADCAST_ROWS // 10
+    small = fits(parts, "parts")
     found = keyed.join(F.broadcast(parts) if small else parts, ["id", "class"]).select("id", "class", "text", "parts")
     pieces = written(segments(found, window))
     hashes = window_hashes(pieces, window)
@@ -208,7 +214,7 @@ def cut(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int
     columns are read.
     """
     fate = repeats(docs, text, doc_id, window)
-    small = fate.count() <= BROADCAST_ROWS // 10
+    small = fits(fate, "gone")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("class"), F.col(text).alias("text"))
     both = rows.join(F.broadcast(fate) if small else fate, "class", "left").select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"),
