@@ -17,6 +17,7 @@ from lettings.llm.fmindex import FMIndex
 from lettings.session import stable
 
 WINDOW, GRAM = 50, 18
+RUN = 64  # most windows of a content; searches of a shard go on as long as its longest content
 SHARD_WORDS = 400_000
 BROADCAST_BYTES = 64 << 20
 SPLIT = r"[ \t-\r]+"
@@ -107,15 +108,22 @@ def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint64), begins
 
 
+def run_starts(new: np.ndarray) -> np.ndarray:
+    """Where runs begin after the first one; runs of one repeated word are cut in pieces of ``RUN`` windows."""
+    cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(new) + 1]])
+    inner = [np.arange(a, b, RUN) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return np.concatenate(inner)[1:]
+
+
 def stretches(parts: DataFrame, window: int) -> DataFrame:
-    """Runs of the windows ``at`` of each segment, cut where the smallest gram changes, with words and digest."""
+    """Runs of the windows ``at`` of each segment, cut where the smallest gram changes or a run is long, with words and digest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row, (words, at) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
                 places, h = np.sort(np.array(at)), np.frombuffer(words, np.uint64)
                 least = least_grams(h, window)[places]
-                cuts = np.flatnonzero((np.diff(places) > 1) | (least[1:] != least[:-1])) + 1
+                cuts = run_starts((np.diff(places) > 1) | (least[1:] != least[:-1]))
                 for first, end in zip([0, *cuts], [*cuts, len(places)], strict=True):
                     own = h[places[first] : places[end - 1] + window].tobytes()
                     out.append((row, int(places[first]), int(least[first].view(np.int64)), own, hashlib.md5(own).digest()))
