@@ -167,6 +167,12 @@ def fits(df: DataFrame, spans: str) -> bool:
     return (df.agg(F.sum(64 + 40 * places)).first()[0] or 0) <= BROADCAST_BYTES
 
 
+def repeated(df: DataFrame, key: str) -> DataFrame:
+    """Keys of two classes or more; as a table of its own, so that a join with it can split a hot key."""
+    ends = df.groupBy(key).agg(F.min("class").alias("a"), F.max("class").alias("b"))
+    return stable(ends.where("a < b").select(key))
+
+
 def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """Per different text: ``class``, ``first`` (its smallest id) and the stretches ``gone`` of that document.
 
@@ -181,7 +187,7 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     all_runs = written(runs(keyed, window))
-    grams = all_runs.groupBy("gram").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("gram")
+    grams = repeated(all_runs, "gram")
     left = all_runs.join(grams, "gram", "left_semi").select("class", "start", "count").distinct()
     parts = left.groupBy("class").agg(F.collect_list(F.struct("start", "count")).alias("parts"))
     ids = stable(keyed.groupBy("class").agg(F.min("id").alias("id"), F.max("id").alias("last")))
@@ -190,8 +196,7 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
     found = keyed.join(F.broadcast(parts) if small else parts, ["id", "class"]).select("id", "class", "text", "parts")
     pieces = written(segments(found, window))
     hashes = window_hashes(pieces, window)
-    twice = hashes.groupBy("h").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("h")
-    places = hashes.join(twice, "h", "left_semi").groupBy("class", "start").agg(F.collect_set("at").alias("at"))
+    places = hashes.join(repeated(hashes, "h"), "h", "left_semi").groupBy("class", "start").agg(F.collect_set("at").alias("at"))
     kept = written(stretches(pieces.join(places, ["class", "start"]), window))
     contents = written(kept.groupBy("content").agg(
         F.min("id").alias("first"), F.first("gram").alias("gram"), F.first("words").alias("words"),
