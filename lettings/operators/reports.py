@@ -30,10 +30,10 @@ def load_audit(df: DataFrame, table: str, file_col: str, line_col: str, error_co
     return counted.select(F.lit(table).alias("table_name"), "file_name", status.alias("status"), *counted.columns[1:])
 
 
-def with_run_time(audit: DataFrame, run_at: datetime | None = None) -> DataFrame:
-    """An audit with the time of its run, to be appended to earlier ones."""
+def with_run_time(df: DataFrame, run_at: datetime | None = None, name: str = "run_at") -> DataFrame:
+    """A frame with the time of its run, such as an audit to be appended to earlier ones."""
     at = F.current_timestamp().cast("timestamp_ntz") if run_at is None else F.lit(run_at).cast("timestamp_ntz")
-    return audit.withColumn("run_at", at)
+    return df.withColumn(name, at)
 
 
 def clean_audit(

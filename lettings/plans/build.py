@@ -119,7 +119,7 @@ def build_all(
         path = f"{folder}/{name}"
         table = done[name]
         if name in COMPUTED:
-            table = reports.with_run_time(table, run_at).withColumnRenamed("run_at", "computed_at")
+            table = reports.with_run_time(table.drop("computed_at"), run_at, "computed_at")
         tables.write_replace(table, path)
         done[name] = spark.read.parquet(path)
         if name in AUDITED and AUDITED[name][0] in raw:
