@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from lettings.llm.common import (
-    dealt_by_key, gram_hashes, hash_words, slices, sorted_runs, split_words, starts_with_room, written,
+    dealt_by_key, gram_hashes, hash_words, mix, slices, sorted_runs, split_words, starts_with_room, written,
 )
 from lettings.llm.fmindex import FMIndex
 from lettings.session import stable
@@ -19,6 +19,7 @@ from lettings.session import stable
 WINDOW, GRAM = 50, 18
 RUN = 64  # most windows of a content; searches of a shard go on as long as its longest content
 SHARD_WORDS = 400_000
+SECOND = np.uint64(0x5851F42D4C957F2D)
 BROADCAST_BYTES = 64 << 20
 SPLIT = r"[ \t-\r]+"
 LAST_ID = (1 << 63) - 1
@@ -161,6 +162,55 @@ def search_shards(contents: DataFrame, window: int) -> DataFrame:
     )
 
 
+def content_windows(contents: DataFrame, window: int) -> DataFrame:
+    """Every window of each content: two hashes of 64 bits over its words, and where it begins."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, begins = joined(batch.column(2))
+            place = np.flatnonzero(starts_with_room(begins, window, len(flat)))
+            row = np.searchsorted(begins, place, side="right") - 1
+            keys = [gram_hashes(h, window)[place].view(np.int64) for h in (flat, mix(flat ^ SECOND))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[0]), pa.array(keys[1]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)),
+                 pa.array((place - begins[row]).astype(np.int32))],
+                names=["h", "g", "content", "first", "at"],
+            )
+    return contents.select("content", "first", "words").mapInArrow(
+        run, "h long, g long, content binary, first long, at int"
+    )
+
+
+def search_windows(contents: DataFrame, window: int) -> DataFrame:
+    """What ``search_shards`` finds, by the smallest owner of each window: no gram is gathered in a task.
+
+    Owners are combined map-side; the smallest ones are a table of their own, so that the
+    join with it can split a window that very many contents have.
+    """
+    rows = content_windows(contents, window)
+    least = rows.groupBy("h", "g").agg(F.min("first").alias("least"), F.max("first").alias("last"))
+    least = stable(least.where("least < last").select("h", "g", "least"))
+    later = rows.join(least, ["h", "g"]).where("first > least")
+    span = F.struct(F.col("at").alias("start"), (F.col("at") + window).alias("end"))
+    return later.groupBy("content").agg(F.min("first").alias("first"), F.collect_list(span).alias("found"))
+
+
+def searched_contents(contents: DataFrame, window: int) -> DataFrame:
+    """Contents with what earlier documents have of them, by shards of whole grams or by windows.
+
+    Grams with more words than a shard may have, at most one per shard, go by windows.
+    """
+    grams = stable(contents.groupBy("gram").agg(F.sum(F.octet_length("words") / 8).alias("n")))
+    shards = max(1, int(-(-(grams.agg(F.sum("n")).first()[0] or 0) // SHARD_WORDS)))
+    full = grams.where(F.col("n") > SHARD_WORDS).select("gram")
+    light = contents.join(F.broadcast(full), "gram", "left_anti")
+    found = search_shards(light.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards))), window)
+    if full.isEmpty():
+        return found
+    heavy = contents.join(F.broadcast(full), "gram", "left_semi")
+    some = search_windows(heavy, window).select("content", "found")
+    return found.unionByName(heavy.select("content", "first").join(some, "content", "left"))
+
+
 def fits(df: DataFrame, spans: str) -> bool:
     """Whether rows with lists of places can be broadcast: their size is summed, not guessed."""
     places = F.greatest(F.coalesce(F.size(spans), F.lit(0)), F.lit(0))
@@ -180,7 +230,8 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
     rounds, by the smallest gram of a window and then by the window's hash, so the
     segments that remain repeat elsewhere; equal ones are one content.  Shards of
     contents, dealt by gram, are indexed and searched: equal windows have equal grams and
-    meet in a shard, whose size does not grow with the input.
+    meet in a shard.  The contents of a gram with more than ``SHARD_WORDS`` words are
+    not indexed but compared window by window, so no shard grows with the input.
     """
     keyed = docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("class"),
@@ -201,9 +252,7 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
     contents = written(kept.groupBy("content").agg(
         F.min("id").alias("first"), F.first("gram").alias("gram"), F.first("words").alias("words"),
     ))
-    total = contents.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
-    shards = max(1, int(-(-total // SHARD_WORDS)))
-    searched = search_shards(contents.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards))), window)
+    searched = searched_contents(contents, window)
     gone = kept.select("id", "class", "content", "start", (F.octet_length("words") / 8).cast("int").alias("n")).join(searched, "content")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end")))
     gone = gone.withColumn("span", F.explode(F.when(F.col("id") > F.col("first"), whole).otherwise(F.col("found"))))

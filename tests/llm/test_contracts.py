@@ -87,6 +87,31 @@ def test_substrings_with_many_overlaps(spark):
     assert fx.ordered(got) == fx.ordered(fx.without_repeats(rows))
 
 
+def test_substrings_of_a_frequent_gram(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 150)
+    rng, sizes = random.Random(12), []
+    common_words = fx.prose(rng, 40, 9000)
+    rows = []
+    for i in range(30):  # each pair shares its own words around the passage of all
+        around = fx.prose(rng, 40, 9000)
+        for k in (0, 1):
+            w = fx.prose(rng, 5, 9000) + around[:20 - 3 * k] + common_words + around[20 - 3 * k:] + fx.prose(rng, 5, 9000)
+            w = w if i % 3 else fx.prose(rng, 5, 9000) + around[:20] + common_words + around[20:] + fx.prose(rng, i % 2, 9000)
+            rows.append((2 * i + k, " ".join(w), "en", "a", 0))
+    rows += [(None, rows[4][1], "en", "a", 0), (61, rows[9][1] + " " + rows[12][1], "en", "a", 0)]
+    search = substrings.search_shards
+
+    def measured(contents, window):
+        per = contents.groupBy("shard").agg(F.sum(F.octet_length("words") / 8).alias("n")).agg(F.max("n")).first()[0]
+        sizes.append(per or 0)
+        return search(contents, window)
+
+    monkeypatch.setattr(substrings, "search_shards", measured)
+    got = substrings.cut(spark.createDataFrame(rows, fx.SCHEMA)).collect()
+    assert fx.ordered(got) == fx.ordered(fx.without_repeats(rows))
+    assert sizes and max(sizes) < 600
+
+
 def test_index_counts():
     rng = np.random.default_rng(2)
     symbols = rng.integers(0, 11, 500)
