@@ -34,16 +34,23 @@ def markers_as_null(df: DataFrame, markers: Sequence[str] = rules.CSV_NULL_MARKE
 
 
 def file_headers(spark: SparkSession, path: str | Sequence[str]) -> list[tuple[str, tuple[str, ...]]]:
-    """Files and their header names, in the order of the paths; only the first split of a file is read."""
+    """Files and their header names (of the first line that is not blank), in the order of the paths.
+
+    Only the first split of a file is read, further ones where that is blank; a blank file has no rows.
+    """
     lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("at"),
+        F.regexp_replace("value", "^\ufeff", "").alias("value"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"),
     )
-    first = lines.where("split = 0").groupBy("file").agg(F.min_by("value", "at").alias("line"))
-    return [
-        (r["file"], tuple(n.strip() for n in next(csv.reader([r["line"].lstrip("\ufeff")]))))
-        for r in sorted(first.collect()) if r["line"].strip()
-    ]
+
+    def first(some: DataFrame) -> dict[str, str | None]:
+        line = F.min_by(F.when(F.col("value").rlike(r"\S"), F.col("value")), F.when(F.col("value").rlike(r"\S"), F.struct("split", "at")))
+        return {r["file"]: r["line"] for r in some.groupBy("file").agg(line.alias("line")).collect()}
+
+    found = first(lines.where("split = 0"))
+    if None in found.values():
+        found |= first(lines.where(F.col("file").isin([f for f, line in found.items() if line is None])))
+    return [(f, tuple(n.strip() for n in next(csv.reader([line])))) for f, line in sorted(found.items()) if line is not None]
 
 
 def _frames_by_header(spark: SparkSession, path: str | Sequence[str], multi_line: bool) -> list[DataFrame]:

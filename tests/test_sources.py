@@ -95,3 +95,15 @@ def test_plain_csv_is_read_in_splits(spark, tmp_path):
         assert rows.rdd.getNumPartitions() > 3 and rows.count() == 40_000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_blank_lines_before_the_header(spark, tmp_path, multi_line):
+    (tmp_path / "a.csv").write_text("id,v\n1,x\n")
+    (tmp_path / "b.csv").write_text("\n\nv,id\ny,2\n")
+    (tmp_path / "c.csv").write_text(" \t\nv,id\nz,3\n")
+    (tmp_path / "d.csv").write_text("\n\n")
+    rows = files.read_csv_text(spark, str(tmp_path), multi_line)
+    assert sorted(tuple(r) for r in rows.collect()) == [("1", "x"), ("2", "y"), ("3", "z")]
+    rows = files.read_csv_audited(spark, str(tmp_path), ["id", "v"], multi_line).orderBy("id")
+    assert [(r.id, r.v, r["_corrupt_record"]) for r in rows.collect()] == [("1", "x", None), ("2", "y", None), ("3", "z", None)]
