@@ -7,11 +7,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 ROUNDS = 8
 KEY = "demo-key"
 # The shapes looked for.  Digits do not touch a further digit or letter.
-CARD = r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]){9,15}(?![0-9A-Za-z])"
-PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ ]?\([0-9]{3}\)[ ]?[0-9]{3}-[0-9]{4}(?![0-9A-Za-z])"
+# Phones: with a plus 8 to 15 digits, or the North American form with brackets, dots or dashes.
+LOCAL = r"(?<![0-9A-Za-z+])(?:1[ .-])?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
+PHONE = r"(?<![0-9A-Za-z+])\+[0-9](?:[ .()-]{0,2}[0-9]){7,14}(?![0-9A-Za-z])|" + LOCAL
 ADDRESS = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z])(?!\.[0-9])"
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])"
-DATE = r"(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])"
+ISO = r"(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])"
+YEAR_LAST = "|".join(f"[0-9]{{1,2}}{m}[0-9]{{1,2}}{m}[0-9]{{4}}" for m in ("/", "-", r"\."))
+DATE = ISO + rf"|(?<![0-9A-Za-z])(?<![0-9][./-])(?:[0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}}|{YEAR_LAST})(?![0-9A-Za-z]|[./-][0-9])"
+# Groups of digits of 13 digits or more, up to a date or a phone; the cards are looked for among the groups.
+GROUP = rf"(?!{LOCAL}|{DATE})[0-9]++(?![A-Za-z])"
+CARD = rf"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){{12}}){GROUP}(?:[ -]{GROUP})*+"
 KINDS = {"mails": MAIL, "phones": PHONE, "addresses": ADDRESS, "dates": DATE, "cards": CARD}
 ANY = "|".join(KINDS.values())
 # The days of a date's domain: 250 times 292 from the first one, so that two halves fit exactly.
@@ -91,7 +97,7 @@ def card(value: Column, key: str) -> Column:
 
 def phone(value: Column, key: str) -> Column:
     """A phone number: the digits after the country's code permuted."""
-    head = F.regexp_extract(value, r"^\+[0-9]{1,3}", 0)
+    head = F.regexp_extract(value, r"^\+(?:[0-9]{1,3}(?![0-9])|[17]|[0-9]{2})", 0)
     rest = F.substr(value, F.length(head) + 1)
     return F.concat(head, refill(rest, permuted_digits(F.regexp_replace(rest, "[^0-9]", ""), key, "phone")))
 
@@ -110,8 +116,13 @@ def address(value: Column, key: str) -> Column:
 
 
 def date(value: Column, key: str) -> Column:
-    """A date permuted among the days of the domain."""
-    day = F.datediff(F.to_date(value), F.lit(FIRST_DAY))
+    """A date permuted among the days of the domain, in its own order of year, month and day."""
+    mark, iso = F.regexp_extract(value, "[^0-9]", 0), day_of(value)
+    day = F.datediff(iso, F.lit(FIRST_DAY))
+    first, second = F.when(month_first(value), F.lit("MM")).otherwise("dd"), F.when(month_first(value), F.lit("dd")).otherwise("MM")
+    form = F.when(value.rlike("^[0-9]{4}"), F.concat_ws("x", F.lit("yyyy"), F.lit("MM"), F.lit("dd"))).otherwise(
+        F.concat_ws("x", first, second, F.lit("yyyy"))
+    )
 
     def changed(n: Column) -> Column:
         pair = F.struct(F.floor(n / DAY_B).cast("long").alias("l"), (n % DAY_B).cast("long").alias("r"))
@@ -120,7 +131,74 @@ def date(value: Column, key: str) -> Column:
             F.date_add(F.to_date(F.lit(FIRST_DAY)), (o["l"] * DAY_B + o["r"]).cast("int")), "yyyy-MM-dd"
         ))[0]
 
-    return F.transform(F.array(day), changed)[0]
+    def written(iso_out: Column) -> Column:
+        parts = F.split(iso_out, "-")
+        ordered = F.transform(F.array(parts), lambda p: F.transform(
+            F.split(form, "x"), lambda c: F.when(c == "yyyy", p[0]).when(c == "MM", p[1]).otherwise(p[2])
+        ))
+        return F.transform(ordered, lambda p: F.concat(p[0], mark, p[1], mark, p[2]))[0]
+
+    return F.transform(F.transform(F.array(day), changed), written)[0]
+
+
+def month_first(value: Column) -> Column:
+    """Whether the month stands before the day: not with dots, nor where the first number is above 12."""
+    return ~F.contains(value, F.lit(".")) & (F.split(value, "[./-]")[0].cast("int") <= 12)
+
+
+def day_of(value: Column) -> Column:
+    """The day that a found date names, null where the calendar has none."""
+    parts = F.split(value, "[./-]")
+    return F.try_to_date(F.when(value.rlike("^[0-9]{4}"), F.concat_ws("-", parts[0], parts[1], parts[2])).when(
+        month_first(value), F.concat_ws("-", parts[2], parts[0], parts[1])
+    ).otherwise(F.concat_ws("-", parts[2], parts[1], parts[0])), "yyyy-M-d")
+
+
+def cards_in(value: Column) -> Column:
+    """Groups of digits cut in pieces (v, kind): the cards, and what stands between them.
+
+    From each group of four digits on, the windows of whole groups with 13 to 19 digits and
+    a fitting check digit are cards; 4-4-4-4, 4-6-5, 4-6-4 and single groups come before longer ones.
+    """
+    both = F.struct(F.split(value, "[ -]").alias("groups"), F.regexp_extract_all(value, F.lit("[ -]"), F.lit(0)).alias("marks"))
+    return F.transform(F.array(both), lambda b: card_pieces(b["groups"], b["marks"]))[0]
+
+
+def card_pieces(groups: Column, marks: Column) -> Column:
+    n = F.size(groups)
+
+    def ends(i: Column) -> Column:
+        def rank(k: Column) -> Column:
+            window = F.slice(groups, i + 1, k)
+            digits = F.array_join(window, "")
+            shape = F.array_join(F.transform(window, lambda g: F.length(g).cast("string")), "-")
+            fits = F.length(digits).between(13, 19) & (F.pmod(luhn_sum(digits), F.lit(10)) == 0)
+            usual = (k == 1) | shape.isin("4-4-4-4", "4-6-5", "4-6-4")
+            return F.when(fits, F.when(usual, F.lit(100)).otherwise(F.lit(0)) + k)
+        ranks = F.transform(F.sequence(F.lit(1), F.least(n - i, F.lit(16))), rank)
+        return F.when(F.length(groups[i]) >= 4, F.array_max(ranks))
+
+    def grown(cuts: Column, i: Column) -> Column:
+        free = F.coalesce(F.try_element_at(cuts, F.lit(-1)), F.lit(-1)) < i
+        best = F.when(free, ends(i))
+        return F.transform(F.array(best), lambda b: F.when(
+            b.isNotNull(), F.concat(cuts, F.array(i, i + F.pmod(b, F.lit(100)) - 1))
+        ).otherwise(cuts))[0]
+
+    cuts = F.aggregate(F.sequence(F.lit(0), n - 1), F.array().cast("array<int>"), grown)
+
+    def marked(c: Column) -> Column:
+        opens = F.filter(c, lambda _, at: at % 2 == 0)
+        closes = F.filter(c, lambda _, at: at % 2 == 1)
+        return F.array_join(F.transform(groups, lambda g, i: F.concat(
+            F.when(i > 0, F.get(marks, i - 1)).otherwise(F.lit("")), F.when(F.array_contains(opens, i), "<").otherwise(F.lit("")),
+            g, F.when(F.array_contains(closes, i), ">").otherwise(F.lit("")),
+        )), "")
+
+    pieces = F.regexp_extract_all(F.transform(F.array(cuts), marked)[0], F.lit("<[^>]*>|[^<>]+"), F.lit(0))
+    return F.transform(pieces, lambda p: F.struct(
+        F.regexp_replace(p, "[<>]", "").alias("v"), F.when(F.startswith(p, F.lit("<")), F.lit("cards")).alias("kind")
+    ))
 
 
 def mail(value: Column, key: str) -> Column:
@@ -139,18 +217,16 @@ def mail(value: Column, key: str) -> Column:
 
 def kind_of(value: Column) -> Column:
     """The kind of a found text, null where it is not valid."""
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    day = F.try_to_date(value, "yyyy-MM-dd")
+    day = day_of(value)
     return (
         F.when(F.contains(value, F.lit("@")), F.lit("mails"))
-        .when(F.startswith(value, F.lit("+")), F.lit("phones"))
+        .when(F.startswith(value, F.lit("+")) | value.rlike(f"^(?:{LOCAL})$"), F.lit("phones"))
+        .when(value.rlike(f"^(?:{DATE})$"), F.when(
+            day.isNotNull() & F.datediff(day, F.lit(FIRST_DAY)).between(0, DAY_A * DAY_B - 1), F.lit("dates")
+        ))
         .when(F.contains(value, F.lit(".")), F.when(
             F.forall(F.split(value, r"\."), lambda p: p.cast("int") < 256), F.lit("addresses")
         ))
-        .when(value.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.when(
-            day.isNotNull() & F.datediff(day, F.lit(FIRST_DAY)).between(0, DAY_A * DAY_B - 1), F.lit("dates")
-        ))
-        .when(F.length(digits).between(13, 19) & (F.pmod(luhn_sum(digits), F.lit(10)) == 0), F.lit("cards"))
     )
 
 
@@ -163,6 +239,12 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
     different, and who has the key can undo it.  Mail addresses have no fixed format to
     permute in; they get a keyed pseudonym with the same shape of the local part.
 
+    Cards are found among groups of digits with single blanks or dashes; phones with a plus
+    (8 to 15 digits) or as North American ones with brackets, dots or dashes; dates as
+    yyyy-mm-dd, yyyy/mm/dd and with the year last (by dots the day first, else the month
+    first if it can be).  Plain digits without a plus are no phone, and names of months no date;
+    dates that read as month first and day first can become equal.
+
     Texts without a value, empty and null texts stay as they are (counts 0); invalid
     values stay; long texts are read whole; repeated rows are changed alike; an empty table
     gives no rows; columns named as an added one are replaced.
@@ -170,7 +252,9 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
     names = [f"n_{k}" for k in KINDS]
     found = docs.drop(*names).withColumn("__found", F.transform(
         F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(ANY), F.lit(0)),
-        lambda v: F.struct(v.alias("v"), kind_of(v).alias("kind")),
+        lambda v: F.when(v.rlike(f"^(?:{CARD})$"), cards_in(v)).otherwise(
+            F.array(F.struct(v.alias("v"), kind_of(v).alias("kind")))
+        ),
     ))
 
     def changed(f: Column) -> Column:
@@ -182,7 +266,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
         )
 
     between = F.split(F.col(text), ANY, -1)
-    filled = F.zip_with(between, F.transform("__found", changed), lambda t, v: F.concat(t, F.coalesce(v, F.lit(""))))
+    filled = F.zip_with(between, F.transform("__found", lambda m: F.array_join(F.transform(m, changed), "")), lambda t, v: F.concat(t, F.coalesce(v, F.lit(""))))
     counts = {n: count(k) for n, k in zip(names, KINDS, strict=True)}
     return found.withColumns({
         **counts, text: F.when(F.size("__found") > 0, F.array_join(filled, "")).otherwise(F.col(text)),
@@ -190,4 +274,4 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
 
 
 def count(kind: str) -> Column:
-    return F.size(F.filter("__found", lambda f: f["kind"] == kind)).cast("long")
+    return F.size(F.filter(F.flatten("__found"), lambda f: f["kind"] == kind)).cast("long")

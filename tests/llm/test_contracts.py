@@ -283,6 +283,23 @@ def test_pseudonyms(spark):
     assert pseudonyms.pseudonymise(df.where("doc_id < 0")).count() == 0
 
 
+def test_pseudonyms_in_company(spark):
+    card = "4111111111111111"
+    texts = [f"{card} 123", f"{card} 12/27", "2024 4111 1111 1111 1111", "4111 1111 1111 1111 2024-01-31", "4111-1111-1111-1111 555-123-4567",
+             "3782 822463 10005", "555-123-4567", "(555) 123-4567", "+1-555-123-4567", "+44 20 7946 0958", "12/31/1999", "31.12.1999",
+             "1999/12/31", "12/31/1999 4111 1111 1111 1111 12th", "1 2 3 " * 300 + card]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pseudonyms.pseudonymise(df).collect()}
+    assert [(out[i]["n_cards"], out[i]["n_phones"], out[i]["n_dates"]) for i in range(len(texts))] == [
+        (1, 0, 0), (1, 0, 0), (1, 0, 0), (1, 0, 1), (1, 1, 0), (1, 0, 0), *[(0, 1, 0)] * 4, *[(0, 0, 1)] * 3, (1, 0, 1), (1, 0, 0)]
+    hidden = ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "123-4567", "7946 0958", "31/1999", "31.12", "2024-01-31"]
+    for i, text in enumerate(texts):
+        got = out[i]["text"]
+        assert not any(h in got for h in hidden), got[-40:]
+        assert re.sub(r"\d", "9", got) == re.sub(r"\d", "9", text)
+    assert out[0]["text"].endswith(" 123") and out[2]["text"].startswith("2024 ")
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     assert df.select(pseudonyms.permuted_digits(F.col("d"), "k", "test").alias("e")).distinct().count() == 1000
