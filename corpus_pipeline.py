@@ -23,6 +23,7 @@ def judged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near duplicates.
 
+    Links begin at ``neardup.PERCENT`` (85 % of the shingles), so copies that are 80 to 85 % alike stay.
     Rows that repeat an id are one document; those with equal text are left as they are.
     """
     linked = neardup.link(docs.select("doc_id", "text"))
