@@ -15,8 +15,8 @@ MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)
 ISO = r"(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])"
 YEAR_LAST = "|".join(f"[0-9]{{1,2}}{m}[0-9]{{1,2}}{m}[0-9]{{4}}" for m in ("/", "-", r"\."))
 DATE = ISO + rf"|(?<![0-9A-Za-z])(?<![0-9][./-])(?:[0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}}|{YEAR_LAST})(?![0-9A-Za-z]|[./-][0-9])"
-# Groups of digits of 13 digits or more, up to a date or a phone; the cards are looked for among the groups.
-GROUP = rf"(?!{LOCAL}|{DATE})[0-9]++(?![A-Za-z])"
+# Groups of digits of 13 digits or more, up to a value of another kind; the cards are looked for among the groups.
+GROUP = rf"(?!{LOCAL}|{DATE}|{ADDRESS}|{MAIL})[0-9]++(?![A-Za-z])"
 CARD = rf"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){{12}}){GROUP}(?:[ -]{GROUP})*+"
 KINDS = {"mails": MAIL, "phones": PHONE, "addresses": ADDRESS, "dates": DATE, "cards": CARD}
 ANY = "|".join(KINDS.values())

@@ -297,6 +297,8 @@ def test_pseudonyms_in_company(spark):
         got = out[i]["text"]
         assert not any(h in got for h in hidden), got[-40:]
         assert re.sub(r"\d", "9", got) == re.sub(r"\d", "9", text)
+    row = spark.createDataFrame([(0, f"{card} 97.51.17.173 {card} 12.a@mail7.example.com")], "doc_id long, text string")
+    assert pseudonyms.pseudonymise(row).select("n_cards", "n_addresses", "n_mails").first()[:] == (2, 1, 1)
     assert out[0]["text"].endswith(" 123") and out[2]["text"].startswith("2024 ")
 
 
