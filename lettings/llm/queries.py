@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from lettings.llm import (
-    decontamination, mixing, neardup, pseudonyms, quality, rules, secrets, sharding, substrings, toxicity,
+    conversations, decontamination, mixing, neardup, negatives, pseudonyms, quality, rules, secrets, sharding, substrings,
+    tokencounts, toxicity,
 )
 from lettings.llm.common import table
 
@@ -101,6 +102,26 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_checkpointed_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.digest(conversations.repair(conversations.damage(rows)), rows)
+
+
+@query("op12_cover_tree_negatives", negatives.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+@query("op13_prefix_counts")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of all prefixes are made for every text; the query reads the last one of each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return tokencounts.totals(tokencounts.prefix_counts(docs))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
