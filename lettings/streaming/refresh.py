@@ -8,9 +8,10 @@ batch, so a batch that is run again after a failure leaves the same tables.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from lettings.operators import joins, windows
 from lettings.sources import tables
@@ -24,6 +25,48 @@ def bucket_of(keys: Sequence[str]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
 
+def known(unique: Sequence[str]) -> Column:
+    """Whether a row has a whole unique id; without one it never replaces another row."""
+    return reduce(lambda a, b: a & b, [F.col(u).isNotNull() for u in unique])
+
+
+def index_path(store: str) -> str:
+    return f"{store.rstrip('/')}_index"
+
+
+def values_of(df: DataFrame, column: str) -> list[int]:
+    """The parts that rows fall in, ``BUCKETS`` at most."""
+    return [r[0] for r in df.select(column).distinct().collect()]
+
+
+def parts_read(spark: SparkSession, path: str, schema: StructType, part: str, parts: Sequence[int]) -> DataFrame:
+    """The rows of some parts of a partitioned table; files of other parts are not opened."""
+    rows = spark.read.schema(schema).parquet(path)
+    return rows.where(F.col(part).isin(list(parts))) if parts else rows.limit(0)
+
+
+def moved_away(rows: DataFrame, store: str, keys: Sequence[str], unique: Sequence[str], batch_id: int) -> DataFrame:
+    """The former keys of unique ids that come again under another key, looked up in the index.
+
+    The index has a row per id and batch with the key it had there, in parts by the hash of
+    the id, so only the parts of the given ids are read.
+    """
+    ids = rows.where(known(unique)).withColumn("part", bucket_of(unique))
+    schema = ids.select(*dict.fromkeys([*unique, *keys]), F.lit(0).cast("long").alias("batch"), "part").schema
+    index = parts_read(rows.sparkSession, index_path(store), schema, "part", values_of(ids, "part"))
+    index = index.where(F.col("batch") < batch_id)
+    last = windows.dedup_latest(joins.join_semi(index, ids, unique), unique, [F.col("batch").desc()])
+    now = ids.select(*unique, *[F.col(k).alias(f"__{k}") for k in keys if k not in unique])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys if k not in unique], F.lit(True))
+    return last.join(now, list(unique)).where(~same).select(*dict.fromkeys([*unique, *keys]))
+
+
+def newest_versions(rows: DataFrame, keys: Sequence[str], unique: Sequence[str]) -> DataFrame:
+    """Per key and unique id the row of the last batch, unless the id has moved away; rows without an id all stay."""
+    last = windows.dedup_latest(rows.where(known(unique)), list(dict.fromkeys([*keys, *unique])), [F.col("batch").desc()])
+    return last.where(~F.col("gone")).unionByName(rows.where(~known(unique)))
+
+
 def refresh_incremental(
     stream: DataFrame, store: str, target: str, keys: Sequence[str], place: Build, build: Build, checkpoint: str,
     unique: Sequence[str] = (),
@@ -32,8 +75,13 @@ def refresh_incremental(
 
     ``place`` maps new rows to store rows with the ``keys``; ``build`` makes target rows
     from store rows.  Store rows are kept per batch in buckets of their keys, so only the
-    touched buckets are read again.  With ``unique``, a row that comes again in a later
-    batch replaces the earlier one, also where it moves to another key.
+    touched buckets are read again.
+
+    With ``unique``, a row that comes again in a later batch replaces the earlier one, also
+    where it moves to another key: an index beside the store tells the key it had, which
+    gets a row that marks it as gone, so a key's own bucket always tells what is left of it.
+    Of several rows of one id in a batch the newest load counts.  Rows without a whole id
+    (a NULL in ``unique``) replace nothing and stay.
 
     The target keeps what each batch wrote for the keys it touched, a key that has become
     empty as a row that is not alive; :func:`current` reads the newest state.
@@ -42,25 +90,34 @@ def refresh_incremental(
     spark = stream.sparkSession
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        rows = place(batch).withColumns({"batch": F.lit(batch_id), "bucket": bucket_of(keys)})
+        rows = place(batch)
+        shape = rows.columns
+        if unique:
+            one = windows.dedup_latest(rows.where(known(unique)), unique, windows.load_order(rows))
+            rows = one.unionByName(rows.where(~known(unique)))
+            away = moved_away(rows, store, keys, unique, batch_id).withColumn("gone", F.lit(True))
+            rows = rows.withColumn("gone", F.lit(False)).unionByName(away, allowMissingColumns=True)
+        rows = rows.withColumns({"batch": F.lit(batch_id).cast("long"), "bucket": bucket_of(keys)})
         tables.replace_keys(rows, store, ["batch", "bucket"])
         stored = spark.read.schema(rows.schema).parquet(store).where(F.col("batch") <= batch_id)
         new = stored.where(F.col("batch") == batch_id)
-        changed = joins.join_semi(stored, new, unique) if unique else new
-        touched = changed.select(*keys).distinct()
-        touched = touched.withColumn("bucket", bucket_of(keys))
-        buckets = [r[0] for r in touched.select("bucket").distinct().collect()]  # BUCKETS at most
-        near = stored.where(F.col("bucket").isin(buckets)) if buckets else stored.limit(0)
+        if unique:
+            entries = new.where(known(unique) & ~F.col("gone")).withColumn("part", bucket_of(unique))
+            tables.replace_keys(
+                entries.select(*dict.fromkeys([*unique, *keys]), "batch", "part"), index_path(store), ["batch", "part"])
+        touched = new.select(*keys, "bucket").distinct()
+        near = parts_read(spark, store, rows.schema, "bucket", values_of(touched, "bucket")).where(F.col("batch") <= batch_id)
         again = join_keys_semi(near, touched, keys)
         if unique:
-            versions = joins.join_semi(stored, again.select(*unique).distinct(), unique)
-            newest = windows.dedup_latest(versions, unique, [F.col("batch").desc()])
-            again = join_keys_semi(newest, touched, keys)
-        made = build(again.drop("batch", "bucket")).withColumn("alive", F.lit(True))
+            again = newest_versions(again, keys, unique)
+        made = build(again.select(*shape)).withColumn("alive", F.lit(True))
         dead = anti(touched.select(*keys), made, keys).withColumn("alive", F.lit(False))
         result = made.unionByName(dead, allowMissingColumns=True)
         tables.replace_keys(result.withColumn("batch", F.lit(batch_id)), target, ["batch"])
 
+    if unique:  # the index has to be there before its first rows
+        shape = StructType([StructField("batch", LongType()), StructField("part", IntegerType())])
+        tables.write_append(spark.createDataFrame([], shape).withColumn("none", F.lit(0)), index_path(store), ["batch", "part"])
     query = (
         stream.writeStream.foreachBatch(apply)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
