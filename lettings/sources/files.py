@@ -12,6 +12,7 @@ from lettings import rules
 from lettings.functions import clean
 from lettings.operators import spatial
 from lettings.operators.windows import dedup_latest, running_number
+from lettings.sources import quoted
 
 CORRUPT = "_corrupt_record"
 
@@ -36,46 +37,59 @@ def markers_as_null(df: DataFrame, markers: Sequence[str] = rules.CSV_NULL_MARKE
 def file_headers(spark: SparkSession, path: str | Sequence[str]) -> list[tuple[str, tuple[str, ...]]]:
     """Files and their header names (of the first line that is not blank), in the order of the paths.
 
-    Only the first split of a file is read, further ones where that is blank; a blank file has no rows.
+    Only the first bytes of a file are read; a blank file has no rows.
     """
-    lines = spark.read.text(path).select(
-        F.regexp_replace("value", "^\ufeff", "").alias("value"), F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"),
-    )
+    return [(h.file, header_names(h.line)) for h in _heads(spark, path)]
+
+
+def header_names(line: str) -> tuple[str, ...]:
+    return tuple(n.strip() for n in next(csv.reader([line])))
 
-    def first(some: DataFrame) -> dict[str, str | None]:
-        line = F.min_by(F.when(F.col("value").rlike(r"\S"), F.col("value")), F.when(F.col("value").rlike(r"\S"), F.struct("split", "at")))
-        return {r["file"]: r["line"] for r in some.groupBy("file").agg(line.alias("line")).collect()}
 
-    found = first(lines.where("split = 0"))
-    if None in found.values():
-        found |= first(lines.where(F.col("file").isin([f for f, line in found.items() if line is None])))
-    return [(f, tuple(n.strip() for n in next(csv.reader([line])))) for f, line in sorted(found.items()) if line is not None]
+def _heads(spark: SparkSession, path: str | Sequence[str]) -> list[quoted.Head]:
+    return quoted.heads(spark, sorted(spark.read.text(path).inputFiles()))
 
 
 def _frames_by_header(spark: SparkSession, path: str | Sequence[str], multi_line: bool) -> list[DataFrame]:
-    """One frame per different header, with lines that do not fit in ``CORRUPT`` and ``_metadata``."""
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for file, header in file_headers(spark, path):
-        groups.setdefault(header, []).append(file)
-    reader = spark.read.options(**_csv_options(True, multi_line)).option("columnNameOfCorruptRecord", CORRUPT)
+    """One frame per different header: its columns, lines that do not fit in ``CORRUPT``, file and row number."""
+    groups: dict[tuple[str, ...], list[quoted.Head]] = {}
+    for found in _heads(spark, path):
+        groups.setdefault(header_names(found.line), []).append(found)
+    options = {**_csv_options(True, False), "columnNameOfCorruptRecord": CORRUPT}
     frames = []
-    for header, paths in groups.items():
-        raw = reader.schema(text_schema(header, corrupt=True)).csv(paths).select("*", "_metadata")
+    for header, some in groups.items():
+        schema = text_schema(header, corrupt=True)
+        if multi_line:
+            frames.append(_quoted_frame(spark, some, schema, options))
+            continue
+        raw = spark.read.options(**options).schema(schema).csv([h.file for h in some]).select("*", "_metadata")
         # a query of the kept lines alone is refused, so the column leans on a data column
         kept = F.coalesce(F.nullif(F.col(CORRUPT), F.lit("")), F.when(F.col(CORRUPT).isNotNull(), F.col(f"`{header[0]}`")))
-        frames.append(raw.withColumn(CORRUPT, kept))
+        frames.append(with_row_numbers(raw.withColumn(CORRUPT, kept)))
     return frames
 
 
+def _quoted_frame(spark: SparkSession, some: list[quoted.Head], schema: StructType, options: dict[str, object]) -> DataFrame:
+    """Records cut over splits, then parsed one by one with the reader's own rules."""
+    parsing = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema.fields)
+    rows = quoted.records(spark, some).where("number > 1")
+    parsed = rows.select(F.from_csv("text", ddl, parsing | {"header": "false", "multiLine": "true"}).alias("r"), "file", "number", "crlf")
+    plain = [  # as the reader does it, line breaks inside fields are LF
+        F.when(F.col("crlf"), F.replace(F.col("r")[n], F.lit("\r\n"), F.lit("\n"))).otherwise(F.col("r")[n]).alias(n)
+        for n in schema.names if n != CORRUPT
+    ]
+    return parsed.select(*plain, F.col("r")[CORRUPT].alias(CORRUPT), F.regexp_replace("file", "^file:///", "file:/").alias("_filename"), (F.col("number") - 1).alias("_file_row_number"))
+
+
 def read_csv_text(spark: SparkSession, path: str | Sequence[str], multi_line: bool = True) -> DataFrame:
     """CSV with headers (plain or gzip), every column as text, matched by name across files.
 
     No column is typed here, so a value can never fail to load.  The first file gives the
-    shape.  Without ``multi_line`` a plain file is read in many splits; fields must then
-    hold no line breaks.
+    shape.  Plain files are read in many splits, also where fields hold line breaks; without
+    ``multi_line`` they hold none, and no line has to be looked at for quotes first.
     """
-    frames = [f.drop(CORRUPT, "_metadata") for f in _frames_by_header(spark, path, multi_line)]
+    frames = [f.drop(CORRUPT, "_filename", "_file_row_number") for f in _frames_by_header(spark, path, multi_line)]
     first = frames[0].columns
     return markers_as_null(append_by_name(frames) if len(frames) > 1 else frames[0]).toDF(*first)
 
@@ -89,7 +103,7 @@ def read_csv_audited(
     """
     out = None
     for frame in _frames_by_header(spark, path, multi_line):
-        numbered = with_lineage(frame).drop("_metadata")
+        numbered = frame.withColumn("_load_ts", F.current_timestamp().cast("timestamp_ntz"))
         own = {c.lower(): c for c in numbered.columns}
         found = [
             clean.marker_to_null(own[n.lower()], rules.CSV_NULL_MARKERS).alias(n) if n.lower() in own
@@ -190,13 +204,17 @@ def with_lineage(df: DataFrame, source: str | None = None) -> DataFrame:
     Row numbers come from positions in the scan and one count per file and
     scan partition; no file is gathered in one task.
     """
+    numbered = with_row_numbers(df).withColumn("_load_ts", F.current_timestamp().cast("timestamp_ntz"))
+    return numbered if source is None else numbered.withColumn("_source", F.lit(source))
+
+
+def with_row_numbers(df: DataFrame) -> DataFrame:
+    """File and row number in the file of scanned rows."""
     placed = df.select(
-        *df.columns, F.col("_metadata.file_path").alias("_filename"),
+        *[c for c in df.columns if c != "_metadata"], F.col("_metadata.file_path").alias("_filename"),
         F.monotonically_increasing_id().alias("__at"),
     )
-    numbered = running_number(placed, ["_filename"], "__at", "_file_row_number").drop("__at")
-    numbered = numbered.withColumn("_load_ts", F.current_timestamp().cast("timestamp_ntz"))
-    return numbered if source is None else numbered.withColumn("_source", F.lit(source))
+    return running_number(placed, ["_filename"], "__at", "_file_row_number").drop("__at")
 
 
 def land_cells(df: DataFrame, cols: Sequence[str], row: str, skip_rows: int) -> DataFrame:

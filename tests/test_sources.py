@@ -1,13 +1,15 @@
 """Files, lineage and table writes."""
 
 import gzip
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lettings.operators import reports
 from lettings.plans import silver
-from lettings.sources import files, tables
+from lettings.sources import files, quoted, tables
 
 
 def test_csv_keeps_quotes_newlines_and_markers(spark, tmp_path):
@@ -107,3 +109,87 @@ def test_blank_lines_before_the_header(spark, tmp_path, multi_line):
     assert sorted(tuple(r) for r in rows.collect()) == [("1", "x"), ("2", "y"), ("3", "z")]
     rows = files.read_csv_audited(spark, str(tmp_path), ["id", "v"], multi_line).orderBy("id")
     assert [(r.id, r.v, r["_corrupt_record"]) for r in rows.collect()] == [("1", "x", None), ("2", "y", None), ("3", "z", None)]
+
+
+def quoted_text(rng, newline):
+    """A file with quoted line breaks, delimiters and quotes, stray quotes, blank lines, short and long rows."""
+    values = ["a", "1", "x y", " pad ", "", "é日", 'say ""hi""', "l1\nl2", "p,q", "\n", '""', 'in " mid', "N/A", 'tail""', "z" * 40]
+
+    def field():
+        value = rng.choice(values)
+        if value != 'in " mid' and ("\n" in value or "," in value or '""' in value or rng.random() < 0.3):
+            return '"' + value.replace("\n", newline) + '"'
+        return value
+
+    out = ["id,a,b"]
+    for i in range(60):
+        row = [str(i), field(), field(), "extra"][: rng.choice([3] * 18 + [2, 4])]
+        out += [rng.choice(["", "  ", "\t"])] if rng.random() < 0.05 else []
+        out.append(",".join(row))
+    return newline.join(out) + newline
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+@pytest.mark.parametrize("split", ["100", "300", "128m"])
+def test_quoted_files_in_splits_equal_the_whole_reader(spark, tmp_path, newline, split):
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_bytes(quoted_text(random.Random(f"{i}{newline}{split}"), newline).encode())
+    (tmp_path / "z.csv.gz").write_bytes(gzip.compress(quoted_text(random.Random(8), newline).encode()))
+    settings = {"spark.sql.files.maxPartitionBytes": split, "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        frame, = files._frames_by_header(spark, str(tmp_path), True)
+        got = frame.collect()
+        tasks = quoted.lines_of(spark, [str(tmp_path / f"{i}.csv") for i in range(3)]).rdd.getNumPartitions()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tasks > 3 or split == "128m"
+    for name in ("0.csv", "1.csv", "2.csv", "z.csv.gz"):
+        reader = spark.read.options(**files._csv_options(True, True)).option("columnNameOfCorruptRecord", files.CORRUPT)
+        whole = reader.schema(files.text_schema(["id", "a", "b"], corrupt=True)).csv(str(tmp_path / name)).cache().collect()
+        own = sorted((r for r in got if r["_filename"].endswith(f"/{name}")), key=lambda r: r["_file_row_number"])
+        assert [tuple(r)[:4] for r in own] == [tuple(r) for r in whole]
+        assert [r["_file_row_number"] for r in own] == list(range(1, len(own) + 1))
+
+
+def test_a_record_over_many_splits(spark, tmp_path):
+    long = "\n".join(f"line {i}" for i in range(400))
+    (tmp_path / "a.csv").write_text(f'id,v\n1,x\n2,"{long}"\n3,"y"\n')
+    settings = {"spark.sql.files.maxPartitionBytes": "64", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = files.read_csv_text(spark, str(tmp_path)).orderBy("id").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [tuple(r) for r in rows] == [("1", "x"), ("2", long), ("3", "y")]
+
+
+def test_states_follow_line_by_line():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        outside, inside = rng.random(12) < 0.5, rng.random(12) < 0.5
+        for start in (False, True):
+            want = [start]
+            for a, b in zip(outside, inside, strict=True):
+                want.append(bool(b if want[-1] else a))
+            assert quoted.states(outside, inside, start).tolist() == want
+
+
+def test_header_search_reads_only_the_beginning(spark, tmp_path, monkeypatch):
+    """The end of a packed file is cut off, which reading it to the end would notice."""
+    plain = "\n\n" + "id,v\n" + "".join(f"{i},{i * i}\n" for i in range(300_000))
+    (tmp_path / "a.csv.gz").write_bytes(gzip.compress(plain.encode())[:-1000])
+    (tmp_path / "b.csv").write_text("﻿id,v\r\n1,2\r\n")
+    (tmp_path / "c.csv").write_text("\n \n")
+    (tmp_path / "d d.csv").write_text("x" * 100_000 + ",v")
+    got = {f.rsplit("/", 1)[1]: names for f, names in files.file_headers(spark, str(tmp_path))}
+    assert got == {"a.csv.gz": ("id", "v"), "b.csv": ("id", "v"), "d%20d.csv": ("x" * 100_000, "v")}
+    monkeypatch.setattr(quoted, "LONGEST_HEAD", 50_000)
+    with pytest.raises(ValueError, match="No header"):
+        files.file_headers(spark, str(tmp_path / "d d.csv"))
