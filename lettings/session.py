@@ -39,6 +39,13 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder wherever Spark's file systems keep it; nothing happens if there is none."""
+    jvm, settings = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(settings).delete(folder, True)
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Rows written to the shared folder, so that they outlive any executor."""
     shared_folder(df.sparkSession)
