@@ -38,7 +38,8 @@ def test_every_prefix(library):
 
 
 def test_a_full_store_starts_anew(library, monkeypatch):
-    monkeypatch.setattr(tokencounts, "KEPT_CHUNKS", 5)
+    monkeypatch.setattr(tokencounts, "KEPT_UNITS", 5)
+    monkeypatch.setattr(tokencounts, "KEPT_PAIRS", 5)
     counter = tokencounts.PrefixCounter(public_tokenizers.path(tokencounts.VOCABULARY))
     texts = [f"one {i} and  {i * 7} more'll {'x' * i}" for i in range(40)]
     for _ in range(2):
