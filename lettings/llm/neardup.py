@@ -17,7 +17,7 @@ from lettings.llm.common import (
 from lettings.session import stable
 
 SHINGLE, PERCENT = 5, 85
-SYMBOLS, CHUNKS, ERRORS = 40, 8, 1  # 16-bit symbols; each chunk may differ in so many symbols
+SYMBOLS, CHUNKS, ERRORS = 60, 12, 1  # 16-bit symbols; each chunk may differ in so many symbols
 DISTANCE = CHUNKS * (ERRORS + 1) - 1  # by pigeonhole some chunk of closer signatures has few enough errors
 SIGNATURE_BLOCK, SET_BLOCK, SET_BYTES, SMALL = 1000, 500, 32 << 20, 16
 BROADCAST_IDS = 500_000
@@ -97,12 +97,12 @@ def sign(docs: DataFrame) -> DataFrame:
                 full = counts > 0
                 sig = iter(signatures(x, np.append(starts[:-1][full], len(x)), SYMBOLS) if full.any() else ())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(batch.schema.get_field_index("__id")), batch.column(batch.schema.get_field_index("__given")),
+                    [*[batch.column(batch.schema.get_field_index(c)) for c in ("__id", "__given", "__md5")],
                      pa.array(digests, pa.binary()), pa.array(counts.astype(np.int64)),
                      pa.array([next(sig).tobytes() if f else None for f in full], pa.binary())],
-                    names=["__id", "__given", "class", "n_shingles", "sig"],
+                    names=["__id", "__given", "__md5", "class", "n_shingles", "sig"],
                 )
-    return docs.mapInArrow(run, "__id long, __given long, class binary, n_shingles long, sig binary")
+    return docs.mapInArrow(run, "__id long, __given long, __md5 string, class binary, n_shingles long, sig binary")
 
 
 def keyed(classes: DataFrame) -> DataFrame:
@@ -208,8 +208,8 @@ def blocked(df: DataFrame, key: str, blocks: Column) -> DataFrame:
 def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable over links) and kept.
 
-    Texts of the same words are one class.  Signatures of 40 symbols are cut into 8
-    chunks; two signatures that differ in at most 15 symbols have a chunk with at most one
+    Texts of the same words are one class.  Signatures of 60 symbols are cut into 12
+    chunks; two signatures that differ in at most 23 symbols have a chunk with at most one
     error, so they share a key that leaves one symbol of a chunk out.  Within the keys,
     pairs within the distance give candidate groups, and within these links are decided on
     the full shingle sets.  At each step a group gives a forest, not all its pairs; a full
@@ -219,9 +219,39 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: i
     are one document.  Rows with a null id take part; they are kept where no linked row
     has an id.  An empty table gives no rows.  Only the named columns are read.
     """
+    rows, known, least = grouped(docs, text, doc_id, percent)
+    final = rows.join(known.join(least, "root").select("class", "component"), "class", "left").select(
+        F.col("__given").alias("doc_id"), "n_shingles",
+        F.when(F.col("class").isNull(), F.col("__given")).otherwise(F.col("component")).alias("component_id"),
+    )
+    return final.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def redundant(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+    """How many rows stay if one row of each group stays: ``doc_id``, ``text_md5`` and ``stay``.
+
+    The row with the smallest id stays (nulls last), of one id the text with the smallest
+    words' digest and md5.  Rows that agree in id and text are listed once, with 0 if all
+    go and 1 if one of several stays; rows that are not listed stay.  Rows without words
+    are never listed.
+    """
+    rows, known, _ = grouped(docs, text, doc_id, percent)
+    pairs = rows.where(F.col("class").isNotNull()).groupBy("__given", "__md5").agg(
+        F.count(F.lit(1)).alias("n"), F.first("class").alias("class"))
+    rooted = pairs.join(known.select("class", "root"), "class")
+    order = F.struct(F.col("__given").isNull().alias("anonymous"), "__given", "class", "__md5")
+    best = rooted.groupBy("root").agg(F.min(order).alias("best"))
+    first = F.col("__given").eqNullSafe(F.col("best.__given")) & (F.col("__md5") == F.col("best.__md5"))
+    return rooted.join(best, "root").where(~first | (F.col("n") > 1)).select(
+        F.col("__given").alias("doc_id"), F.col("__md5").alias("text_md5"), first.cast("int").alias("stay"),
+    )
+
+
+def grouped(docs: DataFrame, text: str, doc_id: str, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signed rows; ``class``, ``cid`` and ``root`` of the classes of equal words; the smallest id per root."""
     given = F.col(doc_id).cast("long")
     anonymous = -1 - F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 62))
-    named = docs.select(F.coalesce(given, anonymous).alias("__id"), given.alias("__given"), F.col(text).alias("__text"))
+    named = docs.select(F.coalesce(given, anonymous).alias("__id"), given.alias("__given"), F.col(text).alias("__text"), F.md5(F.col(text)).alias("__md5"))
     rows = stable(sign(named))
     classes = stable(rows.where(F.col("class").isNotNull()).groupBy("class").agg(
         F.min("__id").alias("cid"), F.min("__given").alias("first_id"), F.first("sig").alias("sig"),
@@ -241,12 +271,7 @@ def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: i
     labels = components(links, "a", "b").select(F.col("node").alias("cid"), "root")
     known = classes.select("class", "cid", "first_id").join(labels, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     known = stable(known)
-    least = known.groupBy("root").agg(F.min("first_id").alias("component"))
-    final = rows.join(known.join(least, "root").select("class", "component"), "class", "left").select(
-        F.col("__given").alias("doc_id"), "n_shingles",
-        F.when(F.col("class").isNull(), F.col("__given")).otherwise(F.col("component")).alias("component_id"),
-    )
-    return final.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows, known, known.groupBy("root").agg(F.min("first_id").alias("component"))
 
 
 ORACLE = f"""
