@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from lettings.llm.common import n_words, running_total, spread
+from lettings.llm.common import n_words, numbered_copies, running_total, spread
 from lettings.session import stable
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -29,6 +30,7 @@ class Plan:
     quotas: np.ndarray  # shards x sources
     rows: int
     block: int
+    limit: float
 
 
 def source_targets(sizes: Sequence[int], weights: Sequence[float], share: float, limit: float) -> list[float]:
@@ -71,11 +73,17 @@ def apportion(votes: Sequence[float], seats: int) -> np.ndarray:
     return got
 
 
+def block_words(targets: Sequence[float], block: int) -> int:
+    """Words of a block: at most a sixteenth of the smallest target, so that small sources come near theirs."""
+    some = [t for t in targets if t > 0]
+    return max(1, min(block, int(min(some) / 16))) if some else block
+
+
 def plan_mix(
     sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, limit: float = LIMIT,
     block: int = BLOCK, shards: int = SHARDS,
 ) -> Plan:
-    """Targets and quotas from the sizes per source (columns ``source``, ``size``).
+    """Targets and quotas from the sizes per source (columns ``source``, ``size``); blocks have ``block`` words or fewer.
 
     One summed row per source reaches the driver; a mix names its sources.  The divisor
     method is house monotone, so the quotas of a shard are the seats that it adds.
@@ -84,10 +92,11 @@ def plan_mix(
     per.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     sizes = [int(r["size"]) for r in per]
     targets = source_targets(sizes, [weights[i % len(weights)] for i in range(len(per))], share, limit)
+    block = block_words(targets, block)
     seats = int(sum(targets) / block + 1e-9)
     steps = [apportion(targets, seats * s // shards) for s in range(shards + 1)]
     quotas = np.diff(np.array(steps).reshape(shards + 1, len(per)), axis=0)
-    return Plan([r["source"] for r in per], sizes, targets, quotas, sum(r["n"] for r in per), block)
+    return Plan([r["source"] for r in per], sizes, targets, quotas, sum(r["n"] for r in per), block, limit)
 
 
 def quotas(spark, plan: Plan) -> DataFrame:
@@ -110,7 +119,7 @@ def mix(
 
     A source's documents stand in seeded order and their words form a stream that is cut
     into equal blocks; the source gives its quota of blocks from the stream, which begins
-    anew at its end, so no word is taken more than twice with ``limit`` 2.  Documents are
+    anew at its end as often as ``limit`` allows, so no word is taken more often.  Documents are
     taken whole but for those at the end of a quota.  ``shard`` is the shard of the first
     block in which the document begins (null if nothing is taken).
 
@@ -119,26 +128,30 @@ def mix(
     the same name as an added one are replaced.
     """
     sized = docs.withColumns({"source": F.col(source), "size": n_words(F.col(text))})
+    sized = sized.withColumn("__same", F.xxhash64(F.col(text)))
     if not keep_text:  # then the sizes alone are written, and texts are read once
         sized = stable(sized.drop(text))
+    sized = numbered_copies(sized, ["source", doc_id, "size", "__same"], "__nth")
     return mix_sized(sized, doc_id, seed, plan_mix(sized.select("source", "size"), **how))
 
 
 def mix_sized(sized: DataFrame, doc_id: str, seed: str, plan: Plan) -> DataFrame:
-    """``mix`` for rows that have ``source`` and ``size``."""
+    """``mix`` for rows that have ``source``, ``size``, a hash ``__same`` of the text and a number ``__nth`` among equal rows."""
     spark = sized.sparkSession
     until = np.cumsum(plan.quotas, axis=0) if len(plan.sources) else plan.quotas
     rows = [
-        (key_of(name), size, target, min(int(until[-1, i]) * plan.block, int(LIMIT * size)), until[:, i].tolist())
+        (key_of(name), size, target, min(int(until[-1, i]) * plan.block, int(plan.limit * size)), until[:, i].tolist())
         for i, (name, size, target) in enumerate(zip(plan.sources, plan.sizes, plan.targets, strict=True))
     ]
     kinds = "__key string, source_size long, target double, __until long, __quota array<long>"
     per = spark.createDataFrame(rows, kinds)
     per = F.broadcast(per) if len(rows) <= BROADCAST_SOURCES else per
+    alone = F.col(doc_id).isNotNull() & (F.col("__nth") == 0)  # rows without an id or of equal ones are told apart
     keyed = sized.drop("source_size", "target", "taken", "shard").withColumns({
         "__key": F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source"))),
-        "__at": spread(F.lit(seed), F.col(doc_id)),
-    })
+        "__at": F.when(alone, spread(F.lit(seed), F.col(doc_id))).otherwise(
+            spread(F.lit(seed), F.col(doc_id), F.col("__same"), F.col("__nth"))),
+    }).drop("__same", "__nth")
     placed = running_total(keyed, "__key", ["__at", doc_id, "size"], F.col("size"), "__from", plan.rows)
     both = placed.join(per, "__key")
 
@@ -147,7 +160,7 @@ def mix_sized(sized: DataFrame, doc_id: str, seed: str, plan: Plan) -> DataFrame
             return F.least(F.greatest(x + shift, F.lit(0)), F.col("__until"))
         return inside(F.col("__from") + F.col("size")) - inside(F.col("__from"))
 
-    taken = part(F.lit(0)) + part(F.col("source_size"))
+    taken = sum((part(F.col("source_size") * k) for k in range(1, math.ceil(plan.limit))), part(F.lit(0)))
     block = F.floor(F.col("__from") / F.lit(plan.block))
     shard = F.size(F.filter("__quota", lambda q: q <= block))
     return both.withColumn("taken", taken.cast("long")).withColumn(
@@ -183,14 +196,17 @@ unit as (
   select max(({SHARE} * (select sum(size) from per) - coalesce(caps, 0)) / rest) filter (
     where ({SHARE} * (select sum(size) from per) - coalesce(caps, 0)) / rest * w <= 2e0 * size) as u from filled),
 targets as (select per.*, least(2e0 * size, u * w) as target from per, unit),
-seats as (select cast(floor(sum(target) / {BLOCK} + 1e-9) as bigint) as n from targets),
+blocks as (
+  select greatest(1, least({BLOCK}, cast(floor(coalesce(min(target) filter (where target > 0), {BLOCK} * 16) / 16) as bigint))) as b
+  from targets),
+seats as (select cast(floor(sum(target) / any_value(b) + 1e-9) as bigint) as n from targets, blocks),
 quotients as (
   select source, place, row_number() over (order by target / (2 * k + 1) desc, place) as nth
-  from (select *, unnest(range(0, cast(floor(2e0 * size / {BLOCK}) as bigint) + 2)) as k from targets)),
+  from (select *, unnest(range(0, cast(floor(2e0 * size / b) as bigint) + 2)) as k from targets, blocks)),
 quota as (select source, count(*) filter (where nth <= (select n from seats)) as q from quotients group by source),
 placed as (
   select s.*, t.size as source_size, t.target,
-    least(coalesce(q, 0) * {BLOCK}, 2 * t.size) as until,
+    least(coalesce(q, 0) * (select b from blocks), 2 * t.size) as until,
     sum(s.size) over (partition by s.source order by h, doc_id, s.size rows unbounded preceding) - s.size as a
   from sized s join targets t on s.source is not distinct from t.source
     left join quota on s.source is not distinct from quota.source)
