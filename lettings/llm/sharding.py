@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from lettings.llm.common import n_words, running_total, spread
+from lettings.llm.common import n_words, numbered_copies, running_total, spread
 from lettings.session import stable
 
 SHARDS, BUNDLES, HEAVY, PIECES = 24, 4096, 0.5, 16
@@ -46,6 +46,7 @@ def pack(
         "size": (F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 8).cast("long"),
         "__tokens": n_words(F.col(text)),
     })
+    base = numbered_copies(base, ["__group", doc_id], "__nth")  # rows of equal ids are told apart, so they can be dealt
     groups = stable(base.groupBy("__group").agg(
         F.sum("size").alias("bytes"), F.sum("__tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"),
     ))
@@ -64,7 +65,9 @@ def pack(
         (r["__group"], max(1, int(np.ceil(max(r[d] / whole[d] for d in DIMENSIONS) * shards * pieces)))) for r in big_rows
     ]
     cut = F.broadcast(spark.createDataFrame(cuts, "__group string, __pieces int"))
-    base = base.withColumn("__at", spread(F.col(doc_id), F.col("__group")))
+    first = F.col("__nth") == 0
+    base = base.withColumn("__at", F.when(first, spread(F.col(doc_id), F.col("__group"))).otherwise(
+        spread(F.col(doc_id), F.col("__group"), F.col("__nth")))).drop("__nth")
     piece = F.concat("__group", F.lit(":"), F.col("__at") % F.col("__pieces"))
     names = [r["unit"] for r in sorted(small)]
     vectors = [[r[d] / whole[d] for d in DIMENSIONS] for r in sorted(small)]
