@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 
-DEPTH_ROUNDS = 6  # suffixes are ordered by their first 2 ** 6 words, more than a window has
+DEPTH = 64  # suffixes are ordered by so many words at least
 
 
-def suffix_order(codes: np.ndarray) -> np.ndarray:
-    """Places sorted by the words from there on, up to 2 ** DEPTH_ROUNDS of them."""
+def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
+    """Places sorted by the words from there on, ``depth`` of them or more."""
     rank, n = codes.astype(np.int64), len(codes)
     order = np.argsort(rank, kind="stable")
-    for k in range(DEPTH_ROUNDS):
+    for k in range(max(depth - 1, 0).bit_length()):
         step = 1 << k
         after = np.zeros(n, np.int64)
         after[: n - step if n > step else 0] = rank[step:] + 1
@@ -60,7 +60,8 @@ class WaveletMatrix:
 class FMIndex:
     """Index of several word sequences; ``owner`` says to which document each belongs."""
 
-    def __init__(self, texts: list[np.ndarray], owners: np.ndarray):
+    def __init__(self, texts: list[np.ndarray], owners: np.ndarray, depth: int = DEPTH):
+        self.depth = depth
         flat = np.concatenate(texts)
         self.alphabet, code = np.unique(flat, return_inverse=True)
         lengths = np.array([len(t) for t in texts])
@@ -69,7 +70,7 @@ class FMIndex:
         place = np.arange(len(flat)) + np.repeat(np.arange(len(texts)), lengths)
         codes[place] = code + 1
         self.codes, self.lengths = codes, lengths
-        order = suffix_order(codes)
+        order = suffix_order(codes, depth)
         top = len(self.alphabet) + 1
         self.first = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=top))])
         bwt = codes[order - 1]
@@ -105,6 +106,8 @@ class FMIndex:
         they end ``threshold`` - 1 words after its start at the latest, where the search goes
         on.  After a shorter match no window ends at ``end``, so it goes on one word before.
         """
+        if threshold > self.depth:
+            raise ValueError(f"The suffixes are ordered by {self.depth} words; matches of {threshold} need more")
         n = len(self.lengths)
         end, at = self.lengths.copy(), self.lengths.copy()  # the match is at:end
         low, high = np.zeros(n, np.int64), np.full(n, len(self.codes), np.int64)

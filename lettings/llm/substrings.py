@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lettings.llm.common import (
     dealt_by_key, gram_hashes, hash_words, mix, slices, sorted_runs, split_words, starts_with_room, written,
@@ -151,7 +151,7 @@ def search_shards(contents: DataFrame, window: int) -> DataFrame:
                 texts = [np.frombuffer(w, np.uint64) for w in shard["words"].to_pylist()]
                 owners = shard["first"].to_numpy()
                 found: list[list[dict[str, int]]] = [[] for _ in texts]
-                for i, start, end in FMIndex(texts, owners).earlier_matches(owners, window):
+                for i, start, end in FMIndex(texts, owners, window).earlier_matches(owners, window):
                     found[i].append({"start": start, "end": end})
                 yield pa.RecordBatch.from_arrays(
                     [shard["content"].combine_chunks(), shard["first"].combine_chunks(), pa.array(found, kind)],
@@ -223,7 +223,33 @@ def repeated(df: DataFrame, key: str) -> DataFrame:
     return stable(ends.where("a < b").select(key))
 
 
-def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW) -> DataFrame:
+def identified(docs: DataFrame, text: str, doc_id: str) -> tuple[Column, DataFrame]:
+    """A column of 64 bits that stands for the text, and the smallest and last id of each text.
+
+    A second hash tells where different texts share the first; these get another one.
+    """
+    id_ = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID))
+    shared: list[int] = []
+    while True:
+        first = F.xxhash64(F.col(text))
+        name = F.when(first.isin(shared), F.xxhash64(F.lit(len(shared)), F.col(text))).otherwise(first) if shared else first
+        ids = stable(docs.select(id_.alias("id"), name.alias("class"), second_hash(F.col(text)).alias("h")).groupBy("class").agg(
+            F.min("id").alias("id"), F.max("id").alias("last"), F.min("h").alias("a"), F.max("h").alias("b"),
+        ))
+        more = [r[0] for r in ids.where("a <> b").select("class").collect()]  # about n^2 / 2^65 of n texts
+        if not more:
+            return name, ids.select("class", "id", "last")
+        shared += more
+
+
+def second_hash(text: Column) -> Column:
+    return F.xxhash64(F.lit(1), text)
+
+
+def repeats(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW,
+    identity: tuple[Column, DataFrame] | None = None,
+) -> DataFrame:
     """Per different text: ``class``, ``first`` (its smallest id) and the stretches ``gone`` of that document.
 
     Only texts with copies or stretches have a row.  What can repeat is found in two
@@ -233,15 +259,15 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window:
     meet in a shard.  The contents of a gram with more than ``SHARD_WORDS`` words are
     not indexed but compared window by window, so no shard grows with the input.
     """
+    name, ids = identity or identified(docs, text, doc_id)
     keyed = docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("class"),
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), name.alias("class"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     all_runs = written(runs(keyed, window))
     grams = repeated(all_runs, "gram")
     left = all_runs.join(grams, "gram", "left_semi").select("class", "start", "count").distinct()
     parts = left.groupBy("class").agg(F.collect_list(F.struct("start", "count")).alias("parts"))
-    ids = stable(keyed.groupBy("class").agg(F.min("id").alias("id"), F.max("id").alias("last")))
     parts = stable(parts.join(ids.select("class", "id"), "class"))
     small = fits(parts, "parts")
     found = keyed.join(F.broadcast(parts) if small else parts, ["id", "class"]).select("id", "class", "text", "parts")
@@ -275,9 +301,10 @@ def cut(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int
     ids do not remove each other's words; an empty table gives no rows; only the named
     columns are read.
     """
-    fate = repeats(docs, text, doc_id, window)
+    identity = identified(docs, text, doc_id)
+    fate = repeats(docs, text, doc_id, window, identity)
     small = fits(fate, "gone")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("class"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), identity[0].alias("class"), F.col(text).alias("text"))
     both = rows.join(F.broadcast(fate) if small else fate, "class", "left").select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"),
         (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)) > F.col("first")).alias("copy"), "gone",
