@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,12 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from lettings.llm.common import slices, split_words
+from lettings.llm.common import slices, split_words, written
 
 SEPARATORS = r"[\x00-/:-`{-\x7f]+"
 WINDOW, BLOCK, LANE = 13, 2, 1024
 TABLE_BITS = 18
-BLOCK_BYTES = 32 << 20  # of benchmark text held by a task at once
+BLOCK_BYTES = 8 << 20  # of benchmark text held by a task at once; its windows take some 20 times that
 
 
 class Patterns:
@@ -38,7 +37,7 @@ class Patterns:
         self.prefix = self.code(windows[:, : self.block])
 
     def code(self, blocks: np.ndarray) -> np.ndarray:
-        mixed = (blocks * self.factors).sum(axis=1)
+        mixed = (blocks.astype(np.int64) * self.factors).sum(axis=1)
         return (mixed ^ (mixed >> 15)) & self.bits
 
     def at(self, codes: np.ndarray, where: np.ndarray) -> np.ndarray:
@@ -89,16 +88,21 @@ class Matcher:
         flat, begins = split_words(pc.ascii_lower(pa.array([t for _, t in rows], pa.string())), SEPARATORS)
         self.vocabulary = pc.unique(flat)
         codes = pc.index_in(flat, value_set=self.vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
-        owners: dict[int, dict[tuple[int, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
-        for (name, _), a, b in zip(rows, begins, begins[1:], strict=False):
-            m = min(window, b - a)
-            for at in range(a, b - m + 1) if m else ():
-                owners[m][tuple(codes[at : at + m].tolist())].add(name)
-        self.names = {m: [sorted(s) for s in found.values()] for m, found in owners.items()}
-        self.patterns = [
-            Patterns(np.array(list(found), np.int64))
-            for _, found in sorted(owners.items())
-        ]
+        sizes = np.diff(begins)
+        self.names: dict[int, list[list[str]]] = {}
+        self.patterns = []
+        for m in np.unique(np.minimum(sizes[sizes > 0], window)).tolist():
+            item = np.flatnonzero(sizes >= window if m == window else sizes == m)
+            count = sizes[item] - m + 1
+            owner = np.repeat(item, count)
+            at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count - begins[:-1][item], count)
+            windows, which = np.unique(codes.astype(np.int32)[at[:, None] + np.arange(m)], axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([which.ravel(), owner], axis=1), axis=0)
+            named: list[list[str]] = [[] for _ in range(len(windows))]
+            for k, i in pairs.tolist():
+                named[k].append(rows[i][0])
+            self.names[m] = named
+            self.patterns.append(Patterns(windows))
 
     def codes(self, flat: pa.Array) -> np.ndarray:
         """Numbers of the words; all that no item has share one."""
@@ -110,8 +114,9 @@ def mark(docs: DataFrame, items: DataFrame, text: str = "text", keep: tuple[str,
          item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """The columns ``keep``, n_words, ``hits`` (merged stretches of hit words: start, end) and ``items``.
 
-    Items go to the tasks in blocks of a checked size, one after the other, so a task holds
-    one block of them at any size of the benchmark.
+    Items go to the tasks in blocks of a checked size, and what a block finds is written
+    before the next one starts, so a task and the driver hold one block of them at any size
+    of the benchmark.
 
     Null and empty texts have no words and no hits; null and empty items have no window; a
     null id of an item is the text ``None``; repeated rows each get their hits; columns
@@ -142,6 +147,9 @@ def mark(docs: DataFrame, items: DataFrame, text: str = "text", keep: tuple[str,
         out = before.select(*names, *([] if out is None else added)).mapInArrow(
             searcher(sent, column, [*keep] if final else names, window), wanted
         )
+        if not final:
+            out = written(out)
+            sent.destroy()
     return out
 
 
