@@ -11,17 +11,22 @@ KEY = "demo-key"
 LOCAL = r"(?<![0-9A-Za-z+])(?:1[ .-])?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
 PHONE = r"(?<![0-9A-Za-z+])\+[0-9](?:[ .()-]{0,2}[0-9]){7,14}(?![0-9A-Za-z])|" + LOCAL
 ADDRESS = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z])(?!\.[0-9])"
-MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])"
+# A domain has 127 parts at most; loops over parts are bounded or possessive, as others recurse once a part.
+MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,}(?![A-Za-z0-9])"
 ISO = r"(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])"
 YEAR_LAST = "|".join(f"[0-9]{{1,2}}{m}[0-9]{{1,2}}{m}[0-9]{{4}}" for m in ("/", "-", r"\."))
 DATE = ISO + rf"|(?<![0-9A-Za-z])(?<![0-9][./-])(?:[0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}}|{YEAR_LAST})(?![0-9A-Za-z]|[./-][0-9])"
 # Groups of digits of 13 digits or more, up to a value of another kind; the cards are looked for among the groups.
 GROUP = rf"(?!{LOCAL}|{DATE}|{ADDRESS}|{MAIL})[0-9]++(?![A-Za-z])"
-CARD = rf"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){{12}}){GROUP}(?:[ -]{GROUP})*+"
+# Between groups stand one or two blanks (plain, no-break or thin) or dashes, or one dot.
+MARK = r"(?:[ \u00A0\u2009\u202F-]{1,2}+|\.)"
+CARD = rf"(?<![0-9A-Za-z])(?=[0-9](?:{MARK}?[0-9]){{12}}){GROUP}(?:{MARK}{GROUP})*+"
 KINDS = {"mails": MAIL, "phones": PHONE, "addresses": ADDRESS, "dates": DATE, "cards": CARD}
 ANY = "|".join(KINDS.values())
 # The days of a date's domain: 250 times 292 from the first one, so that two halves fit exactly.
 FIRST_DAY, DAY_A, DAY_B = "1900-01-01", 250, 292
+#: Groups of digits looked at in a row.
+STRETCH = 64
 
 
 def prf(key: str, domain: str, i: int, value: Column) -> Column:
@@ -158,47 +163,69 @@ def cards_in(value: Column) -> Column:
     """Groups of digits cut in pieces (v, kind): the cards, and what stands between them.
 
     From each group of four digits on, the windows of whole groups with 13 to 19 digits and
-    a fitting check digit are cards; 4-4-4-4, 4-6-5, 4-6-4 and single groups come before longer ones.
+    a fitting check digit are cards, if dots stand between all groups or none; 4-4-4-4,
+    4-6-5, 4-6-4 and single groups come before longer ones.
     """
-    both = F.struct(F.split(value, "[ -]").alias("groups"), F.regexp_extract_all(value, F.lit("[ -]"), F.lit(0)).alias("marks"))
+    both = F.struct(F.split(value, MARK).alias("groups"), F.regexp_extract_all(value, F.lit(MARK), F.lit(0)).alias("marks"))
     return F.transform(F.array(both), lambda b: card_pieces(b["groups"], b["marks"]))[0]
 
 
 def card_pieces(groups: Column, marks: Column) -> Column:
+    """The groups are gone through in stretches, so that no list grows group by group over a long text."""
     n = F.size(groups)
 
     def ends(i: Column) -> Column:
         def rank(k: Column) -> Column:
-            window = F.slice(groups, i + 1, k)
+            window, between = F.slice(groups, i + 1, k), F.slice(marks, i + 1, k - 1)
             digits = F.array_join(window, "")
             shape = F.array_join(F.transform(window, lambda g: F.length(g).cast("string")), "-")
-            fits = F.length(digits).between(13, 19) & (F.pmod(luhn_sum(digits), F.lit(10)) == 0)
+            dots = F.size(F.filter(between, lambda m: m == "."))
+            fits = F.length(digits).between(13, 19) & (F.pmod(luhn_sum(digits), F.lit(10)) == 0) & dots.isin(F.lit(0), k - 1)
             usual = (k == 1) | shape.isin("4-4-4-4", "4-6-5", "4-6-4")
             return F.when(fits, F.when(usual, F.lit(100)).otherwise(F.lit(0)) + k)
         ranks = F.transform(F.sequence(F.lit(1), F.least(n - i, F.lit(16))), rank)
         return F.when(F.length(groups[i]) >= 4, F.array_max(ranks))
 
-    def grown(cuts: Column, i: Column) -> Column:
-        free = F.coalesce(F.try_element_at(cuts, F.lit(-1)), F.lit(-1)) < i
-        best = F.when(free, ends(i))
-        return F.transform(F.array(best), lambda b: F.when(
-            b.isNotNull(), F.concat(cuts, F.array(i, i + F.pmod(b, F.lit(100)) - 1))
-        ).otherwise(cuts))[0]
-
-    cuts = F.aggregate(F.sequence(F.lit(0), n - 1), F.array().cast("array<int>"), grown)
-
-    def marked(c: Column) -> Column:
-        opens = F.filter(c, lambda _, at: at % 2 == 0)
-        closes = F.filter(c, lambda _, at: at % 2 == 1)
-        return F.array_join(F.transform(groups, lambda g, i: F.concat(
-            F.when(i > 0, F.get(marks, i - 1)).otherwise(F.lit("")), F.when(F.array_contains(opens, i), "<").otherwise(F.lit("")),
-            g, F.when(F.array_contains(closes, i), ">").otherwise(F.lit("")),
-        )), "")
-
-    pieces = F.regexp_extract_all(F.transform(F.array(cuts), marked)[0], F.lit("<[^>]*>|[^<>]+"), F.lit(0))
-    return F.transform(pieces, lambda p: F.struct(
-        F.regexp_replace(p, "[<>]", "").alias("v"), F.when(F.startswith(p, F.lit("<")), F.lit("cards")).alias("kind")
-    ))
+    def grown(state: Column, i: Column) -> Column:
+        best = F.when(state["free"] <= i, ends(i))
+
+        def with_card(last: Column) -> Column:
+            cut = F.array(F.struct(i.alias("a"), last.alias("b")))
+            return F.struct(
+                F.coalesce(last + 1, state["free"]).alias("free"),
+                F.when(last.isNull(), state["cuts"]).otherwise(F.concat(state["cuts"], cut)).alias("cuts"),
+            )
+        return F.transform(F.array(i + F.pmod(best, F.lit(100)) - 1), with_card)[0]
+
+    def stretch(state: Column, first: Column) -> Column:
+        inside = F.sequence(first, F.least(first + STRETCH, n) - 1)
+        start = F.struct(state["free"].alias("free"), F.array().cast("array<struct<a:int,b:int>>").alias("cuts"))
+        return F.transform(F.array(F.aggregate(inside, start, grown)), lambda s: F.struct(
+            s["free"].alias("free"), F.concat(state["all"], F.array(s["cuts"])).alias("all")
+        ))[0]
+
+    nothing = F.struct(F.lit(0).alias("free"), F.array().cast("array<array<struct<a:int,b:int>>>").alias("all"))
+    cuts = F.aggregate(F.sequence(F.lit(0), n - 1, F.lit(STRETCH)), nothing, stretch, lambda s: F.flatten(s["all"]))
+    led = F.zip_with(F.concat(F.array(F.lit("")), marks), groups, lambda m, g: F.concat(m, g))
+
+    def pieces(x: Column) -> Column:
+        cut, lead = x["cuts"], x["led"]
+
+        def joined(first: Column, last: Column) -> Column:
+            return F.array_join(F.slice(lead, first + 1, last - first + 1), "")
+
+        def both(c: Column, nth: Column) -> Column:
+            before = F.coalesce(F.get(cut, nth - 1)["b"] + 1, F.lit(0))
+            mark = F.when(c["a"] > 0, F.get(marks, c["a"] - 1)).otherwise(F.lit(""))
+            return F.array(
+                F.struct(F.concat(joined(before, c["a"] - 1), mark).alias("v"), F.lit(None).cast("string").alias("kind")),
+                F.struct(F.concat(groups[c["a"]], joined(c["a"] + 1, c["b"])).alias("v"), F.lit("cards").alias("kind")),
+            )
+        after = F.coalesce(F.try_element_at(cut, F.lit(-1))["b"] + 1, F.lit(0))
+        rest = F.struct(joined(after, n - 1).alias("v"), F.lit(None).cast("string").alias("kind"))
+        return F.concat(F.flatten(F.transform(cut, both)), F.array(rest))
+
+    return F.transform(F.array(F.struct(cuts.alias("cuts"), led.alias("led"))), pieces)[0]
 
 
 def mail(value: Column, key: str) -> Column:
@@ -239,7 +266,8 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
     different, and who has the key can undo it.  Mail addresses have no fixed format to
     permute in; they get a keyed pseudonym with the same shape of the local part.
 
-    Cards are found among groups of digits with single blanks or dashes; phones with a plus
+    Cards are found among groups of digits with one or two blanks (also no-break and thin
+    ones) or dashes, or with dots, between them, not where a letter touches the digits; phones with a plus
     (8 to 15 digits) or as North American ones with brackets, dots or dashes; dates as
     yyyy-mm-dd, yyyy/mm/dd and with the year last (by dots the day first, else the month
     first if it can be).  Plain digits without a plus are no phone, and names of months no date;
