@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lettings.llm.common import SPACES, spread, words
+from lettings.llm.common import SPACES, spread, words, written
 from lettings.session import stable
 
 MAX_LABELS = 20_000
@@ -179,7 +179,7 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     model = fit(docs, labels, text, doc_id)
     docs = docs.drop("document_p", "host_posterior", "path_posterior", "posterior", "kept", "good", "n", "prior_rows")
     scored = evidence(docs, model, text, host, path)
-    if not keep_text:  # then the scores alone are written, and texts are read once
-        scored = stable(scored.drop(text))
+    # the scores are written, so that each text is looked at once
+    scored = written(scored) if keep_text else stable(scored.drop(text))
     site, mean = sites(scored)
     return combine(scored, site, mean, threshold)
