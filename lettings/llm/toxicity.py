@@ -9,10 +9,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from lettings.llm.common import slices, split_words, spread
 from lettings.llm.quality import features, fit_logistic
+from lettings.session import stable
 
 MAX_LABELS, WORDS, FOLDS = 20_000, 128, 5
 NOT_LETTERS = r"\PL+"
@@ -59,7 +60,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], text: str
 
     The vocabulary is, per category, the ``n_words`` words whose presence tells most
     (log-likelihood ratio), from counts grouped in Spark.  The sample reaches the driver as
-    numbers and word places only.
+    numbers and word places only.  Their texts are read once, and cut in words as in scoring.
     """
     usable = labels.where(F.col(doc_id).isNotNull())
     for c in categories:
@@ -67,10 +68,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], text: str
     some = usable.groupBy(doc_id).agg(*[F.max(c).cast("int").alias(f"__y{i}") for i, c in enumerate(categories)])
     some = F.broadcast(some.orderBy(spread(F.col(doc_id)), doc_id).limit(max_labels))
     ys = [f"__y{i}" for i in range(len(categories))]
-    rows = docs.select(doc_id, text).join(some, doc_id).select(
-        doc_id, *ys, features(F.col(text)).alias("__x"),
-        F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\P{L}+"), lambda w: w != "")).alias("__w"),
-    )
+    sample = docs.select(doc_id, F.col(text).alias("__text")).join(some, doc_id).select(
+        F.col(doc_id).alias("__id"), *ys, features(F.col("__text")).alias("__x"), "__text")
+    rows = stable(word_lists(sample).withColumnRenamed("__id", doc_id))
     n, *positive = rows.agg(F.count(F.lit(1)), *[F.sum(y) for y in ys]).first()
     counts = rows.select(F.explode("__w").alias("w"), *ys).groupBy("w").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in ys]
@@ -94,6 +94,28 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], text: str
     return Chain(tuple(categories), tuple(vocabulary), numbers.shape[1], tuple(models))
 
 
+def letter_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-cased runs of letters of each text, and where a text's runs begin."""
+    return split_words(pc.utf8_lower(pc.fill_null(texts, "")), NOT_LETTERS)
+
+
+def word_lists(rows: DataFrame) -> DataFrame:
+    """``__w``, the distinct words, in place of ``__text``."""
+    fields = [f for f in rows.schema.fields if f.name != "__text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "__text"):
+                flat, begins = letter_words(batch.column(batch.schema.get_field_index("__text")))
+                lists = [pc.unique(flat.slice(a, b - a)).to_pylist() for a, b in zip(begins, begins[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(batch.schema.get_field_index(f.name)) for f in fields], pa.array(lists, pa.list_(pa.string()))],
+                    names=[*[f.name for f in fields], "__w"],
+                )
+
+    return rows.mapInArrow(run, StructType([*fields, StructField("__w", ArrayType(StringType()))]))
+
+
 def ratio(y: str, positive: int, n: int):
     """Log-likelihood ratio of a word's presence and the label."""
     def cell(observed, row, column):
@@ -124,8 +146,7 @@ def predict(docs: DataFrame, chain: Chain, text: str = "text", keep: tuple[str,
         for whole in batches:
             for batch in slices(whole, "__text"):
                 names, rows = batch.schema.names, len(batch)
-                lower = pc.utf8_lower(pc.fill_null(batch.column(names.index("__text")), ""))
-                flat, begins = split_words(lower, NOT_LETTERS)
+                flat, begins = letter_words(batch.column(names.index("__text")))
                 found = pc.index_in(flat, value_set=vocabulary)
                 known = found.is_valid().to_numpy(zero_copy_only=False)
                 row = np.repeat(np.arange(rows), np.diff(begins))[known]
