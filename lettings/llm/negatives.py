@@ -114,7 +114,7 @@ def same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Search:
     """The best ``k`` points in each window of each query, higher scores first, ties by smallest id."""
 
-    def __init__(self, tree: CoverTree, queries: Queries, k: int, same: bool) -> None:
+    def __init__(self, tree: CoverTree, queries: Queries, k: int, same: bool, floor: np.ndarray | None = None) -> None:
         self.tree, self.queries, self.k, self.same = tree, queries, k, same
         self.at, self.of = same_width(tree.vectors, queries.vectors)
         wide = float(np.abs(self.at).max(initial=0)) * float(np.abs(self.of).max(initial=0)) * self.at.shape[1]
@@ -123,7 +123,7 @@ class Search:
         n, w = queries.low.shape
         self.scores = np.full((n, w, k), np.iinfo(np.int64).min, np.int64)
         self.found = np.full((n, w, k), -1, np.int64)
-        self.floor = queries.low.copy()  # scores below cannot enter a window any more
+        self.floor = (queries.low if floor is None else np.maximum(queries.low, floor)).copy()  # lower scores cannot enter any more
         self.verified = 0
 
     def run(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -192,6 +192,44 @@ class Search:
         self.floor[old, w] = np.maximum(self.floor[old, w], self.scores[old, w, self.k - 1])
 
 
+class Best:
+    """The best ``k`` rows in each window of a block's queries over all trees so far."""
+
+    def __init__(self, queries: Queries, k: int) -> None:
+        self.queries, self.k = queries, k
+        shape = (*queries.low.shape, k)
+        self.scores = np.full(shape, np.iinfo(np.int64).min, np.int64)
+        self.ids = np.full(shape, NONE, np.int64)
+        self.own = np.zeros(shape, bool)
+
+    def add(self, tree: CoverTree, same: bool) -> None:
+        q, w, p, s = Search(tree, self.queries, self.k, same, self.scores[:, :, -1]).run()
+        n = (tree.ids[p] != NONE).sum(axis=1)
+        own = np.array([self.queries.keys[a] == tree.keys[b] for a, b in zip(q.tolist(), p.tolist(), strict=True)], bool)
+        old = np.nonzero(self.ids != NONE)
+        q, w = np.concatenate([np.repeat(q, n), old[0]]), np.concatenate([np.repeat(w, n), old[1]])
+        s = np.concatenate([np.repeat(s, n), self.scores[old]])
+        ids = np.concatenate([tree.ids[p][tree.ids[p] != NONE], self.ids[old]])
+        own = np.concatenate([np.repeat(own, n), self.own[old]])
+        order = np.lexsort((ids, -s, w, q))
+        q, w, s, ids, own = q[order], w[order], s[order], ids[order], own[order]
+        if not len(q):
+            return
+        starts = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (w[1:] != w[:-1])]))
+        place = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+        first = place < self.k
+        at = q[first], w[first], place[first]
+        self.scores[at], self.ids[at], self.own[at] = s[first], ids[first], own[first]
+
+    def rows(self) -> pa.RecordBatch:
+        q, w, k = np.nonzero(self.ids != NONE)
+        ids = self.ids[q, w, k]
+        return pa.RecordBatch.from_pydict({
+            "key": pa.array(self.queries.keys, pa.string()).take(pa.array(q)), "source": self.queries.sources[q, w],
+            "score": self.scores[q, w, k], "id": pa.array(ids, mask=ids == NONE - 1), "own": self.own[q, w, k],
+        })
+
+
 def quantised(vector: Column, scale: int = SCALE) -> Column:
     """``floor(scale * x)`` of each component, as doubles are multiplied; saturated at 2^26 in size."""
     return F.transform(
@@ -302,28 +340,25 @@ FOUND = "key string, source long, score long, id long, own boolean"
 
 
 def searched(trees: DataFrame, blocks: DataFrame, k: int, same: bool) -> DataFrame:
-    """The best ``k`` rows per query and window, from each tree; every block of queries meets every tree that can have some.
+    """The best ``k`` rows per query and window; every block of queries meets every tree that can have some.
 
-    Blocks are sent to the trees' tasks in portions of bounded size, one portion after the other.
+    Blocks are sent to the trees' tasks in portions of bounded size, one portion after the
+    other.  What a task's earlier trees have found raises the bounds for the later ones, and
+    only the task's best rows leave it.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = tree = None
+        best: dict[int, Best] = {}
         for batch in batches:
-            for piece, block in zip(batch.column("piece"), batch.column("block"), strict=True):
+            for number, piece, block in zip(*[batch.column(c) for c in ("number", "piece", "block")], strict=True):
                 piece = piece.as_buffer()
                 if held is None or not piece.equals(held):
                     held, tree = piece, restored(CoverTree, piece)
-                queries = restored(Queries, block.as_buffer())
-                q, w, p, s = Search(tree, queries, k, same).run()
-                n = (tree.ids[p] != NONE).sum(axis=1)
-                row = np.repeat(np.arange(len(q)), n)
-                ids = tree.ids[p][tree.ids[p] != NONE]
-                own = [queries.keys[a] == tree.keys[b] for a, b in zip(q.tolist(), p.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({
-                    "key": pa.array(queries.keys, pa.string()).take(pa.array(q[row])),
-                    "source": queries.sources[q, w][row], "score": s[row],
-                    "id": pa.array(ids, mask=ids == NONE - 1), "own": np.array(own, bool)[row],
-                })
+                if number.as_py() not in best:
+                    best[number.as_py()] = Best(restored(Queries, block.as_buffer()), k)
+                best[number.as_py()].add(tree, same)
+        for found in best.values():
+            yield found.rows()
 
     spark = trees.sparkSession
     sized = blocks.select("number", F.octet_length("block").alias("bytes")).orderBy("number").collect()  # a number per block
@@ -344,7 +379,7 @@ def searched(trees: DataFrame, blocks: DataFrame, k: int, same: bool) -> DataFra
     with small_batches(spark, 8):
         for numbers in portions:
             portion = b.where(F.col("number").between(numbers[0], numbers[-1]))
-            both = t.join(F.broadcast(portion), meet).select("t.piece", "b.block")
+            both = t.join(F.broadcast(portion), meet).select("b.number", "t.piece", "b.block")
             parts.append(written(both.mapInArrow(run, FOUND)))
     out = parts[0] if parts else spark.createDataFrame([], FOUND)
     for part in parts[1:]:
