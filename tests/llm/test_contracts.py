@@ -386,3 +386,125 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (200, 150), (7, 7)]
     got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {**dict.fromkeys(range(1, 61), 1), 100: 100, 200: 100, 150: 100}
+
+
+def test_pseudonyms_of_very_long_texts(spark):
+    mega = 1 << 20
+    texts = [
+        "a@b" + ".c" * (mega // 2), "." * mega, "1" * mega, "1234 " * (mega // 5), "4111111111111111 " * (mega // 17),
+        "a@" * (mega // 2), "a@b.com " * (mega // 64), "0000-" * (mega // 5), "1.2.3.4." * (mega // 8), "+1" * (mega // 2),
+        "a@" + "b-" * (mega // 2),
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(len(texts))
+    out = {r["doc_id"]: r for r in pseudonyms.pseudonymise(df).collect()}
+    assert out[4]["n_cards"] == mega // 17 and len(set(out[4]["text"].split())) == 1 and "4111" not in out[4]["text"][:5]
+    assert out[6]["n_mails"] == mega // 64 and "b.com" not in out[6]["text"]
+    assert [out[i]["text"] == texts[i] for i in (1, 2, 5)] == [True] * 3
+
+
+def test_cards_between_other_marks(spark):
+    cards = ["4111 1111 1111 1111", "4111  1111  1111  1111", "4111.1111.1111.1111", "4111 - 1111"]
+    texts = [f"pay {c} now" for c in cards] + ["in 1234.5678 of 9012"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pseudonyms.pseudonymise(df).collect()}
+    assert [out[i]["n_cards"] for i in range(5)] == [1, 1, 1, 0, 0]
+    for i in range(3):
+        digits = re.sub("[^0-9]", "", out[i]["text"])
+        assert len(digits) == 16 and luhn(digits) and digits != "4" + "1" * 15
+        assert re.sub("[0-9]", "1", out[i]["text"]) == re.sub("[0-9]", "1", texts[i])
+    many = " ".join(["7"] * 70 + ["4111", "1111", "1111", "1111"] * 40)
+    got = pseudonyms.pseudonymise(spark.createDataFrame([(many,)], "text string")).first()
+    assert got["n_cards"] == 40 and got["text"].split()[:70] == ["7"] * 70
+
+
+def test_mix_of_a_small_source_and_a_larger_limit(spark):
+    rows = [(i, "word " * 50, "big") for i in range(40)] + [(100, "few words here " * 3 + "x", "small")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.sum("size").alias("size")).collect()
+    small = next(r for r in got if r["source"] == "small")
+    assert (small["size"], small["target"], small["taken"]) == (10, 20.0, 20)
+    got = mixing.mix(df, limit=3.0, share=2.5).collect()
+    for name in ("big", "small"):
+        own = [r for r in got if r["source"] == name]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1 + own[0]["target"] * 0.01
+    assert max(r["taken"] / r["size"] for r in got) > 2
+
+
+def test_rows_of_one_id_are_dealt_out(spark):
+    rows = [(i, f"text {i} " * 5) for i in range(4000)] + [(None, "the same text " * 4)] * 2000
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6).withColumn("source", F.lit("s"))
+    per = sharding.pack(df).groupBy("shard").agg(F.sum("size").alias("b"), F.max("slot").alias("m"), F.count("*").alias("n")).collect()
+    assert len(per) == 24 and all(r["m"] == r["n"] - 1 for r in per)
+    assert max(r["b"] for r in per) < 1.05 * min(r["b"] for r in per)
+    numbered = common.numbered_copies(df, ["doc_id", "text"], "nth").groupBy("doc_id").agg(
+        F.min("nth").alias("a"), F.max("nth").alias("b"), F.countDistinct("nth").alias("n")).collect()
+    assert all((r["a"], r["b"] + 1) == (0, r["n"]) and r["n"] == (2000 if r["doc_id"] is None else 1) for r in numbered)
+    got = mixing.mix(df).select("doc_id", "size", "taken")
+    assert fx.ordered(got.collect()) == fx.ordered(mixing.mix(df.repartition(3)).select("doc_id", "size", "taken").collect())
+
+
+def test_components_of_a_shuffled_path(spark, monkeypatch):
+    n, rounds = 3000, []
+    order = list(range(n))
+    random.Random(3).shuffle(order)
+    stable = common.stable
+    monkeypatch.setattr(common, "stable", lambda df: rounds.append(1) or stable(df))
+    edges = spark.createDataFrame(list(zip(order, order[1:], strict=False)) + [(n, n + 1), (n + 2, n + 2)], "a long, b long")
+    got = {r["node"]: r["root"] for r in common.components(edges, "a", "b").collect()}
+    assert got == {**dict.fromkeys(range(n), 0), n: n, n + 1: n}
+    assert len(rounds) <= 2 + 3 * 20
+
+
+def test_matches_longer_than_the_usual_window(spark):
+    rng = random.Random(21)
+    shared = fx.prose(rng, 140, 3)
+    rows = [(i, " ".join(fx.prose(rng, 20, 3) + shared[: 60 + 10 * i] + fx.prose(rng, 90, 3)), "en", "a", 0) for i in range(9)]
+    for window in (50, 80, 100):
+        got = substrings.cut(spark.createDataFrame(rows, fx.SCHEMA), window=window).collect()
+        assert fx.ordered(got) == fx.ordered(fx.without_repeats(rows, window))
+    with pytest.raises(ValueError, match="need more"):
+        FMIndex([np.arange(9).astype(np.uint64)], np.array([1])).earlier_matches(np.array([1]), 65)
+
+
+def test_texts_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None)], "doc_id long, text string")
+    monkeypatch.setattr(substrings, "second_hash", lambda text: F.coalesce(F.xxhash64(text), F.lit(0)))
+    name, ids = substrings.identified(df, "text", "doc_id")
+    assert ids.count() == 3 and df.select(name.alias("c")).distinct().count() == 3
+    real = F.xxhash64
+    monkeypatch.setattr(F, "xxhash64", lambda *c: real(*c) if len(c) > 1 else F.lit(7).cast("long"))
+    monkeypatch.setattr(substrings, "second_hash", lambda text: real(F.lit(1), text))
+    name, ids = substrings.identified(df, "text", "doc_id")
+    assert ids.count() == 3 and df.select(name.alias("c")).distinct().count() == 3
+
+
+def test_near_duplicate_stage_removes_rows_without_id_and_repeated_rows(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    base, other = fx.prose(rng, 80, 9000), fx.prose(rng, 80, 9000)
+    close = [*base[:40], "y", *base[41:]]  # 71 of 81 shingles
+    rows = [
+        (5, " ".join(base), "en", "a", 0), (5, " ".join(base), "en", "a", 0), (5, "  ".join(base), "en", "a", 0),
+        (None, " ".join(close), "en", "a", 0), (None, " ".join(other), "en", "a", 0), (None, " ".join(other), "en", "b", 0),
+        (7, " ".join(base).upper(), "de", "a", 0), (8, None, "en", "a", 0), (8, None, "en", "a", 0), (None, "", None, None, None),
+    ]
+    df = spark.createDataFrame(rows, fx.SCHEMA).repartition(4)
+    got = corpus_pipeline.deduplicated(spark, df, "").collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["5", "8", "8", "None", "None"]
+    assert sum(r["text"] == " ".join(other) for r in got) == 1
+
+
+def test_recall_against_all_pairs(spark):
+    """Near copies at 80 to 90 %: all of the pairs that any two documents make are linked."""
+    rng = random.Random(17)
+    rows = []
+    for i in range(0, 1200, 2):
+        words = fx.prose(rng, 204, 90_000)
+        copy = list(words)
+        for at in rng.sample(range(2, 202, 5), 5 if i % 4 else 4):  # some 180 or 184 of 200 shingles: 81 to 85 %
+            copy[at] = f"z{rng.randrange(10**9)}"
+        rows += [(i, " ".join(words), "en", "a", 0), (i + 1, " ".join(copy), "en", "a", 0)]
+    got = neardup.link(spark.createDataFrame(rows, fx.SCHEMA), percent=80).collect()
+    assert fx.ordered(got) == fx.ordered(fx.near_duplicates(rows, 80))
+    assert sum(not r["kept"] for r in got) >= 300

@@ -49,7 +49,7 @@ def test_stages(spark):
     assert sum(right) >= 0.97 * len(right)
 
     unique = corpus_pipeline.deduplicated(spark, docs, SF).collect()
-    assert sorted(r["doc_id"] for r in unique) == sorted(r[0] for r in fx.near_duplicates([tuple(r) for r in rows]) if r[3])
+    assert sorted(r["doc_id"] for r in unique) == sorted(r[0] for r in fx.near_duplicates([tuple(r) for r in rows], corpus_pipeline.NEAR_PERCENT) if r[3])
 
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     clean = corpus_pipeline.decontaminated(spark, docs, SF).collect()
