@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lettings.llm import decontamination, mixing, neardup, quality, sharding
-from lettings.llm.common import table
-from lettings.session import shared_folder
+from lettings.llm.common import scratch, table, written
+from lettings.operators import windows
+from lettings.session import remove_folder, shared_folder
 
+NEAR_PERCENT = 80
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -21,14 +23,20 @@ def judged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near duplicates.
+    """One row of each group of near duplicates, the one with the smallest id (nulls last).
 
-    Links begin at ``neardup.PERCENT`` (85 % of the shingles), so copies that are 80 to 85 % alike stay.
-    Rows that repeat an id are one document; those with equal text are left as they are.
+    Documents with 80 % of their shingles in common are linked.  Of rows that repeat an id
+    and a text one stays, so does one of copies without an id; rows without words all stay.
     """
-    linked = neardup.link(docs.select("doc_id", "text"))
-    gone = linked.where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    listed = written(neardup.redundant(docs, percent=NEAR_PERCENT))
+    same = F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.md5("d.text") == F.col("l.text_md5"))
+    marked = docs.alias("d").join(listed.alias("l"), same, "left").select("d.*", "l.stay")
+    unique = marked.where("stay is null").select(*COLUMNS)
+    if listed.where("stay = 1").isEmpty():
+        return unique
+    order = [F.col(c).asc_nulls_last() for c in ("lang", "source", "n_chars")]
+    return unique.union(windows.top_k_per(marked.where("stay = 1"), ["doc_id", "text"], 1, order).select(*COLUMNS))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +69,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as Parquet and read again."""
+    """All stages over ``documents``; each result is written as Parquet and read again.
+
+    What a stage writes on its way, and the result before, are removed once its own result is there.
+    """
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
         docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        if i:
+            remove_folder(spark, f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
