@@ -110,6 +110,13 @@ def unit_vector(lon: ColumnLike, lat: ColumnLike) -> Column:
     )
 
 
+def chord(unit_a: ColumnLike, unit_b: ColumnLike) -> Column:
+    """Straight distance of two points on the unit sphere."""
+    a, b = as_col(unit_a), as_col(unit_b)
+    steps = [a[axis] - b[axis] for axis in ("x", "y", "z")]
+    return F.sqrt(steps[0] * steps[0] + steps[1] * steps[1] + steps[2] * steps[2])
+
+
 def is_within(unit_a: ColumnLike, unit_b: ColumnLike, metres: float) -> Column:
     """Great-circle distance at most ``metres``, by the squared chord of unit vectors."""
     a, b = as_col(unit_a), as_col(unit_b)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,36 +18,48 @@ METRES_PER_DEGREE = 111195.0
 
 
 def area_cells(areas: DataFrame, cols: Sequence[str], cell: float = CELL_DEG) -> DataFrame:
-    """One row per area and grid cell of its box, with the edges that matter there.
+    """One row per area and grid cell that it covers or whose border crosses it: ``__edges`` to test and ``__odd``.
 
-    A ray to the east from inside a cell can only meet edges that overlap the
-    cell's rows and do not end west of it, so each cell carries just those.
+    Edges become rows of their own and meet again per area and row of the grid, so an area
+    with many edges is many tasks.  A ray to the east from inside a cell meets the edges of
+    the cell, and from those further east either all that pass through the whole row, which
+    only their parity ``__odd`` tells, or some that end in it.  A cell without an edge of its
+    own is wholly inside (nothing to test) or wholly outside (no row).
     """
-    boxed = areas.select(
-        *cols, geo.edges("boundary").alias("__edges"), geo.bounds("boundary").alias("__box")
+    numbered = areas.select(*cols, "boundary", F.monotonically_increasing_id().alias("__area"))
+    named = numbered.select(*cols, "__area", F.explode(geo.edges("boundary")).alias("__e"))
+    slack = cell * 1e-6  # a hair, so that rounding in x / cell never loses an edge
+    low_y, high_y = F.least("__e.y0", "__e.y1"), F.greatest("__e.y0", "__e.y1")
+    first, last = F.floor((low_y - slack) / cell).cast("bigint"), F.floor((high_y + slack) / cell).cast("bigint")
+    rows = named.withColumn("__cy", F.explode(F.sequence(first, last))).groupBy("__area", *cols, "__cy").agg(
+        F.collect_list("__e").alias("__all"),
+        F.min(F.least("__e.x0", "__e.x1")).alias("__low"), F.max(F.greatest("__e.x0", "__e.x1")).alias("__high"),
     )
+    columns = F.sequence(F.floor((F.col("__low") - slack) / cell).cast("bigint"), F.floor((F.col("__high") + slack) / cell).cast("bigint"))
+    cells = rows.withColumn("__cx", F.explode(columns))
+    west, south = F.col("__cx") * cell - slack, F.col("__cy") * cell - slack
+    east, north = (F.col("__cx") + 1) * cell + slack, (F.col("__cy") + 1) * cell + slack
 
-    def cells(low: str, high: str) -> Column:
-        first = F.floor(F.col(f"__box.{low}") / cell).cast("bigint")
-        last = F.floor(F.col(f"__box.{high}") / cell).cast("bigint")
-        return F.explode(F.sequence(first, last))
+    def beyond(e: Column) -> Column:
+        return F.least(e["x0"], e["x1"]) > east
 
-    placed = boxed.select(*cols, "__edges", "__box", cells("xmin", "xmax").alias("__cx"))
-    placed = placed.select("*", cells("ymin", "ymax").alias("__cy"))
-    # a hair of slack, so that rounding in x / cell never loses an edge
-    slack = cell * 1e-6
-    west = F.col("__cx") * cell - slack
-    south, north = F.col("__cy") * cell - slack, (F.col("__cy") + 1) * cell + slack
+    def passes(e: Column) -> Column:
+        return beyond(e) & (F.least(e["y0"], e["y1"]) < south) & (F.greatest(e["y0"], e["y1"]) > north)
 
-    def matters(e: Column) -> Column:
-        return (
-            (F.greatest(e["y0"], e["y1"]) >= south)
-            & (F.least(e["y0"], e["y1"]) <= north)
-            & (F.greatest(e["x0"], e["x1"]) >= west)
-        )
+    def of_cell(e: Column) -> Column:
+        return (F.greatest(e["x0"], e["x1"]) >= west) & ~beyond(e)
 
-    near = placed.select(*cols, "__cx", "__cy", F.filter("__edges", matters).alias("__edges"))
-    return near.where(F.size("__edges") > 0)
+    def tested(e: Column) -> Column:
+        return of_cell(e) | (beyond(e) & ~passes(e))
+
+    middle = geo.crossings(F.filter("__all", beyond), (F.col("__cx") + 0.5) * cell, (F.col("__cy") + 0.5) * cell) % 2
+    crossed = F.exists("__all", of_cell)
+    found = cells.select(
+        *cols, "__cx", "__cy",
+        F.when(crossed, F.filter("__all", tested)).otherwise(F.array_except("__all", "__all")).alias("__edges"),
+        F.when(crossed, F.size(F.filter("__all", passes)) % 2).otherwise(middle).alias("__odd"),
+    )
+    return found.where((F.size("__edges") > 0) | (F.col("__odd") == 1))
 
 
 def point_in_area(
@@ -57,7 +71,10 @@ def point_in_area(
     lat: str = "latitude",
     cell: float = CELL_DEG,
 ) -> DataFrame:
-    """Points next to the areas that contain them; ``left`` keeps the others."""
+    """Points next to the areas that contain them; ``left`` keeps the others.
+
+    A cell has a row per area only, so one that holds many points is cut by the skew join.
+    """
     cells = area_cells(areas, cols, cell)
     # points without a position match nothing; they are spread out instead of sharing one NULL key
     nowhere = -(1 << 40) - F.pmod(F.xxhash64(*points.columns), F.lit(1 << 20))
@@ -67,9 +84,9 @@ def point_in_area(
     test = (
         (F.col("__px") == F.col("__cx"))
         & (F.col("__py") == F.col("__cy"))
-        & geo.contains("__edges", lon, lat)
+        & ((geo.crossings("__edges", lon, lat) + F.col("__odd")) % 2 == 1)
     )
-    return placed.join(cells, test, how).drop("__px", "__py", "__cx", "__cy", "__edges")
+    return placed.join(cells, test, how).drop("__px", "__py", "__cx", "__cy", "__edges", "__odd")
 
 
 def extent(areas: DataFrame) -> DataFrame:
@@ -153,29 +170,92 @@ def split_hot_cells(
 def within_distance(
     left: DataFrame, right: DataFrame, metres: float, how: str = "left",
     left_at: tuple[str, str] = ("longitude", "latitude"),
-    right_at: tuple[str, str] = ("poi_longitude", "poi_latitude"),
+    right_at: tuple[str, str] = ("poi_longitude", "poi_latitude"), rows: int = ROWS_PER_SPLIT,
 ) -> DataFrame:
-    """All pairs within ``metres``; ``left`` keeps rows without a partner."""
+    """All pairs within ``metres``; ``left`` keeps rows without a partner.
+
+    Full cells are cut in parts on both sides, and every part meets every other once.
+    Whether a row has a partner at all is told by its position, from counts
+    (:func:`nearby_counts`), so rows without one are added to the pairs of all parts.
+    Where pairs are not wanted themselves, the counts alone are far fewer rows.
+    """
     here = home_cell(left.withColumn("__u", geo.unit_vector(*left_at)), *left_at, metres)
     there = neighbour_cells(right.withColumn("__v", geo.unit_vector(*right_at)), *right_at, metres)
-    there = there.withColumnRenamed("__cx", "__nx").withColumnRenamed("__cy", "__ny")
-    test = (
-        (F.col("__cx") == F.col("__nx"))
-        & (F.col("__cy") == F.col("__ny"))
-        & geo.is_within("__u", "__v", metres)
-    )
-    return here.join(there, test, how).drop("__cx", "__cy", "__nx", "__ny", "__u", "__v")
+    here, there, on = split_hot_cells(
+        here.where(F.col("__cx").isNotNull() & F.col("__cy").isNotNull()), there, ["__cx", "__cy"], (left.columns, right.columns), rows)
+    there = there.select(*[F.col(k).alias(f"__r{k}") for k in on], "__v", *right.columns)
+    test = geo.is_within("__u", "__v", metres)
+    for k in on:
+        test = (F.col(k) == F.col(f"__r{k}")) & test
+    pairs = here.join(there, test).select(*left.columns, *right.columns)
+    if how == "inner":
+        return pairs
+    places = left.select(F.col(left_at[0]).alias("longitude"), F.col(left_at[1]).alias("latitude")).distinct()
+    points = right.select(F.col(right_at[0]).alias("longitude"), F.col(right_at[1]).alias("latitude"))
+    near = nearby_counts(places.withColumn("__n", F.lit(0)), "__n", points, {"__points": F.count(F.lit(1))}, metres, at=True)
+    lonely = near.where(F.col("__points") == 0).select(
+        F.col("longitude").alias(left_at[0]), F.col("latitude").alias(left_at[1]), F.lit(True).alias("__lonely"))
+    alone = join_null_safe(left, lonely, list(left_at)).drop("__lonely")
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields]
+    return pairs.unionByName(alone.select(*left.columns, *empty))
+
+
+#: Sides of the nodes' levels as parts of the distance; each node has the nodes of the next level in four rows and columns.
+NODE_LEVELS = (2, 8, 32)
+NODE_POINTS = 64
+
+
+def node_of(lon: Column, lat: Column, metres: float, division: int) -> tuple[Column, Column]:
+    """Row and column of a position on the level that divides the distance by ``division``."""
+    height = _row_height(metres)
+    row = F.floor(lat / (height / division)).cast("bigint")
+    return row, F.floor(lon / (_width(F.floor(row / division), height) / division)).cast("bigint")
+
+
+def node_ball(row: Column, column: Column, metres: float, division: int) -> tuple[Column, Column]:
+    """Unit vector of a node's middle, and a chord that reaches all of the node from there."""
+    height = _row_height(metres)
+    width = _width(F.floor(row / division), height) / division
+    step = height / division
+    nearest = F.least(F.abs(row), F.abs(row + 1)) * step  # the latitude where a degree is longest
+    aside = F.radians(width / 2) * F.cos(F.radians(nearest))
+    middle = geo.unit_vector((column + 0.5) * width, (row + 0.5) * step)
+    return middle, F.sqrt(F.lit(math.radians(step / 2) ** 2) + aside * aside) * (1 + 1e-9)
+
+
+def nodes_around(homes: DataFrame, metres: float, division: int) -> DataFrame:
+    """Each position with the nodes (``__y``, ``__x``) that its circle can meet."""
+    height = _row_height(metres)
+    lon, lat = F.col("longitude"), F.col("latitude")
+    step = height / division
+    rows = homes.select("*", F.explode(F.sequence(
+        F.floor((lat - height) / step).cast("bigint"), F.floor((lat + height) / step).cast("bigint"))).alias("__y"))
+    width = _width(F.floor(F.col("__y") / division), height) / division
+    aside = F.lit(height) / F.cos(F.radians(F.least(F.abs(lat) + height, F.lit(89.0))))
+    return rows.select("*", F.explode(F.sequence(
+        F.floor((lon - aside) / width).cast("bigint"), F.floor((lon + aside) / width).cast("bigint"))).alias("__x"))
+
+
+def met(candidates: DataFrame, nodes: DataFrame, metres: float) -> DataFrame:
+    """Candidates next to their nodes, without those outside of the circle; ``__inside`` if all of the node is in it."""
+    reach = 2.0 * math.sin(metres / (2.0 * rules.EARTH_RADIUS_M))
+    both = candidates.join(nodes, ["__y", "__x"]).withColumn("__far", geo.chord("__u", "__m"))
+    return both.where(F.col("__far") - F.col("__r") <= reach * (1 + 1e-9)).withColumn(
+        "__inside", F.col("__far") + F.col("__r") <= reach * (1 - 1e-9)
+    ).drop("__far", "__m", "__r")
 
 
 def nearby_counts(
     places: DataFrame, key: str, pois: DataFrame, counters: dict[str, Column],
-    metres: float = rules.NEARBY_METRES, rows: int = ROWS_PER_SPLIT,
+    metres: float = rules.NEARBY_METRES, rows: int = NODE_POINTS, at: bool = False,
 ) -> DataFrame:
-    """Sums of ``counters`` over the points within ``metres`` of each place, zeros kept.
+    """Sums of ``counters`` over the points within ``metres`` of each place, zeros kept; with its position if ``at``.
 
-    Points and places at the same position are merged before they meet, so a
-    default position that holds a third of all rows counts once; cells that are
-    still full are cut in parts on both sides.
+    Points are summed up in a tree of nodes.  A node wholly inside a circle counts as one
+    row; one that the circle cuts is opened if it has more than ``rows`` points, and only the
+    points of small nodes on the rim are compared one by one.  So the work grows with the
+    rim of the circle and the root of the density.  Points and places at the same position
+    are merged first, so a default position that holds a third of all rows counts once.
     """
     names = list(counters)
     spots = (
@@ -183,24 +263,34 @@ def nearby_counts(
         .groupBy(F.col("longitude").alias("__lon"), F.col("latitude").alias("__lat"))
         .agg(*[c.alias(name) for name, c in counters.items()])
     )
-    homes = places.select("longitude", "latitude").distinct()
-    here = home_cell(homes, "longitude", "latitude", metres)
-    there = neighbour_cells(spots, "__lon", "__lat", metres)
-    here, there, on = split_hot_cells(
-        here, there, ["__cx", "__cy"], (["longitude", "latitude"], ["__lon", "__lat"]), rows
-    )
-    here = here.withColumn("__u", geo.unit_vector("longitude", "latitude"))
-    right = there.select(
-        *[F.col(k).alias(f"__r{k}") for k in on], geo.unit_vector("__lon", "__lat").alias("__v"), *names
-    )
-    test = geo.is_within("__u", "__v", metres)
-    for k in on:
-        test = (F.col(k) == F.col(f"__r{k}")) & test
-    sums = here.join(right, test).groupBy("longitude", "latitude").agg(
-        *[F.sum(name).alias(name) for name in names]
-    )
-    counted = join_null_safe(places.select(key, "longitude", "latitude"), sums, ["longitude", "latitude"], "left")
-    return counted.select(key, *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names])
+    homes = places.select("longitude", "latitude").where("longitude is not null and latitude is not null").distinct()
+    homes = homes.withColumn("__u", geo.unit_vector("longitude", "latitude"))
+    position = ["longitude", "latitude"]
+    candidates, summed = nodes_around(homes, metres, NODE_LEVELS[0]), []
+    for division in NODE_LEVELS:
+        y, x = node_of(F.col("__lon"), F.col("__lat"), metres, division)
+        here = spots.withColumns({"__y": y, "__x": x})
+        nodes = here.groupBy("__y", "__x").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(n).alias(n) for n in names])
+        middle, reach = node_ball(F.col("__y"), F.col("__x"), metres, division)
+        nodes = nodes.withColumns({"__m": middle, "__r": reach, "__leaf": F.lit(division == NODE_LEVELS[-1]) | (F.col("__n") <= rows)})
+        found = met(candidates, nodes, metres)
+        points = here.select(
+            F.col("__y").alias("__py"), F.col("__x").alias("__px"), geo.unit_vector("__lon", "__lat").alias("__v"),
+            *[F.col(n).alias(f"__p_{n}") for n in names])
+        cut = ~F.col("__inside") & (F.col("__y") == F.col("__py")) & (F.col("__x") == F.col("__px"))
+        near = found.where("__inside or __leaf").join(points, cut, "left")
+        near = near.where(F.col("__inside") | geo.is_within("__u", "__v", metres))
+        summed.append(near.select(*position, *[F.when(F.col("__inside"), F.col(n)).otherwise(F.col(f"__p_{n}")).alias(n) for n in names]))
+        if division != NODE_LEVELS[-1]:
+            full = nodes.where("not __leaf").select("__y", "__x")
+            spots = here.join(full, ["__y", "__x"], "left_semi").drop("__y", "__x")
+            inner = F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))
+            opened = found.where("not __inside and not __leaf").select(*position, "__u", (F.col("__y") * 4).alias("__y4"), (F.col("__x") * 4).alias("__x4"))
+            opened = opened.select(*position, "__u", "__x4", F.explode(F.transform(inner, lambda d: F.col("__y4") + d)).alias("__y"))
+            candidates = opened.select(*position, "__u", "__y", F.explode(F.transform(inner, lambda d: F.col("__x4") + d)).alias("__x"))
+    sums = reduce(DataFrame.unionByName, summed).groupBy(*position).agg(*[F.sum(name).alias(name) for name in names])
+    counted = join_null_safe(places.select(key, "longitude", "latitude"), sums, position, "left")
+    return counted.select(key, *(position if at else []), *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names])
 
 
 def points_in_area_counts(points: DataFrame, areas: DataFrame, key: str, counters: dict[str, Column]) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from lettings import rules
 from lettings.functions import measures, spatial as geo
@@ -185,3 +185,113 @@ def test_one_hot_of_too_many_values_is_an_error(spark):
         reshape.one_hot_found(df, ["k"], "v", most=1)
     with pytest.raises(ValueError, match="equal column names"):
         reshape.one_hot_found(df.union(spark.createDataFrame([("k", "a-b")], df.schema)), ["k"], "v")
+
+
+def test_ranks_and_tiles_run_no_job_of_their_own(spark):
+    df = spark.createDataFrame([("a", 1.0, 1), ("a", None, 2), (None, 2.0, 3)], "k string, v double, i int")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy ranks", "none expected")
+    try:
+        ranked = windows.rank_by(df, "v", ["i"])
+        tiled = windows.top_quartile(df, "k", "v", "i")
+        assert not tracker.getJobIdsForGroup("lazy ranks")
+    finally:
+        for name in ("spark.jobGroup.id", "spark.job.description"):
+            spark.sparkContext.setLocalProperty(name, None)
+    assert [(r.i, r["rank"]) for r in ranked.orderBy("rank").collect()] == [(3, 1), (1, 2), (2, 3)]
+    assert {r.i: r.segment for r in tiled.collect()} == {1: "top", 2: "rest", 3: "top"}
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint", "double", "decimal(12,2)", "string", "date", "timestamp", "boolean", "array<int>"])
+def test_row_numbers_of_all_kinds(spark, kind):
+    rnd = random.Random(5)
+    raw = spark.createDataFrame([(i, rnd.choice([None, rnd.randrange(-4, 4), rnd.randrange(-10**6, 10**6)])) for i in range(400)], "i int, n int")
+    value = {
+        "string": F.concat(F.lit("a common beginning "), F.col("n").cast("string")), "date": F.date_add(F.lit("2024-01-01"), F.col("n")),
+        "timestamp": F.timestamp_seconds("n"), "boolean": F.col("n") > 0, "array<int>": F.array("n"),
+        "double": F.when(F.col("i") % 50 == 0, float("nan")).otherwise(F.col("n") / 7),
+    }.get(kind, F.col("n").cast(kind))
+    df = raw.withColumn("v", value).repartition(5)
+    for order in ([F.col("v").desc_nulls_last(), F.col("i").asc()], [F.col("v").asc(), F.col("i").desc()]):
+        want = df.withColumn("want", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
+        got = windows.lazy_row_number(want, [], order, "got")
+        assert got.where("got <> want").count() == 0 and got.count() == 400
+        want = df.withColumn("want", F.ntile(9).over(Window.partitionBy(F.lit(1)).orderBy(*order)))
+        assert windows.tiles(want, [], order, 9, "got").where("got <> want").count() == 0
+
+
+def test_a_shared_score_is_cut_by_its_tie(spark):
+    df = spark.range(20_000).select(F.col("id").alias("i"), F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id") % 50).alias("v"))
+    by = windows.sort_keys(df, [F.col("v").desc_nulls_last(), F.col("i").asc()])
+    assert windows.bucket_starts(windows.dealt_in_order(df, [], by), by).agg(F.max("__n")).first()[0] < 50
+    with pytest.raises(ValueError, match="plain columns"):
+        windows.sort_keys(df, [(F.col("v") + 1).desc()])
+
+
+def star_shape(n, seed):
+    """A ring of many edges around a middle, with a hole."""
+    rnd = random.Random(seed)
+    def ring(low, high):
+        points = [(math.cos(2 * math.pi * i / n) * rnd.uniform(low, high) + 0.31, math.sin(2 * math.pi * i / n) * rnd.uniform(low, high) + 0.17) for i in range(n)]
+        return [list(p) for p in [*points, points[0]]]
+    return [ring(0.3, 0.5), ring(0.05, 0.2)]
+
+
+def inside(rings, x, y):
+    odd = False
+    for ring in rings:
+        for (x0, y0), (x1, y1) in zip(ring, ring[1:], strict=False):
+            if (y0 > y) != (y1 > y) and x < (x1 - x0) * (y - y0) / (y1 - y0) + x0:
+                odd = not odd
+    return odd
+
+
+@pytest.mark.parametrize("cell", [0.02, 0.13, 2.0])
+def test_points_in_areas_of_many_edges(spark, cell):
+    import json
+
+    shapes = {"a": star_shape(300, 1), "b": star_shape(7, 2), "c": star_shape(300, 1)}
+    rows = [(k, json.dumps({"type": "Polygon", "coordinates": v})) for k, v in shapes.items()]
+    areas = spark.createDataFrame(rows, "area string, g string").select("area", geo.parse_boundary("g").alias("boundary"))
+    rnd = random.Random(3)
+    points = [(i, rnd.uniform(-0.3, 0.9), rnd.uniform(-0.5, 0.8)) for i in range(800)] + [(900, None, 0.1), (901, 0.1, None)]
+    df = spark.createDataFrame(points, "p int, longitude double, latitude double")
+    got = sorted((r.p, r.area or "") for r in spatial.point_in_area(df, areas, ["area"], "left", cell=cell).collect())
+    want = []
+    for p, x, y in points:
+        own = [k for k in shapes if x is not None and y is not None and inside(shapes[k], x, y)]
+        want += [(p, k) for k in own] or [(p, "")]
+    assert got == sorted(want)
+    cells = spatial.area_cells(areas, ["area"], cell)
+    if cell == 0.02:  # much of an area needs no edge
+        assert cells.where("size(__edges) = 0 and area = 'b'").count() > 0.25 * cells.where("area = 'b'").count()
+
+
+def test_full_cells_of_pairs_are_many_tasks(spark):
+    rnd = random.Random(6)
+    def near(n, k):
+        return [(i, 0.1 + rnd.uniform(0, 0.004), 51.5 + rnd.uniform(0, 0.003)) for i in range(n)] + [(n + 1, 5.0 + k, 40.0), (n + 2, None, 1.0)]
+    left, right = near(300, 0), near(200, 1)
+    a = spark.createDataFrame(left, "id int, longitude double, latitude double")
+    b = spark.createDataFrame(right, "poi int, poi_longitude double, poi_latitude double")
+    want = sorted((p[0], q[0]) for p in left for q in right if None not in p and None not in q and metres(p, q) <= 200)
+    for rows in (20, 4096):
+        got = spatial.within_distance(a, b, 200.0, rows=rows)
+        assert sorted((r.id, r.poi) for r in got.collect() if r.poi is not None) == want
+        lonely = {p[0] for p in left} - {i for i, _ in want}
+        assert sorted(r.id for r in got.collect() if r.poi is None) == sorted(lonely)
+    here = spatial.home_cell(a.where("longitude is not null"), "longitude", "latitude", 200.0)
+    there = spatial.neighbour_cells(b.where("poi_longitude is not null"), "poi_longitude", "poi_latitude", 200.0)
+    cut, _, on = spatial.split_hot_cells(here, there, ["__cx", "__cy"], (["id"], ["poi"]), 20)
+    assert cut.groupBy(*on).count().agg(F.max("count")).first()[0] < 60
+
+
+def test_nearby_counts_in_a_dense_place(spark):
+    rnd = random.Random(8)
+    right = [(i, 0.1 + rnd.gauss(0, 0.002), 51.5 + rnd.gauss(0, 0.001)) for i in range(3000)] + [(9000, None, None), (9001, 0.1, None)]
+    left = [(i, 0.1 + rnd.uniform(-0.01, 0.01), 51.5 + rnd.uniform(-0.01, 0.01)) for i in range(60)] + [(99, None, 51.5), (98, -0.1, -70.0)]
+    a = spark.createDataFrame(left, "id int, longitude double, latitude double")
+    b = spark.createDataFrame(right, "poi int, longitude double, latitude double")
+    for far, rows in ((500.0, 8), (500.0, 64), (60.0, 2)):
+        got = {r.id: r.n for r in spatial.nearby_counts(a, "id", b, {"n": F.count("poi")}, far, rows).collect()}
+        assert got == {p[0]: sum(None not in p and None not in q and metres(p, q) <= far for q in right) for p in left}
