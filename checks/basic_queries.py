@@ -719,9 +719,9 @@ def _(w):
 
 
 # --- reshapes ----------------------------------------------------------------
-@query("r01_unpivot_blocks", "select category, count(*) as n, sum(rental_price) as total from q_rents where geo_level = 'district' group by all")
+@query("r01_unpivot_blocks", "select category, count(*) as n, sum(rental_price) as total from q_rents group by all")
 def _(w):
-    rows = reshape.unpivot_blocks(w["raw_rent_cells"].where((F.col("_file_row_number") >= 4) & clean.rent_scope(F.get("cells", 1)) & (clean.geo_level(F.get("cells", 1)) == "district")))
+    rows = reshape.unpivot_blocks(w["raw_rent_cells"].where((F.col("_file_row_number") >= 4) & clean.rent_scope(F.get("cells", 1))))
     return rows.where(clean.any_measure(rules.RENT_MEASURES)).groupBy("category").agg(F.count("*").alias("n"), F.sum("rental_price").alias("total"))
 
 
@@ -799,9 +799,9 @@ def _(w):
     return w["area_shapes"].select("neighbourhood", geo.bounds("boundary").alias("b")).select("neighbourhood", "b.*")
 
 
-@query("g04_contains", "select count(*) as inside from q_poi_area")
+@query("g04_contains", "select neighbourhood, count(*) as inside from q_raw_poi_area group by all")
 def _(w):
-    return w.at("pois").where(F.col("neighbourhood").isNotNull()).agg(F.count("*").alias("inside"))
+    return spatial.point_in_area(w["raw_poi"], w["area_shapes"], ["neighbourhood"]).groupBy("neighbourhood").agg(F.count("*").alias("inside"))
 
 
 @query("g05_distance_m", f"select a.listing_id, {rd(sql.HAVERSINE, 3)} as metres from q_listings a join (select *, listing_id + 1 as prev from q_listings) b on a.listing_id = b.prev")
