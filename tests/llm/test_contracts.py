@@ -436,7 +436,7 @@ def test_rows_of_one_id_are_dealt_out(spark):
     per = sharding.pack(df).groupBy("shard").agg(F.sum("size").alias("b"), F.max("slot").alias("m"), F.count("*").alias("n")).collect()
     assert len(per) == 24 and all(r["m"] == r["n"] - 1 for r in per)
     assert max(r["b"] for r in per) < 1.05 * min(r["b"] for r in per)
-    numbered = common.numbered_copies(df, ["doc_id", "text"], "nth").groupBy("doc_id").agg(
+    numbered = common.numbered_copies(df, ["doc_id", "text"], "nth", 1).groupBy("doc_id").agg(
         F.min("nth").alias("a"), F.max("nth").alias("b"), F.countDistinct("nth").alias("n")).collect()
     assert all((r["a"], r["b"] + 1) == (0, r["n"]) and r["n"] == (2000 if r["doc_id"] is None else 1) for r in numbered)
     got = mixing.mix(df).select("doc_id", "size", "taken")
