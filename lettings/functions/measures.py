@@ -36,6 +36,15 @@ def exact_sum(c: ColumnLike) -> Column:
     return F.when(F.count_if(other) == 0, F.sum(exact).cast("double")).otherwise(F.sum(value.cast("double")))
 
 
+def counted_mean(value: ColumnLike, n: ColumnLike, digits: int | None = None) -> Column:
+    """:func:`mean` of values that are given once with the number ``n`` of their rows; NULL values are left out."""
+    v, rows = as_col(value), F.when(as_col(value).isNotNull(), as_col(n))
+    exact = v.try_cast("decimal(28,14)")
+    other = v.isNotNull() & ((rows >= 10**9) | ~F.coalesce(exact.cast("double") == v.cast("double"), F.lit(False)))
+    total = F.when(F.count_if(other) == 0, F.sum(exact * rows.try_cast("decimal(9,0)")).cast("double"))
+    return ratio(total.otherwise(F.sum(v.cast("double") * rows)), F.sum(rows), digits)
+
+
 def weighted_mean(c: ColumnLike, weight: ColumnLike) -> Column:
     """Sum of value x weight over the sum of all weights; NULL values add nothing."""
     return ratio(exact_sum(as_col(c) * as_col(weight)), F.sum(as_col(weight)))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lettings import rules
 from lettings.functions import clean, measures
@@ -144,10 +145,14 @@ def mart_bedrooms(mart_listing: DataFrame, dim_area: DataFrame) -> DataFrame:
     )
     cell = ["neighbourhood", "city", "structure_class", "bedroom_bucket", "bedroom_sort"]
     wide = ["city", "structure_class", "bedroom_bucket"]
-    local = quantiles.agg_with_medians(base, cell, operating_measures(), operating_medians())
-    city = city_benchmark(base, wide)
-    both = local.join(city, wide, "left")
-    return both.select(
+    figures = leveled_figures(base, cell, wide)
+    over_city = Window.partitionBy(*wide)
+    named = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in wide])
+    of_city = {
+        f"city_{c}": F.when(named, F.max(F.when(F.col("__wide"), F.col(c))).over(over_city))
+        for c in ("listing_count", "median_adr", "avg_occupancy_rate", "median_annual_revenue")
+    }
+    return figures.withColumns(of_city).where(~F.col("__wide")).select(
         *cell, "listing_count", "avg_adr", "median_adr", "avg_occupancy_rate", "avg_annual_revenue",
         "median_annual_revenue", "avg_rating", "city_listing_count", "city_median_adr",
         "city_avg_occupancy_rate", "city_median_annual_revenue",
@@ -156,6 +161,33 @@ def mart_bedrooms(mart_listing: DataFrame, dim_area: DataFrame) -> DataFrame:
     )
 
 
+def leveled_figures(base: DataFrame, cell: list[str], wide: list[str]) -> DataFrame:
+    """Operating figures per cell and, with ``__wide``, over all cells that agree in ``wide``.
+
+    Each row is counted once per level, measure and value; averages, medians and the number
+    of rows of both levels all come from these counts, so the input is read once.
+    """
+    level = base.withColumn("__wide", F.explode(F.array(F.lit(False), F.lit(True))))
+    level = level.withColumns({c: F.when(~F.col("__wide"), F.col(c)) for c in cell if c not in wide})
+    keys = ["__wide", *cell]
+    means = {"avg_adr": ("adr", 2), "avg_occupancy_rate": ("occupancy_rate", 4), "avg_annual_revenue": ("annual_revenue", 2),
+             "avg_rating": ("review_scores_rating", 2)}
+    counts = quantiles.value_counts(level, keys, {"__rows": F.lit(0.0), **{c: F.col(c) for c, _ in means.values()}})
+
+    def value(name: str) -> Column:
+        return F.when(F.col("__name") == name, F.col("__value"))
+
+    plain = counts.groupBy(*keys).agg(
+        F.sum(F.when(F.col("__name") == "__rows", F.col("__n"))).alias("listing_count"),
+        *[measures.counted_mean(value(c), "__n", digits).alias(out) for out, (c, digits) in means.items()],
+    )
+    halves = {"median_adr": "adr", "median_annual_revenue": "annual_revenue"}
+    near = quantiles.ranked_values(counts.where(F.col("__name").isin(list(halves.values()))), keys, [0.5])
+    middle = near.groupBy(*keys).agg(*[quantiles.interpolated(c, 0.5).alias(out) for out, c in halves.items()])
+    stacked = plain.unionByName(middle, allowMissingColumns=True)
+    return stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in stacked.columns if c not in keys])
+
+
 def city_benchmark(base: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The same figures at a coarser grain, for cells with few listings."""
     return quantiles.agg_with_medians(

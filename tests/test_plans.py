@@ -63,3 +63,8 @@ def test_scan_reads_only_needed_columns(spark):
     plan = plan_of(spark, "m10_listing_amenities")
     schema = plan[plan.index("ReadSchema"):]
     assert "description" not in schema[: schema.index(">")]
+
+
+def test_bedroom_figures_come_from_one_count(spark):
+    plan = plan_of(spark, "m33_mart_bedrooms")
+    assert plan.count("Exchange hashpartitioning") <= 11
