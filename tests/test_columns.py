@@ -87,3 +87,41 @@ def test_first_argmax_takes_first_tie(spark):
 def test_rules_are_consistent():
     for weights in (*rules.AREA_SCORE_WEIGHTS.values(), *rules.LISTING_SCORE_WEIGHTS.values()):
         assert abs(sum(w for _, w in weights) - 1.0) < 1e-9
+
+
+def test_fixed_lists_by_their_values(spark):
+    """Expectations are written out here, so a wrong value in the rules shows."""
+    groups = {
+        "rental unit": ("Apartment / Flat", "Flat"), "aparthotel": ("Apartment / Flat", "Flat"),
+        "home": ("House", "House"), "vacation home": ("House", "House"), "cabin": ("House", "House"),
+        "guest suite": ("Guest Accommodation", None), "loft": ("Guest Accommodation", "Flat"),
+        "boutique hotel": ("Hotel / Hospitality", None), "nature lodge": ("Hotel / Hospitality", None),
+        "camper/rv": ("Unique Stay", None), "earthen home": ("Unique Stay", None), "shepherd’s hut": ("Unique Stay", None),
+        "tent": ("Outdoor / Land", None), "floor": ("Other / Unknown", "Flat"), "home/apt": ("Other / Unknown", "Flat"),
+        "island": ("Other / Unknown", None),
+    }
+    assert values(spark, list(groups), classify.property_group("c")) == [g for g, _ in groups.values()]
+    assert values(spark, list(groups), classify.property_class("c")) == [c for _, c in groups.values()]
+    points = {
+        "train_station": "Transport", "stadium_arena": "Attractions & Culture", "cinema": "Attractions & Culture",
+        "hiking_trail": "Parks & Green", "sports_bar": "Dining & Nightlife", "bakery": "Dining & Nightlife",
+        "pharmacy_and_drug_store": "Groceries & Essentials", "gym": "Fitness", "day_care_preschool": "Education",
+        "university": "Education", "dentist": "Health", "health_and_medical": "Health", "stationery": None,
+    }
+    assert values(spark, list(points), classify.poi_group("c")) == list(points.values())
+    assert {c: rules.SALE_PROPERTY_TYPE[c] for c in "DSTFO"} == {
+        "D": "Detached", "S": "Semi-Detached", "T": "Terraced", "F": "Flat/Maisonette", "O": "Other"}
+    assert rules.CITY_ASSUMPTIONS == (
+        ("London", 90, 4.5, 90, 28, 18), ("Greater Manchester", 365, 6.0, 255, 28, 18), ("Bristol", 365, 5.0, 255, 28, 18))
+    assert rules.RENT_CATEGORIES == (
+        ("All property types", "overall", None, 4), ("One bedroom", "bedroom", None, 8), ("Two bedrooms", "bedroom", None, 12),
+        ("Three bedrooms", "bedroom", None, 16), ("Four or more bedrooms", "bedroom", None, 20),
+        ("Detached", "property_type", "House", 24), ("Semi-detached", "property_type", "House", 28),
+        ("Terraced", "property_type", "House", 32), ("Flat/Maisonette", "property_type", "Flat", 36))
+    amenities = {
+        "EV charger": "Parking & EV", "Carbon monoxide alarm": "Safety & Security", "Trash compactor": "Kitchen & Dining",
+        "Bidet": "Bathroom & Toiletries", "Steam iron": "Laundry", "Environment": "Other", "Record player": "Connectivity & Entertainment",
+        "Room-darkening shades": "Bedroom & Comfort", "Changing table": "Family & Kids", "Wide hallways": "Accessibility",
+        "Sauna": "Wellness & Leisure", "Hair conditioner": "Bedroom & Comfort",
+    }
+    assert values(spark, list(amenities), classify.amenity_group("c")) == list(amenities.values())
