@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lettings import rules
 from lettings.functions import clean
-from lettings.operators.joins import cross_with_fixed, join_keys
+from lettings.operators import windows
+from lettings.operators.joins import cross_with_fixed, join_keys, join_null_safe
 
 
 def unpivot_blocks(df: DataFrame, cells: str = "cells") -> DataFrame:
@@ -116,13 +117,31 @@ def values_per_key(df: DataFrame, keys: Sequence[str], value: str, number: str)
     return join_keys(df.select(*keys, number, value), counts, keys)
 
 
+#: Values of a sorted run, and bytes of a whole list.
+LIST_PART, LIST_BYTES = 10_000, 64 << 20
+
+
+def sorted_runs_of(df: DataFrame, keys: Sequence[str], col: str, sep: str) -> DataFrame:
+    """The distinct values of a key as sorted runs of ``LIST_PART`` values: ``__part`` (their order), ``__run`` and ``__n``."""
+    unique = df.select(*keys, col).where(F.col(col).isNotNull()).distinct()
+    placed = windows.lazy_row_number(unique, keys, [F.col(col).asc()], "__nth")
+    return placed.groupBy(*keys, F.floor((F.col("__nth") - 1) / LIST_PART).alias("__part")).agg(
+        F.array_join(F.array_sort(F.collect_list(col)), sep).alias("__run"), F.count(F.lit(1)).alias("__n"),
+    )
+
+
 def string_list_distinct(df: DataFrame, keys: Sequence[str], col: str, name: str, sep: str = ", ") -> DataFrame:
     """Distinct values per key as one sorted text.
 
-    Repeats are removed by a group-by first, so only the vocabulary meets.
+    Values are sorted in runs, many tasks for a key with many of them, and the runs are
+    joined in order.  A list of more than ``LIST_BYTES`` bytes is refused before it is
+    put together; :func:`values_per_key` has one row per value at every size.
     """
-    unique = df.select(*keys, col).where(F.col(col).isNotNull()).distinct()
-    return unique.groupBy(*keys).agg(
-        F.array_join(F.array_sort(F.collect_list(col)), sep).alias(name),
-        F.count(F.lit(1)).alias("n_values"),
+    runs = sorted_runs_of(df, keys, col, sep)
+    sizes = runs.groupBy(*keys).agg(F.sum(F.octet_length("__run")).alias("__bytes"))
+    refused = F.raise_error(F.lit(f"A list of {col} has more than {LIST_BYTES} bytes; use one row per value"))
+    sized = join_null_safe(runs, sizes, keys).where(F.when(F.col("__bytes") > LIST_BYTES, refused.cast("boolean")).otherwise(True))
+    ordered = F.array_sort(F.collect_list(F.struct("__part", "__run")))
+    return sized.groupBy(*keys).agg(
+        F.array_join(F.transform(ordered, lambda r: r["__run"]), sep).alias(name), F.sum("__n").alias("n_values"),
     )

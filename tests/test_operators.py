@@ -295,3 +295,20 @@ def test_nearby_counts_in_a_dense_place(spark):
     for far, rows in ((500.0, 8), (500.0, 64), (60.0, 2)):
         got = {r.id: r.n for r in spatial.nearby_counts(a, "id", b, {"n": F.count("poi")}, far, rows).collect()}
         assert got == {p[0]: sum(None not in p and None not in q and metres(p, q) <= far for q in right) for p in left}
+
+
+def test_sorted_lists_come_in_runs(spark, monkeypatch):
+    rows = [("hot", f"v{i % 2500:05d}") for i in range(6000)] + [("a", "x"), ("a", "é"), ("a", None), (None, "z"), (None, "y"), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v string").repartition(4)
+    want = {}
+    for k, v in rows:
+        if v is not None:
+            want.setdefault(k, set()).add(v)
+    monkeypatch.setattr(reshape, "LIST_PART", 100)
+    got = {r.k: (r.text, r.n_values) for r in reshape.string_list_distinct(df, ["k"], "v", "text").collect()}
+    assert got == {k: (", ".join(sorted(v)), len(v)) for k, v in want.items()}
+    runs = reshape.sorted_runs_of(df, ["k"], "v", ", ")
+    assert runs.agg(F.max("__n")).first()[0] == 100 and runs.where("k = 'hot'").count() == 25
+    monkeypatch.setattr(reshape, "LIST_BYTES", 1000)
+    with pytest.raises(Exception, match="one row per value"):
+        reshape.string_list_distinct(df, ["k"], "v", "text").collect()
