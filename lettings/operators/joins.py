@@ -5,26 +5,36 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lettings import rules
 from lettings.functions import clean
 
+MOST_PICKS = 1_000
+
 
 def values_frame(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
     """Constant table; its size is fixed by the code, so joins may broadcast it."""
     return F.broadcast(spark.createDataFrame(list(rows), schema))
 
 
+def at_most(df: DataFrame, rows: int) -> DataFrame:
+    """A frame that is promised to be small; the job fails where it has more rows, which are never gathered."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
+    refused = F.raise_error(F.lit(f"More than {rows} rows where at most so many are expected")).cast("boolean")
+    counted = df.limit(rows + 1).withColumn("__rows", n)
+    return counted.where(F.when(F.col("__rows") > rows, refused).otherwise(True)).drop("__rows")
+
+
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi join on equally named columns; NULL keys never match."""
     return left.join(right, list(keys), how)
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi join in which NULL keys match each other (for group-by results)."""
+    """Equi join in which NULL keys match each other (for group-by results); without keys ``right`` is one row."""
     if not keys:
-        return left.crossJoin(right)
+        return left.crossJoin(F.broadcast(at_most(right, 1)))
     renamed = right.select(
         *[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys]
     )
@@ -80,8 +90,10 @@ def tuple_in(df: DataFrame, cols: Sequence[str], tuples: Iterable[Sequence[objec
 
 
 def picks_frame(spark: SparkSession, picks: Iterable[Mapping[str, str]], cols: Sequence[str]) -> DataFrame:
-    """A user's picks as a frame; a selection holds at most a handful of rows."""
+    """A user's picks as a frame; a selection holds at most ``MOST_PICKS`` rows."""
     rows = [tuple(p[c] for c in cols) for p in picks]
+    if len(rows) > MOST_PICKS:
+        raise ValueError(f"{len(rows)} picks; at most {MOST_PICKS} are expected")
     return values_frame(spark, rows, ", ".join(f"{c} string" for c in cols))
 
 

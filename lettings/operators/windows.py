@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lettings.functions import measures
-from lettings.operators.joins import join_null_safe
+from lettings.operators.joins import at_most, join_null_safe
 from lettings.operators.quantiles import _bucket as value_bucket
 from lettings.session import stable
 
@@ -72,6 +72,7 @@ def running_number(df: DataFrame, keys: Sequence[str], at: str, name: str) -> Da
 SortKey = tuple[str, bool, bool]
 _ORDERED = re.compile(r"^Column<'(.+) (ASC|DESC) NULLS (FIRST|LAST)'>$", re.DOTALL)
 NULL_BUCKET = 1 << 60
+MOST_PARTS = 1_000
 
 
 def sort_keys(df: DataFrame, order: Sequence[Column]) -> list[SortKey]:
@@ -222,7 +223,7 @@ def minmax_by(
     """Min-max signals per part: new name -> (column, inverted).
 
     Bounds are aggregated and joined back, so no part is gathered in one task.
-    ``fixed_parts`` says that the part comes from a fixed list of labels, which
+    ``fixed_parts`` says that the part comes from a fixed list of ``MOST_PARTS`` labels at most (the job fails else), which
     bounds the joined side and lets it be broadcast.
     """
     used = sorted({c for c, _ in signals.values()})
@@ -230,7 +231,7 @@ def minmax_by(
         *[F.min(c).alias(f"__min_{c}") for c in used],
         *[F.max(c).alias(f"__max_{c}") for c in used],
     )
-    bounds = F.broadcast(bounds) if fixed_parts else bounds
+    bounds = F.broadcast(at_most(bounds, MOST_PARTS)) if fixed_parts else bounds
     both = join_null_safe(df, bounds, [part])
     return both.select(
         *df.columns,

@@ -312,3 +312,17 @@ def test_sorted_lists_come_in_runs(spark, monkeypatch):
     monkeypatch.setattr(reshape, "LIST_BYTES", 1000)
     with pytest.raises(Exception, match="one row per value"):
         reshape.string_list_distinct(df, ["k"], "v", "text").collect()
+
+
+def test_promised_sizes_are_held(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, v double")
+    one = df.agg(F.max("v").alias("top"))
+    assert joins.join_null_safe(df, one, []).count() == 2
+    with pytest.raises(Exception, match="More than 1 rows"):
+        joins.join_null_safe(df, df.select(F.col("v").alias("w")), []).collect()
+    many = spark.range(3_000).select(F.col("id").cast("string").alias("k"), F.col("id").cast("double").alias("v"))
+    with pytest.raises(Exception, match="More than 1000 rows"):
+        windows.minmax_by(many, "k", {"n": ("v", False)}, fixed_parts=True).collect()
+    assert windows.minmax_by(df, "k", {"n": ("v", False)}, fixed_parts=True).count() == 2
+    with pytest.raises(ValueError, match="at most"):
+        joins.picks_frame(spark, [{"k": "x"}] * 1_001, ["k"])
