@@ -17,7 +17,7 @@ from lettings.llm.common import (
 from lettings.session import stable
 
 SHINGLE, PERCENT = 5, 85
-SYMBOLS, CHUNKS, ERRORS = 60, 12, 1  # 16-bit symbols; each chunk may differ in so many symbols
+SYMBOLS, CHUNKS, ERRORS = 50, 10, 1  # 16-bit symbols; each chunk may differ in so many symbols
 DISTANCE = CHUNKS * (ERRORS + 1) - 1  # by pigeonhole some chunk of closer signatures has few enough errors
 SIGNATURE_BLOCK, SET_BLOCK, SET_BYTES, SMALL = 1000, 500, 32 << 20, 16
 BROADCAST_IDS = 500_000
@@ -141,7 +141,7 @@ def signature_edges(members: DataFrame) -> DataFrame:
             low, high = both.min(axis=0), both.max(axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(low[low < high]), pa.array(high[low < high])], names=["a", "b"])
 
-    return dealt_by_key(members, names).mapInArrow(run, "a long, b long").distinct()
+    return dealt_by_key(members, names, ["cid"]).mapInArrow(run, "a long, b long").distinct()
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def exact_edges(members: DataFrame, percent: int) -> DataFrame:
             both = np.array(found, np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
-    return dealt_by_key(members, names).mapInArrow(run, "a long, b long").where("a <> b")
+    return dealt_by_key(members, names, ["cid"]).mapInArrow(run, "a long, b long").where("a <> b")
 
 
 def linked_sets(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -208,8 +208,8 @@ def blocked(df: DataFrame, key: str, blocks: Column) -> DataFrame:
 def link(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable over links) and kept.
 
-    Texts of the same words are one class.  Signatures of 60 symbols are cut into 12
-    chunks; two signatures that differ in at most 23 symbols have a chunk with at most one
+    Texts of the same words are one class.  Signatures of 50 symbols are cut into 10
+    chunks; two signatures that differ in at most 19 symbols have a chunk with at most one
     error, so they share a key that leaves one symbol of a chunk out.  Within the keys,
     pairs within the distance give candidate groups, and within these links are decided on
     the full shingle sets.  At each step a group gives a forest, not all its pairs; a full
@@ -258,7 +258,8 @@ def grouped(docs: DataFrame, text: str, doc_id: str, percent: int) -> tuple[Data
     ))
     keys = stable(keyed(classes))
     full = keys.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("b"), F.count(F.lit(1)).alias("n"))
-    members = keys.join(full.where("a < b").select("key", "n"), "key").join(classes.select("cid", "sig"), "cid")
+    # merged at every size, so that the plan of a small input is that of a large one
+    members = keys.join(full.where("a < b").select("key", "n").hint("merge"), "key").join(classes.select("cid", "sig"), "cid")
     near = signature_edges(blocked(members, "key", F.ceil(F.col("n") / SIGNATURE_BLOCK)).drop("n"))
     groups = components(near, "a", "b").select(F.col("node").alias("cid"), "root")
     groups = stable(groups)
