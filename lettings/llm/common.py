@@ -124,25 +124,31 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         del SCRATCH[before:]
 
 
-def numbered_copies(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+def numbered_copies(df: DataFrame, keys: Sequence[str], name: str, least: int, counts: DataFrame | None = None) -> DataFrame:
     """Adds ``name``, the place of a row among the rows that are equal in ``keys`` (from 0; nulls are equal).
 
-    Where no rows are equal, nothing is written or moved but the counts.  Else the table is
-    written, so that places are fixed, and rows are counted within the parts it was written
-    in; a prefix sum over the parts gives the rest, so many equal rows are many tasks.
+    Only rows of keys with more than ``least`` rows get places, the others have 0; so where
+    no key has, nothing is written or moved but the ``counts`` (by the keys, in ``n``).  The
+    rows of such keys are written, so that places are fixed, and counted within the parts
+    they were written in; a prefix sum over the parts gives the rest, so many equal rows
+    are many tasks.
     """
-    if df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").isEmpty():
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    crowded = stable(counts.where(F.col("n") > least).select(*keys))
+    if crowded.isEmpty():
         return df.withColumn(name, F.lit(0).cast("long"))
-    base = written(df.withColumn("__row", F.monotonically_increasing_id()))
+    same = written(join_null_safe(df, crowded, keys, "left_semi").withColumn("__row", F.monotonically_increasing_id()))
     parts = [*keys, "__part"]
-    dealt = base.withColumn("__part", F.shiftright("__row", 33))
+    dealt = same.withColumn("__part", F.shiftright("__row", 33))
     sums = dealt.groupBy(*parts).agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
     inside = F.row_number().over(Window.partitionBy(*parts).orderBy("__row")) - 1
-    return join_null_safe(dealt.withColumn("__inside", inside), sums, parts).withColumn(
+    numbered = join_null_safe(dealt.withColumn("__inside", inside), sums, parts).withColumn(
         name, F.col("__inside") + F.col("__before")
     ).drop("__row", "__part", "__inside", "__before")
+    rest = join_null_safe(df, crowded, keys, "left_anti").withColumn(name, F.lit(0).cast("long"))
+    return rest.unionByName(numbered)
 
 
 def buckets_for(rows: int) -> int:

@@ -18,6 +18,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, LIMIT = 1.5, 2.0
 BLOCK, SHARDS, SEED = 64, 16, "mix-1"
 BROADCAST_SOURCES = 10_000
+EQUAL_ROWS = 1_000  # so many rows of one id, source and text may stand in one bucket
 
 
 @dataclass(frozen=True)
@@ -131,7 +132,7 @@ def mix(
     sized = sized.withColumn("__same", F.xxhash64(F.col(text)))
     if not keep_text:  # then the sizes alone are written, and texts are read once
         sized = stable(sized.drop(text))
-    sized = numbered_copies(sized, ["source", doc_id, "size", "__same"], "__nth")
+    sized = numbered_copies(sized, ["source", doc_id, "size", "__same"], "__nth", EQUAL_ROWS)
     return mix_sized(sized, doc_id, seed, plan_mix(sized.select("source", "size"), **how))
 
 

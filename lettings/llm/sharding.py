@@ -46,12 +46,15 @@ def pack(
         "size": (F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 8).cast("long"),
         "__tokens": n_words(F.col(text)),
     })
-    base = numbered_copies(base, ["__group", doc_id], "__nth")  # rows of equal ids are told apart, so they can be dealt
-    groups = stable(base.groupBy("__group").agg(
-        F.sum("size").alias("bytes"), F.sum("__tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"),
+    pairs = stable(base.groupBy("__group", doc_id).agg(
+        F.sum("size").alias("bytes"), F.sum("__tokens").alias("tokens"), F.count(F.lit(1)).alias("n")))
+    groups = stable(pairs.groupBy("__group").agg(
+        F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.sum("n").alias("rows"),
     ))
     totals = groups.agg(*[F.sum(d).alias(d) for d in DIMENSIONS]).first()
     whole = {d: max(int(totals[d] or 0), 1) for d in DIMENSIONS}
+    # equal rows that are more than a small part of a piece are told apart, so they can be dealt
+    base = numbered_copies(base, ["__group", doc_id], "__nth", int(totals["rows"] or 0) // (8 * shards * pieces), pairs)
     share = F.greatest(*[F.col(d) / whole[d] for d in DIMENSIONS])
     big = groups.where(share > heavy / shards)
     big_rows = sorted(big.collect())  # at most dimensions * shards / heavy groups have such a share
