@@ -31,7 +31,8 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     docs = docs.select(*COLUMNS)
     listed = written(neardup.redundant(docs, percent=NEAR_PERCENT))
     same = F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.md5("d.text") == F.col("l.text_md5"))
-    marked = docs.alias("d").join(listed.alias("l"), same, "left").select("d.*", "l.stay")
+    side = F.broadcast(listed) if listed.count() <= neardup.BROADCAST_IDS else listed
+    marked = docs.alias("d").join(side.alias("l"), same, "left").select("d.*", "l.stay")
     unique = marked.where("stay is null").select(*COLUMNS)
     if listed.where("stay = 1").isEmpty():
         return unique
