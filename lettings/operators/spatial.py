@@ -212,37 +212,63 @@ def node_of(lon: Column, lat: Column, metres: float, division: int) -> tuple[Col
     return row, F.floor(lon / (_width(F.floor(row / division), height) / division)).cast("bigint")
 
 
-def node_ball(row: Column, column: Column, metres: float, division: int) -> tuple[Column, Column]:
-    """Unit vector of a node's middle, and a chord that reaches all of the node from there."""
-    height = _row_height(metres)
-    width = _width(F.floor(row / division), height) / division
-    step = height / division
-    nearest = F.least(F.abs(row), F.abs(row + 1)) * step  # the latitude where a degree is longest
-    aside = F.radians(width / 2) * F.cos(F.radians(nearest))
-    middle = geo.unit_vector((column + 0.5) * width, (row + 0.5) * step)
-    return middle, F.sqrt(F.lit(math.radians(step / 2) ** 2) + aside * aside) * (1 + 1e-9)
+def with_spans(rows: DataFrame, metres: float, division: int) -> DataFrame:
+    """Positions next to node rows ``__y``: degrees to the east and west within which the circle can meet
+    a point of the row (``__out``) and holds all of them (``__in``); NULL where there are none.
+
+    A hair (1e-9) on latitudes, spans and the radius keeps rounding on the safe side.
+    """
+    hair = 1e-9
+    step = _row_height(metres) / division
+    lat, south, north = F.col("latitude"), F.col("__y") * step, (F.col("__y") + 1) * step
+    half = math.sin(metres / (2.0 * rules.EARTH_RADIUS_M)) ** 2
+
+    def span(gap: Column, parallel: Column, most: float) -> Column:
+        rest = F.lit(most) - F.pow(F.sin(F.radians(gap) / 2.0), 2.0)
+        sizes = F.greatest(F.cos(F.radians(lat)), F.lit(hair)) * F.greatest(F.cos(F.radians(parallel)), F.lit(hair))
+        return F.when(rest >= 0, F.degrees(2.0 * F.asin(F.sqrt(F.least(rest / sizes, F.lit(1.0))))))
+
+    near = F.greatest(south - lat - hair, lat - north - hair, F.lit(0.0))
+    far = F.greatest(lat - south, north - lat) + hair
+    outer = span(near, F.greatest(F.abs(south), F.abs(north)), half * (1 + hair)) + hair
+    inner = span(far, F.greatest(south, -north, F.lit(0.0)), half * (1 - hair)) - hair
+    width = _width(F.floor(F.col("__y") / division), _row_height(metres)) / division
+    return rows.withColumns({"__out": outer, "__in": inner, "__w": width})
+
+
+def met(candidates: DataFrame) -> DataFrame:
+    """Candidates whose nodes the circle can meet; ``__inside`` if all of the node is in it."""
+    lon, west, east = F.col("longitude"), F.col("__x") * F.col("__w"), (F.col("__x") + 1) * F.col("__w")
+    inside = (west >= lon - F.col("__in")) & (east <= lon + F.col("__in"))
+    return candidates.where((east >= lon - F.col("__out")) & (west <= lon + F.col("__out"))).select(
+        "longitude", "latitude", "__u", "__y", "__x", F.coalesce(inside, F.lit(False)).alias("__inside"))
 
 
 def nodes_around(homes: DataFrame, metres: float, division: int) -> DataFrame:
     """Each position with the nodes (``__y``, ``__x``) that its circle can meet."""
     height = _row_height(metres)
-    lon, lat = F.col("longitude"), F.col("latitude")
-    step = height / division
+    lon, lat, step = F.col("longitude"), F.col("latitude"), height / division
     rows = homes.select("*", F.explode(F.sequence(
         F.floor((lat - height) / step).cast("bigint"), F.floor((lat + height) / step).cast("bigint"))).alias("__y"))
-    width = _width(F.floor(F.col("__y") / division), height) / division
-    aside = F.lit(height) / F.cos(F.radians(F.least(F.abs(lat) + height, F.lit(89.0))))
-    return rows.select("*", F.explode(F.sequence(
-        F.floor((lon - aside) / width).cast("bigint"), F.floor((lon + aside) / width).cast("bigint"))).alias("__x"))
+    first, last = ((lon + sign * F.col("__out")) / F.col("__w") for sign in (-1, 1))
+    return met(with_spans(rows, metres, division).select("*", F.explode(F.sequence(
+        F.floor(first).cast("bigint"), F.floor(last).cast("bigint"))).alias("__x")))
+
 
+def opened(nodes: DataFrame, metres: float, division: int) -> DataFrame:
+    """Each position with the nodes of the level ``division`` in its nodes of the level before."""
+    inner = F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))
+    rows = nodes.select("longitude", "latitude", "__u", (F.col("__y") * 4).alias("__y4"), (F.col("__x") * 4).alias("__x4"))
+    rows = rows.select("longitude", "latitude", "__u", "__x4", F.explode(F.transform(inner, lambda d: F.col("__y4") + d)).alias("__y"))
+    return met(with_spans(rows, metres, division).select(
+        "*", F.explode(F.transform(inner, lambda d: F.col("__x4") + d)).alias("__x")))
 
-def met(candidates: DataFrame, nodes: DataFrame, metres: float) -> DataFrame:
-    """Candidates next to their nodes, without those outside of the circle; ``__inside`` if all of the node is in it."""
-    reach = 2.0 * math.sin(metres / (2.0 * rules.EARTH_RADIUS_M))
-    both = candidates.join(nodes, ["__y", "__x"]).withColumn("__far", geo.chord("__u", "__m"))
-    return both.where(F.col("__far") - F.col("__r") <= reach * (1 + 1e-9)).withColumn(
-        "__inside", F.col("__far") + F.col("__r") <= reach * (1 - 1e-9)
-    ).drop("__far", "__m", "__r")
+
+def spread_out(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows in a fixed number of parts: few bytes from which much work grows would else be joined into one task."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, F.xxhash64(*cols))  # by the columns themselves it could be left out as done already
 
 
 def nearby_counts(
@@ -256,6 +282,10 @@ def nearby_counts(
     points of small nodes on the rim are compared one by one.  So the work grows with the
     rim of the circle and the root of the density.  Points and places at the same position
     are merged first, so a default position that holds a third of all rows counts once.
+
+    Places are few bytes before their nodes are listed, and the planner goes by those bytes.
+    So they are dealt to a fixed number of parts, and their nodes are on the side of a join
+    that is never broadcast.
     """
     names = list(counters)
     spots = (
@@ -264,30 +294,26 @@ def nearby_counts(
         .agg(*[c.alias(name) for name, c in counters.items()])
     )
     homes = places.select("longitude", "latitude").where("longitude is not null and latitude is not null").distinct()
-    homes = homes.withColumn("__u", geo.unit_vector("longitude", "latitude"))
     position = ["longitude", "latitude"]
-    candidates, summed = nodes_around(homes, metres, NODE_LEVELS[0]), []
+    homes = spread_out(homes, position).withColumn("__u", geo.unit_vector(*position))
+    node, summed = ["__y", "__x"], []
+    found = nodes_around(homes, metres, NODE_LEVELS[0])
     for division in NODE_LEVELS:
         y, x = node_of(F.col("__lon"), F.col("__lat"), metres, division)
         here = spots.withColumns({"__y": y, "__x": x})
-        nodes = here.groupBy("__y", "__x").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(n).alias(n) for n in names])
-        middle, reach = node_ball(F.col("__y"), F.col("__x"), metres, division)
-        nodes = nodes.withColumns({"__m": middle, "__r": reach, "__leaf": F.lit(division == NODE_LEVELS[-1]) | (F.col("__n") <= rows)})
-        found = met(candidates, nodes, metres)
-        points = here.select(
-            F.col("__y").alias("__py"), F.col("__x").alias("__px"), geo.unit_vector("__lon", "__lat").alias("__v"),
-            *[F.col(n).alias(f"__p_{n}") for n in names])
-        cut = ~F.col("__inside") & (F.col("__y") == F.col("__py")) & (F.col("__x") == F.col("__px"))
-        near = found.where("__inside or __leaf").join(points, cut, "left")
-        near = near.where(F.col("__inside") | geo.is_within("__u", "__v", metres))
-        summed.append(near.select(*position, *[F.when(F.col("__inside"), F.col(n)).otherwise(F.col(f"__p_{n}")).alias(n) for n in names]))
-        if division != NODE_LEVELS[-1]:
-            full = nodes.where("not __leaf").select("__y", "__x")
-            spots = here.join(full, ["__y", "__x"], "left_semi").drop("__y", "__x")
-            inner = F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))
-            opened = found.where("not __inside and not __leaf").select(*position, "__u", (F.col("__y") * 4).alias("__y4"), (F.col("__x") * 4).alias("__x4"))
-            opened = opened.select(*position, "__u", "__x4", F.explode(F.transform(inner, lambda d: F.col("__y4") + d)).alias("__y"))
-            candidates = opened.select(*position, "__u", "__y", F.explode(F.transform(inner, lambda d: F.col("__x4") + d)).alias("__x"))
+        nodes = here.groupBy(*node).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(n).alias(n) for n in names])
+        full = nodes.where(F.col("__n") > rows).select(*node)
+        last = division == NODE_LEVELS[-1]
+        few = here if last else here.join(full, node, "left_anti")
+        points = few.select(*node, geo.unit_vector("__lon", "__lat").alias("__v"), *names)
+        whole = found.where("__inside").select(*position, *node).join(nodes, node, "left")
+        # without a point there is one row of NULLs: the joins stay outer, so only the right sides can be broadcast
+        rim = found.where("not __inside").join(points, node, "left")
+        rim = rim.where(F.col("__v").isNull() | geo.is_within("__u", "__v", metres))
+        summed += [whole.select(*position, *names), rim.select(*position, *names)]
+        if not last:
+            spots = here.join(full, node, "left_semi").drop(*node)
+            found = opened(found.where("not __inside").join(full, node, "left_semi"), metres, NODE_LEVELS[NODE_LEVELS.index(division) + 1])
     sums = reduce(DataFrame.unionByName, summed).groupBy(*position).agg(*[F.sum(name).alias(name) for name in names])
     counted = join_null_safe(places.select(key, "longitude", "latitude"), sums, position, "left")
     return counted.select(key, *(position if at else []), *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names])

@@ -326,3 +326,34 @@ def test_promised_sizes_are_held(spark):
     assert windows.minmax_by(df, "k", {"n": ("v", False)}, fixed_parts=True).count() == 2
     with pytest.raises(ValueError, match="at most"):
         joins.picks_frame(spark, [{"k": "x"}] * 1_001, ["k"])
+
+
+def test_nodes_of_places_are_never_broadcast(spark, tmp_path):
+    """Few places, many nodes: broadcasting the nodes once took 8 GB at 60 times the tables."""
+    rnd = random.Random(9)
+    for name, n in (("a", 200), ("b", 4000)):
+        rows = [(i, 0.1 + rnd.uniform(0, 0.02), 51.5 + rnd.uniform(0, 0.02)) for i in range(n)]
+        spark.createDataFrame(rows, "id int, longitude double, latitude double").write.parquet(str(tmp_path / name))
+    a, b = (spark.read.parquet(str(tmp_path / name)) for name in ("a", "b"))
+    counted = spatial.nearby_counts(a, "id", b, {"n": F.count(F.lit(1))}, 500.0, 8)
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")  # as many as the places' parts
+    try:
+        counted.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "BuildLeft" not in plan
+    assert "REPARTITION_BY_NUM" in plan  # the places' parts do not follow their bytes
+
+
+@pytest.mark.parametrize("lat", [0.002, -51.3, 89.6])
+def test_spans_of_rows_hold_at_any_latitude(spark, lat):
+    rnd = random.Random(10)
+    wide = 0.02 / math.cos(math.radians(lat))
+    left = [(i, 7.0 + rnd.uniform(-wide, wide), lat + rnd.uniform(-0.01, 0.01)) for i in range(40)]
+    right = [(i, 7.0 + rnd.uniform(-wide, wide), lat + rnd.uniform(-0.01, 0.01)) for i in range(800)]
+    a = spark.createDataFrame(left, "id int, longitude double, latitude double")
+    b = spark.createDataFrame(right, "poi int, longitude double, latitude double")
+    got = {r.id: r.n for r in spatial.nearby_counts(a, "id", b, {"n": F.count("poi")}, 500.0, 2).collect()}
+    assert got == {p[0]: sum(metres(p, q) <= 500 for q in right) for p in left}
