@@ -347,6 +347,18 @@ def test_nodes_of_places_are_never_broadcast(spark, tmp_path):
     assert "REPARTITION_BY_NUM" in plan  # the places' parts do not follow their bytes
 
 
+def test_cells_of_pairs_are_never_broadcast(spark, tmp_path):
+    rnd = random.Random(11)
+    for name, n, at in (("a", 200, ""), ("b", 300, "poi_")):
+        rows = [(i, 0.1 + rnd.uniform(0, 0.01), 51.5 + rnd.uniform(0, 0.01)) for i in range(n)]
+        spark.createDataFrame(rows, f"{at or 'id'} int, {at}longitude double, {at}latitude double").write.parquet(str(tmp_path / name))
+    a, b = (spark.read.parquet(str(tmp_path / name)) for name in ("a", "b"))
+    pairs = spatial.within_distance(a, b, 500.0, "inner")
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    join = [line for line in plan.splitlines() if "Join" in line][0]  # the join of the pairs is the topmost one
+    assert "SortMergeJoin" in join and "REPARTITION_BY_NUM" in plan
+
+
 @pytest.mark.parametrize("lat", [0.002, -51.3, 89.6])
 def test_spans_of_rows_hold_at_any_latitude(spark, lat):
     rnd = random.Random(10)
