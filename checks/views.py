@@ -12,6 +12,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lettings.functions import spatial as geo
+from lettings.operators.spatial import fixed_parts
 from lettings.plans.build import Lazy
 from lettings.session import shared_folder
 from lettings.sources import files, tables
@@ -162,9 +163,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+# a few MB of these give long rows that are slow to clean, and a file of few splits would be few tasks
+DEALT = {"raw_listings": "p_partkey"}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, exprs = VIEWS[name]
-    return read(spark, sf_dir, table).selectExpr(*exprs)
+    rows = read(spark, sf_dir, table)
+    if name in DEALT:
+        rows = fixed_parts(rows, DEALT[name])
+    return rows.selectExpr(*exprs)
 
 
 def boundary(areas: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from checks import views
 from checks.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -68,3 +69,9 @@ def test_scan_reads_only_needed_columns(spark):
 def test_bedroom_figures_come_from_one_count(spark):
     plan = plan_of(spark, "m33_mart_bedrooms")
     assert plan.count("Exchange hashpartitioning") <= 11
+
+
+def test_listings_are_cleaned_in_many_tasks(spark):
+    raw = views.view(spark, SF, "raw_listings")
+    parts = raw.rdd.getNumPartitions()
+    assert parts >= 2 * spark.sparkContext.defaultParallelism > views.read(spark, SF, "part").rdd.getNumPartitions()
