@@ -293,9 +293,9 @@ def _(w):
 
 # --- refresh jobs ------------------------------------------------------------
 def _waiting_sales(w, path: str):
-    """Raw sales as a folder of files, one file per year."""
+    """Raw sales as a folder of files, one file per year; of row groups of 8 MB, so that a few files are many tasks."""
     rows = w["raw_price_paid"].withColumn("yr", F.left("date_of_transfer", F.lit(4)))
-    rows.repartition(7, "yr").write.parquet(path)
+    rows.repartition(7, "yr").write.option("parquet.block.size", 8 << 20).parquet(path)
     return w.spark.read.parquet(path).schema
 
 

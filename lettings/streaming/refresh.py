@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from lettings.operators import joins, windows
+from lettings.session import remove_folder
 from lettings.sources import tables
 
 Build = Callable[[DataFrame], DataFrame]
@@ -34,6 +35,17 @@ def index_path(store: str) -> str:
     return f"{store.rstrip('/')}_index"
 
 
+def staged_path(store: str) -> str:
+    return f"{store.rstrip('/')}_staged"
+
+
+def staged(df: DataFrame, store: str, name: str) -> DataFrame:
+    """Rows of the current batch, written once and read by each of its later steps."""
+    path = f"{staged_path(store)}/{name}"
+    tables.write_replace(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def values_of(df: DataFrame, column: str) -> list[int]:
     """The parts that rows fall in, ``BUCKETS`` at most."""
     return [r[0] for r in df.select(column).distinct().collect()]
@@ -85,16 +97,19 @@ def refresh_incremental(
 
     The target keeps what each batch wrote for the keys it touched, a key that has become
     empty as a row that is not alive; :func:`current` reads the newest state.
+
+    A batch's rows are placed once and kept beside the store until the run ends, as several
+    steps need them; so are the rows that ``build`` makes.
     """
     keys, unique = list(keys), list(unique)
     spark = stream.sparkSession
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        rows = place(batch)
+        rows = staged(place(batch), store, "placed")
         shape = rows.columns
         if unique:
             one = windows.dedup_latest(rows.where(known(unique)), unique, windows.load_order(rows))
-            rows = one.unionByName(rows.where(~known(unique)))
+            rows = staged(one.unionByName(rows.where(~known(unique))), store, "unique")
             away = moved_away(rows, store, keys, unique, batch_id).withColumn("gone", F.lit(True))
             rows = rows.withColumn("gone", F.lit(False)).unionByName(away, allowMissingColumns=True)
         rows = rows.withColumns({"batch": F.lit(batch_id).cast("long"), "bucket": bucket_of(keys)})
@@ -110,7 +125,7 @@ def refresh_incremental(
         again = join_keys_semi(near, touched, keys)
         if unique:
             again = newest_versions(again, keys, unique)
-        made = build(again.select(*shape)).withColumn("alive", F.lit(True))
+        made = staged(build(again.select(*shape)), store, "made").withColumn("alive", F.lit(True))
         dead = anti(touched.select(*keys), made, keys).withColumn("alive", F.lit(False))
         result = made.unionByName(dead, allowMissingColumns=True)
         tables.replace_keys(result.withColumn("batch", F.lit(batch_id)), target, ["batch"])
@@ -123,6 +138,7 @@ def refresh_incremental(
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    remove_folder(spark, staged_path(store))
 
 
 def _equal(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:

@@ -108,3 +108,24 @@ def test_a_batch_that_runs_again_leaves_the_same(spark, tmp_path):
         file.unlink()
     (tmp_path / "chk" / "commits" / ".1.crc").unlink(missing_ok=True)
     assert refreshed(spark, str(tmp_path), [[(9, "z", 1)]], "c") == {**want, "z": 1}
+
+
+def test_a_batch_is_placed_and_built_once(spark, tmp_path):
+    placed, built = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counting(count):
+        def same(v):
+            count.add(1)
+            return v
+        return F.udf(same, "int")
+
+    rows = [(i, f"k{i % 5}", 1) for i in range(40)]
+    spark.createDataFrame(rows, "id int, k string, v int").coalesce(1).write.parquet(f"{tmp_path}/in/a")
+    stream = refresh.files_stream(spark, f"{tmp_path}/in/*", spark.read.parquet(f"{tmp_path}/in/a").schema)
+    refresh.refresh_incremental(
+        stream, f"{tmp_path}/store", f"{tmp_path}/out", ["k"], lambda b: b.withColumn("v", counting(placed)("v")),
+        lambda s: s.groupBy("k").agg(F.sum("v").cast("int").alias("total")).withColumn("total", counting(built)("total")),
+        f"{tmp_path}/chk", unique=["id"])
+    assert {r.k: r.total for r in refresh.current(spark, f"{tmp_path}/out", ["k"]).collect()} == batch_build([rows])
+    assert (placed.value, built.value) == (40, 5)
+    assert not (tmp_path / "store_staged").exists()
