@@ -12,7 +12,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lettings.functions import spatial as geo
-from lettings.operators.spatial import fixed_parts
+from lettings.operators.spatial import ENOUGH_PARTS, fixed_parts
 from lettings.plans.build import Lazy
 from lettings.session import shared_folder
 from lettings.sources import files, tables
@@ -171,7 +171,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, exprs = VIEWS[name]
     rows = read(spark, sf_dir, table)
     if name in DEALT:
-        rows = fixed_parts(rows, DEALT[name])
+        rows = fixed_parts(rows, DEALT[name], enough=ENOUGH_PARTS)
     return rows.selectExpr(*exprs)
 
 

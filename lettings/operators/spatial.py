@@ -14,6 +14,8 @@ from lettings.operators.joins import join_null_safe
 
 CELL_DEG = 0.02
 ROWS_PER_SPLIT = 4096
+#: Parts that keep a cluster busy whose rows go on row by row, so that no part has to fit anywhere.
+ENOUGH_PARTS = 64
 METRES_PER_DEGREE = 111195.0
 
 
@@ -167,10 +169,14 @@ def split_hot_cells(
     return cut_left, cut_right, [*keys, "__a", "__b"]
 
 
-def fixed_parts(df: DataFrame, *by: Column | str) -> DataFrame:
-    """Rows in a number of parts that does not follow their bytes: where few bytes give much work, these would be one task."""
+def fixed_parts(df: DataFrame, *by: Column | str, enough: int | None = None) -> DataFrame:
+    """Rows in a number of parts that does not follow their bytes: where few bytes give much work, these would be one task.
+
+    The shuffle's partitions, or ``enough`` if these are more: a part that is shuffled on writes a file for each partition.
+    """
     spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(parts if enough is None else min(parts, enough), 2 * spark.sparkContext.defaultParallelism)
     return df.repartition(parts, *by)
 
 
@@ -211,6 +217,9 @@ def within_distance(
 #: Sides of the nodes' levels as parts of the distance; each node has the nodes of the next level in four rows and columns.
 NODE_LEVELS = (2, 8, 32)
 NODE_POINTS = 64
+POSITION = ("longitude", "latitude")
+#: Parts of a position's unit vector as plain columns: a struct would be opened once per pair.
+UNIT = ("__ux", "__uy", "__uz")
 
 
 def node_of(lon: Column, lat: Column, metres: float, division: int) -> tuple[Column, Column]:
@@ -249,7 +258,7 @@ def met(candidates: DataFrame) -> DataFrame:
     lon, west, east = F.col("longitude"), F.col("__x") * F.col("__w"), (F.col("__x") + 1) * F.col("__w")
     inside = (west >= lon - F.col("__in")) & (east <= lon + F.col("__in"))
     return candidates.where((east >= lon - F.col("__out")) & (west <= lon + F.col("__out"))).select(
-        "longitude", "latitude", "__u", "__y", "__x", F.coalesce(inside, F.lit(False)).alias("__inside"))
+        *POSITION, *UNIT, "__y", "__x", F.coalesce(inside, F.lit(False)).alias("__inside"))
 
 
 def nodes_around(homes: DataFrame, metres: float, division: int) -> DataFrame:
@@ -266,8 +275,8 @@ def nodes_around(homes: DataFrame, metres: float, division: int) -> DataFrame:
 def opened(nodes: DataFrame, metres: float, division: int) -> DataFrame:
     """Each position with the nodes of the level ``division`` in its nodes of the level before."""
     inner = F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))
-    rows = nodes.select("longitude", "latitude", "__u", (F.col("__y") * 4).alias("__y4"), (F.col("__x") * 4).alias("__x4"))
-    rows = rows.select("longitude", "latitude", "__u", "__x4", F.explode(F.transform(inner, lambda d: F.col("__y4") + d)).alias("__y"))
+    rows = nodes.select(*POSITION, *UNIT, (F.col("__y") * 4).alias("__y4"), (F.col("__x") * 4).alias("__x4"))
+    rows = rows.select(*POSITION, *UNIT, "__x4", F.explode(F.transform(inner, lambda d: F.col("__y4") + d)).alias("__y"))
     return met(with_spans(rows, metres, division).select(
         "*", F.explode(F.transform(inner, lambda d: F.col("__x4") + d)).alias("__x")))
 
@@ -286,7 +295,9 @@ def nearby_counts(
 
     Places are few bytes before their nodes are listed, and the planner goes by those bytes.
     So they are dealt to a fixed number of parts, and their nodes are on the side of a join
-    that is never broadcast.
+    that is never broadcast.  That side is listed once per level and streams past a hashed
+    partition of nodes and points, without a sort; the hashed side has at most a row per
+    distinct position and level and one per node.
     """
     names = list(counters)
     spots = (
@@ -294,31 +305,36 @@ def nearby_counts(
         .groupBy(F.col("longitude").alias("__lon"), F.col("latitude").alias("__lat"))
         .agg(*[c.alias(name) for name, c in counters.items()])
     )
-    homes = places.select("longitude", "latitude").where("longitude is not null and latitude is not null").distinct()
-    position = ["longitude", "latitude"]
+    homes = places.select(*POSITION).where("longitude is not null and latitude is not null").distinct()
     # dealt by a hash, as a deal by the columns themselves counts as done already and is left out
-    homes = fixed_parts(homes, F.xxhash64(*position)).withColumn("__u", geo.unit_vector(*position))
-    node, summed = ["__y", "__x"], []
+    homes = fixed_parts(homes, F.xxhash64(*POSITION), enough=ENOUGH_PARTS).withColumn("__u", geo.unit_vector(*POSITION))
+    homes = homes.select(*POSITION, *[F.col("__u")[axis].alias(name) for axis, name in zip("xyz", UNIT)])
+    unit = F.struct(*[F.col(name).alias(axis) for axis, name in zip("xyz", UNIT)])
+    other = [f"__v{axis}" for axis in "xyz"]
+    node, summed = ["__y", "__x", "__inside"], []
     found = nodes_around(homes, metres, NODE_LEVELS[0])
     for division in NODE_LEVELS:
         y, x = node_of(F.col("__lon"), F.col("__lat"), metres, division)
-        here = spots.withColumns({"__y": y, "__x": x})
+        here = spots.withColumns({"__y": y, "__x": x, "__inside": F.lit(False)})
         nodes = here.groupBy(*node).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(n).alias(n) for n in names])
         full = nodes.where(F.col("__n") > rows).select(*node)
         last = division == NODE_LEVELS[-1]
         few = here if last else here.join(full, node, "left_anti")
-        points = few.select(*node, geo.unit_vector("__lon", "__lat").alias("__v"), *names)
-        whole = found.where("__inside").select(*position, *node).join(nodes, node, "left")
+        points = few.withColumn("__v", geo.unit_vector("__lon", "__lat")).select(
+            *node, *[F.col("__v")[axis].alias(name) for axis, name in zip("xyz", other)], *names)
+        nowhere = {name: F.lit(None).cast("double") for name in other}
+        whole = nodes.withColumns({"__inside": F.lit(True), **nowhere}).select(*points.columns)
+        # nodes inside meet their sums, those on the rim their points: one join of nodes that are listed once;
         # without a point there is one row of NULLs: the joins stay outer, so only the right sides can be broadcast
-        rim = found.where("not __inside").join(points, node, "left")
-        rim = rim.where(F.col("__v").isNull() | geo.is_within("__u", "__v", metres))
-        summed += [whole.select(*position, *names), rim.select(*position, *names)]
+        both = found.join(whole.unionByName(points).hint("shuffle_hash"), node, "left")
+        near = geo.is_within(unit, F.struct(*[F.col(name).alias(axis) for axis, name in zip("xyz", other)]), metres)
+        summed.append(both.where(F.col("__vx").isNull() | near).select(*POSITION, *names))
         if not last:
             spots = here.join(full, node, "left_semi").drop(*node)
-            found = opened(found.where("not __inside").join(full, node, "left_semi"), metres, NODE_LEVELS[NODE_LEVELS.index(division) + 1])
-    sums = reduce(DataFrame.unionByName, summed).groupBy(*position).agg(*[F.sum(name).alias(name) for name in names])
-    counted = join_null_safe(places.select(key, "longitude", "latitude"), sums, position, "left")
-    return counted.select(key, *(position if at else []), *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names])
+            found = opened(found.join(full, node, "left_semi"), metres, NODE_LEVELS[NODE_LEVELS.index(division) + 1])
+    sums = reduce(DataFrame.unionByName, summed).groupBy(*POSITION).agg(*[F.sum(name).alias(name) for name in names])
+    counted = join_null_safe(places.select(key, *POSITION), sums, POSITION, "left")
+    return counted.select(key, *(POSITION if at else []), *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names])
 
 
 def points_in_area_counts(points: DataFrame, areas: DataFrame, key: str, counters: dict[str, Column]) -> DataFrame:

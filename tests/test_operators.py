@@ -347,6 +347,29 @@ def test_nodes_of_places_are_never_broadcast(spark, tmp_path):
     assert "REPARTITION_BY_NUM" in plan  # the places' parts do not follow their bytes
 
 
+def test_nodes_are_listed_once_per_level_and_not_sorted(spark, tmp_path):
+    """Nodes inside and on the rim were listed, dealt and sorted in a join each: the longest stages at 60 times the tables."""
+    rnd = random.Random(12)
+    for name, n in (("a", 200), ("b", 4000)):
+        rows = [(i, 0.1 + rnd.uniform(0, 0.02), 51.5 + rnd.uniform(0, 0.02)) for i in range(n)]
+        spark.createDataFrame(rows, "id int, longitude double, latitude double").write.parquet(str(tmp_path / name))
+    a, b = (spark.read.parquet(str(tmp_path / name)) for name in ("a", "b"))
+    counted = spatial.nearby_counts(a, "id", b, {"n": F.count(F.lit(1))}, 500.0, 8)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    met = [line for line in plan.splitlines() if "Join [__y" in line and "LeftOuter" in line]
+    assert len(met) == len(spatial.NODE_LEVELS) and all("ShuffledHashJoin" in line and "BuildRight" in line for line in met)
+
+
+def test_parts_are_enough_for_the_cores(spark):
+    df, usual = spark.range(10), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = [spatial.fixed_parts(df, "id", enough=enough).rdd.getNumPartitions() for enough in (None, 64, 3)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert got == [200, 64, 2 * spark.sparkContext.defaultParallelism]
+
+
 def test_cells_of_pairs_are_never_broadcast(spark, tmp_path):
     rnd = random.Random(11)
     for name, n, at in (("a", 200, ""), ("b", 300, "poi_")):
