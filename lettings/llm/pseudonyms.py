@@ -243,7 +243,7 @@ def mail(value: Column, key: str) -> Column:
 
 
 def kind_of(value: Column) -> Column:
-    """The kind of a found text, null where it is not valid."""
+    """The kind of a found text that is no row of groups, null where it is not valid."""
     day = day_of(value)
     return (
         F.when(F.contains(value, F.lit("@")), F.lit("mails"))
@@ -251,12 +251,18 @@ def kind_of(value: Column) -> Column:
         .when(value.rlike(f"^(?:{DATE})$"), F.when(
             day.isNotNull() & F.datediff(day, F.lit(FIRST_DAY)).between(0, DAY_A * DAY_B - 1), F.lit("dates")
         ))
-        .when(F.contains(value, F.lit(".")), F.when(
-            F.forall(F.split(value, r"\."), lambda p: p.cast("int") < 256), F.lit("addresses")
-        ))
+        .when(F.forall(F.split(value, r"\."), lambda p: p.cast("int") < 256), F.lit("addresses"))
     )
 
 
+def is_groups(value: Column) -> Column:
+    """Whether a found text is a row of groups of digits: what has the shape of no other kind.
+
+    ``CARD`` itself does not tell, as it looks at what stands around a text and counts digits beyond its end.
+    """
+    return ~(F.contains(value, F.lit("@")) | F.startswith(value, F.lit("+")) | value.rlike(f"^(?:{LOCAL}|{DATE}|{ADDRESS})$"))
+
+
 def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """Replaces the values in ``text`` and adds ``n_cards``, ``n_phones``, ``n_addresses``, ``n_dates``, ``n_mails``.
 
@@ -280,7 +286,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
     names = [f"n_{k}" for k in KINDS]
     found = docs.drop(*names).withColumn("__found", F.transform(
         F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(ANY), F.lit(0)),
-        lambda v: F.when(v.rlike(f"^(?:{CARD})$"), cards_in(v)).otherwise(
+        lambda v: F.when(is_groups(v), cards_in(v)).otherwise(
             F.array(F.struct(v.alias("v"), kind_of(v).alias("kind")))
         ),
     ))

@@ -302,6 +302,18 @@ def test_pseudonyms_in_company(spark):
     assert out[0]["text"].endswith(" 123") and out[2]["text"].startswith("2024 ")
 
 
+def test_pseudonyms_of_groups_cut_by_other_values(spark):
+    """What stands around groups decides where they end, so alone they may read as another kind or as none."""
+    day, card = "1999-12-31", "4111111111111111"
+    texts = [f"up 12.5 {day} {card}", f"room 116 10.5 {day} 2000", f"v .1.2.3.4 {card}", f"1.2.2020.5 {card}", "at 150.203 11.106.155.206 97.51.17.173"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pseudonyms.pseudonymise(df).collect()}
+    assert [(out[i]["n_cards"], out[i]["n_addresses"], out[i]["n_dates"]) for i in range(5)] == [(1, 0, 1), (0, 0, 1), (1, 0, 0), (1, 0, 0), (0, 2, 0)]
+    starts = ["up 12.5 ", "room 116 10.5 ", "v .1.2.3.4 ", "1.2.2020.5 ", "at 150.203 "]
+    assert all(out[i]["text"].startswith(start) for i, start in enumerate(starts))
+    assert not any(card in r["text"] or day in r["text"] for r in out.values())
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     assert df.select(pseudonyms.permuted_digits(F.col("d"), "k", "test").alias("e")).distinct().count() == 1000
