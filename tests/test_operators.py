@@ -382,6 +382,21 @@ def test_cells_of_pairs_are_never_broadcast(spark, tmp_path):
     assert "SortMergeJoin" in join and "REPARTITION_BY_NUM" in plan
 
 
+def test_few_places_are_counted_for_lonely_rows(spark):
+    rnd = random.Random(12)
+    def near(n, k):
+        return [(i, 0.1 + rnd.uniform(0, 0.02), 51.5 + rnd.uniform(0, 0.02)) for i in range(n)] + [(n + 1, 5.0, 40.0 + k), (n + 2, None, 1.0)]
+    left, right = near(150, 0), near(900, 0.0044) + [(2000, 5.0, 40.02)]
+    a = spark.createDataFrame(left * 2, "id int, longitude double, latitude double")
+    b = spark.createDataFrame(right, "poi int, poi_longitude double, poi_latitude double")
+    at = b.selectExpr("poi_longitude as longitude", "poi_latitude as latitude")
+    for far in (500.0, 480.0, 60.0):
+        want = [p[0] for p in left * 2 if not any(None not in p and None not in q and metres(p, q) <= far for q in right)]
+        left_open = {r.id for r in spatial.maybe_lonely(a, at, far).collect()}
+        assert set(want) <= left_open and (far < 100 or len(left_open) < 15)
+        assert sorted(r.id for r in spatial.within_distance(a, b, far).where("poi is null").collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("lat", [0.002, -51.3, 89.6])
 def test_spans_of_rows_hold_at_any_latitude(spark, lat):
     rnd = random.Random(10)
